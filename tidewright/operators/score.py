@@ -223,7 +223,7 @@ def combine(s: EmulatorSet, cols: list[str], n: int, max_imp: float = float("inf
         raw = {o: xs[0] if len(xs) == 1 else F.when(F.isnan(xs[0]) & F.isnan(xs[1]), 0.0).otherwise(F.least(F.nanvl(xs[0], xs[1]), F.nanvl(xs[1], xs[0]))) for o, xs in raw.items()}
         n = min(n, len(raw))
         nth = list(raw.values())[0] if len(raw) == 1 else F.greatest(*raw.values()) if n == 1 else F.sort_array(F.array(*raw.values()), asc=False)[n - 1]
-        return F.least(nth, F.lit(float(max_imp))), raw
+        return nth if max_imp == float("inf") else F.when(nth.isNotNull(), F.least(nth, F.lit(float(max_imp)))), raw
     for k in modes:
         for o, ids in by_mode[k].items():
             x = passes(ids[0])
