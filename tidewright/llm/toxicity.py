@@ -8,8 +8,8 @@ are caught; words known from clean documents are never taken for misspellings.
 A window of words around a hit separates quotation (quote marks, reporting
 verbs) from abuse. A logistic model over the sums gives the score.
 
-Fitting uses a bounded sample: the ``max_rows`` labelled rows with the smallest
-hashes; the lexicon holds at most ``max_terms`` terms.
+Fitting uses a bounded sample: the share of labelled rows, by hash of the id,
+that makes ``max_rows`` of them on average; the lexicon holds at most ``max_terms`` terms.
 
 Defined results: null and empty texts get the score of a text without hits;
 with no labels, or only one, every score is the (smoothed) share of label 1;
@@ -32,8 +32,8 @@ MAX_TERMS = 2_000
 MAX_KNOWN = 30_000
 WINDOW = 6
 STEM = range(3, 9)
-#: Misspellings are sought of words in so many toxic texts and in no other.
-FUZZY_FROM = 8
+#: Misspellings are sought of words in at least this share of toxic texts (and in three of them) and in no other.
+FUZZY_SHARE = 0.05
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…"
 QUOTES = frozenset("\"“”„«»")
 # Words that report what someone else has said.
@@ -60,7 +60,9 @@ class Trie:
                 continue
             node = self.root
             for c in t:
+                node[None] = max(node.get(None, 0), k)
                 node = node.setdefault(c, {})
+            node[None] = max(node.get(None, 0), k)
             node[""] = t
             for i in range(k + 1):  # with k edits one of k + 1 pieces stays whole, shifted by k at most
                 a, b = len(t) * i // (k + 1), len(t) * (i + 1) // (k + 1)
@@ -77,23 +79,32 @@ class Trie:
         return False
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The best term: fewest edits, then the longest; None if no term is within its edits."""
-        best = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        """The best term: fewest edits, then the longest; None if no term is within its edits.
+
+        The automaton's state is a row of edit distances, kept within a band of
+        the edits that terms below a node allow; a dead state ends the walk.
+        """
+        best, size = None, len(word)
+        stack = [(self.root, 0, {j: j for j in range(min(size, self.root.get(None, 0)) + 1)})]
         while stack:
-            node, row = stack.pop()
+            node, depth, row = stack.pop()
+            t = node.get("")
+            if t is not None:
+                d = row.get(size)
+                if d is not None and d <= edits_allowed(t) and d < len(t) and (best is None or (d, -len(t), t) < best):
+                    best = (d, -len(t), t)
             for c, child in node.items():
-                if c == "":
-                    t = child
-                    d = row[-1]
-                    if d <= edits_allowed(t) and d < len(t) and (best is None or (d, -len(t), t) < best):
-                        best = (d, -len(t), t)
+                if not c:
                     continue
-                new = [row[0] + 1]
-                for j, w in enumerate(word):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                if min(new) <= 2:
-                    stack.append((child, new))
+                k, new = child[None], {}
+                for j in range(max(0, depth + 1 - k), min(size, depth + 1 + k) + 1):
+                    d = min(row.get(j, 9) + 1, new.get(j - 1, 9) + 1)
+                    if j and row.get(j - 1, 9) + (word[j - 1] != c) < d:
+                        d = row.get(j - 1, 9) + (word[j - 1] != c)
+                    if d <= k:
+                        new[j] = d
+                if new:
+                    stack.append((child, depth + 1, new))
         return None if best is None else (best[2], best[0])
 
     def weigh(self, word: str, known: frozenset) -> float:
@@ -201,7 +212,7 @@ def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, fl
         expected = max(1e-9, (a + b) * n1 / max(1, n1 + n0))
         g = 2 * (a * math.log(a / expected) - (a - expected))
         if lift > 1.0 and g > 8:
-            found.append((a * lift, len(term), term, stem, lift, a >= FUZZY_FROM and not b))
+            found.append((a * lift, len(term), term, stem, lift, a >= max(3, FUZZY_SHARE * n1) and not b))
     found.sort(key=lambda x: (-x[0], -x[1], x[2]))
     chosen: dict[str, tuple[bool, float, bool]] = {}
     covered: set[str] = set()
@@ -235,8 +246,9 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: st
     One sample chooses the lexicon and calibrates the score.
     """
     rows = labelled.filter(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
-    ids = rows.select("_k", F.xxhash64("_k").alias("_h")).orderBy("_h", "_k").limit(max_rows).select("_k").distinct()
-    sample = saved(rows.join(F.broadcast(ids), "_k", "left_semi").select("_y", "_t"), "toxic-sample")
+    total = rows.select("_k").count()
+    share = F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total))))
+    sample = saved(rows.filter(share).select("_y", "_t"), "toxic-sample")
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
