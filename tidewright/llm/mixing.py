@@ -31,7 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST = 2.0
 #: Documents of a source in one bucket of the shuffled order, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 PHI = (math.sqrt(5) - 1) / 2
 
 
