@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.collections import EmulatorSet
 from ..plans.targets import targets
+from .ship import Shipped
 
 
 def implausibility_nth(s: EmulatorSet, z: dict, x: np.ndarray, n: int) -> np.ndarray:
@@ -145,7 +146,7 @@ def idemc_runs(spark: SparkSession, ems, n: int, z: dict, runs: int = 8, **optio
     """Independent runs in parallel: (run, inputs)."""
     es = EmulatorSet.of(ems)
     names = list(es.ranges())
-    shared = spark.sparkContext.broadcast((es, z))
+    shared = Shipped(spark, (es, z))
 
     def f(parts):
         for pdf in parts:

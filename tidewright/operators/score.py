@@ -18,6 +18,7 @@ from ..functions.scalar import scale_columns
 from ..plans.collections import EmulatorSet, Member
 from ..plans.emulator import Emulator, HierarchicalEmulator
 from ..plans.targets import Target, targets
+from .ship import Shipped
 
 #: Training rows of all emulators that may travel in one broadcast.
 MAX_TRAINING_ROWS = 2_000_000
@@ -129,7 +130,7 @@ def score(df: DataFrame, ems, inputs: list[str] | None = None) -> DataFrame:
     s = EmulatorSet.of(ems)
     names = inputs or list(dict.fromkeys(n for m in s.members for n in m.em.inputs))
     cols = [f"{label(m, s)}_{k}" for m in s.members for k in ("exp", "var")]
-    shared = df.sparkSession.sparkContext.broadcast((_checked([m.em for m in s.members]), names))
+    shared = Shipped(df.sparkSession, (_checked([m.em for m in s.members]), names))
 
     def f(x):
         ems, names = shared.value
@@ -176,7 +177,7 @@ def implausibilities(df: DataFrame, ems, z: dict) -> tuple[DataFrame, EmulatorSe
     s = EmulatorSet(keep, s.prop)
     names = list(dict.fromkeys(n for m in s.members for n in m.em.inputs))
     cols = [f"_imp_{i}" for i in range(len(keep))]
-    shared = df.sparkSession.sparkContext.broadcast((_checked([m.em for m in keep]), [zs[m.output, m.surface] for m in keep], names))
+    shared = Shipped(df.sparkSession, (_checked([m.em for m in keep]), [zs[m.output, m.surface] for m in keep], names))
 
     def f(x):
         ems, ts, names = shared.value
@@ -267,7 +268,7 @@ def sequential_imp(df: DataFrame, ems, z: dict, n: int, cutoff, alias: str = "I"
     keep = [m for m in EmulatorSet(s.members).ordered({o: t for (o, _), t in zs.items()}, float(np.mean(cutoff))).members if (m.output, m.surface) in zs]
     cut = {id(m.em): float(c) for m, c in zip(s.members, cutoff, strict=True)} if isinstance(cutoff, (list, tuple)) else {}
     names = list(dict.fromkeys(x for m in keep for x in m.em.inputs))
-    shared = df.sparkSession.sparkContext.broadcast((_checked([m.em for m in keep]), [m.output for m in keep], [zs[m.output, m.surface] for m in keep], [cut.get(id(m.em), cutoff if not cut else 3.0) for m in keep], names))
+    shared = Shipped(df.sparkSession, (_checked([m.em for m in keep]), [m.output for m in keep], [zs[m.output, m.surface] for m in keep], [cut.get(id(m.em), cutoff if not cut else 3.0) for m in keep], names))
 
     def f(x):
         ems, outs, ts, cuts, names = shared.value

@@ -24,6 +24,7 @@ from ..plans.collections import EmulatorSet
 from ..plans.emulator import Emulator, HierarchicalEmulator, solve
 from ..plans.targets import Ranges, convert_ranges
 from . import stats
+from .ship import Shipped
 
 #: Training points that may come to the driver; more are an error, not cut.
 MAX_POINTS = 20_000
@@ -171,18 +172,14 @@ def estimate_hyper(spark, jobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, n
         nug = nugget if nugget is not None else (1e-10 if active.all() else 0.05)
         for k, hp in enumerate(grid):
             rows.append((j, k, max(hp["theta"], gap) if corr_name in REGISTRY and not theta_ranges else hp["theta"], {a: b for a, b in hp.items() if a != "theta"}, nug))
-    shared = spark.sparkContext.broadcast(jobs)
+    shared = Shipped(spark, jobs)
     names = [p for p in REGISTRY[corr_name].params if p != "theta"]
-    kernel = REGISTRY[corr_name]
 
     def run(parts):
-        from ..functions import kernels
-
-        kernels.REGISTRY.setdefault(corr_name, kernel)
         for pdf in parts:
-            out = []
+            out, jobs = [], shared.value
             for j, th, nug, *more in pdf[["job", "theta", "nugget", *names]].itertuples(index=False):
-                x, y, h, active = shared.value[int(j)]
+                x, y, h, active = jobs[int(j)]
                 c = Correlator.of(corr_name, nug, theta=float(th), **dict(zip(names, map(float, more), strict=True)))
                 out.append(_profile(x, y, h, c, active))
             yield pdf.assign(loglik=[v[0] for v in out], sigma=[v[1] for v in out])
@@ -395,7 +392,7 @@ def train_covariance(df: DataFrame, outputs: list[str], ranges, order: int = 2,
 
 
 def fuzzy_two_means(y: np.ndarray, m: float = 2.0, steps: int = 50) -> tuple[np.ndarray, float, float]:
-    """(labels 0/1, objective with one cluster, with two) for fuzzy c-means on squared distances; labels follow the order of the centres."""
+    """(labels 0/1, sum of squares with one cluster, with two times a margin) for fuzzy c-means; labels follow the order of the centres."""
     y = np.atleast_2d(np.asarray(y, float).T).T
     one = float(((y - y.mean(0)) ** 2).sum())
     if len(y) < 4 or one == 0:
@@ -413,8 +410,9 @@ def fuzzy_two_means(y: np.ndarray, m: float = 2.0, steps: int = 50) -> tuple[np.
     labels = np.argmax(u, axis=1)
     if c[0, 0] > c[1, 0]:
         labels = 1 - labels
-    # two clusters must explain far more than halving one blob would
-    return labels, one, float((w * d).sum()) * 4
+    within = sum(float(((y[labels == k] - y[labels == k].mean(0)) ** 2).sum()) for k in (0, 1) if (labels == k).any())
+    # two clusters must explain far more than halving one blob would, the more so in small samples
+    return labels, one, within * 5 * (1 + 6 / len(y))
 
 
 def detect_modes(df: DataFrame, inputs: list[str], outputs: list[str]) -> DataFrame:
