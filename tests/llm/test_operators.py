@@ -353,6 +353,11 @@ def brute_components(texts, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_few_words():
+    assert [len(s) for s in jaccard.shingle_sets(["a b", None, "", "a"], 5)] == [1, 0, 0, 1]
+    assert [len(s) for s in jaccard.shingle_sets([None], 5)] == [0]
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_is_brute_force(docs, n, percent):
     want = brute_components({r.doc_id: r.text for r in docs.collect()}, n, percent)

@@ -50,9 +50,10 @@ _U = np.uint64
 def shingle_sets(texts: list[str | None], n: int):
     """The sorted distinct shingle hashes of each text."""
     for at, to, h, offs in doc_word_hashes(texts):
-        acc = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+        size = max(0, len(h) - n + 1)
+        acc = np.zeros(size, dtype=np.uint64)
         for k in range(n):
-            acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k] + _U(k + 1))
+            acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[k : k + size] + _U(k + 1))
         for i in range(to - at):
             a, b = int(offs[i]), int(offs[i + 1])
             if b - a >= n:
@@ -196,7 +197,8 @@ def _delta_pairs(done: DataFrame, num: int, den: int) -> DataFrame:
     x = post.select("b", "t", *(F.col(c).alias(f"{c}1") for c in ("a", "m", "k", "linked", "pos")))
     y = post.select("b", "t", *(F.col(c).alias(f"{c}2") for c in ("a", "m", "k", "linked", "pos")))
     need = (F.col("k1") + F.col("k2") - F.lit(den - num) * (F.col("m1") + F.col("m2")) / s) / 2
-    able = F.least("pos1", "pos2") + 1 + F.least(F.col("k1") - F.col("pos1") - 1, F.col("k2") - F.col("pos2") - 1)
+    # holds for the first token that a linked pair shares: all others come after it in both
+    able = F.least(F.col("k1") - F.col("pos1"), F.col("k2") - F.col("pos2"))
     both = x.join(y, ["b", "t"]).filter((F.col("a1") < F.col("a2")) & ~(F.col("linked1") & F.col("linked2")) & (able >= need - 1e-6))
     return both.select(F.col("a1").alias("a"), F.col("a2").alias("b"))
 
@@ -207,7 +209,8 @@ def _small_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     x = g.select("t", F.col("key").alias("a"), F.col("m").alias("m1"), F.col("pos").alias("p1"))
     y = g.select("t", F.col("key").alias("b"), F.col("m").alias("m2"), F.col("pos").alias("p2"))
     need = F.lit(num) * (F.col("m1") + F.col("m2")) / (num + den)
-    able = F.least("p1", "p2") + 1 + F.least(F.col("m1") - F.col("p1") - 1, F.col("m2") - F.col("p2") - 1)
+    # holds for the first shingle that a linked pair shares (or that one's group is a larger one)
+    able = F.least(F.col("m1") - F.col("p1"), F.col("m2") - F.col("p2"))
     ok = (F.col("a") < F.col("b")) & (F.least("m1", "m2") * den >= F.greatest("m1", "m2") * num) & (able >= need - 1e-6)
     return x.join(y, "t").filter(ok).select("a", "b")
 
@@ -256,9 +259,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
         comp = saved(components(first.unionByName(more)), "components")
     for t in (groups, light, texts, done, more):
         dropped(t)
-    out = rows.select("doc_id", "key", F.col("m").cast("long").alias("n_shingles")).join(comp.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    low = out.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
-    return out.join(low, "root", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    # components are named on nodes, so a large one is no group of rows
+    low = nodes.groupBy("key").agg(F.min("doc_id").alias("low"))
+    named = low.join(comp.select(F.col("node").alias("key"), "root"), "key", "left")
+    least = named.filter("root is not null").groupBy("root").agg(F.min("low").alias("g"))
+    names = named.join(least, "root", "left").select("key", F.coalesce("g", "low").alias("name"))
+    return rows.join(names, "key", "left").select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
 
 
 def _own_text(fetched: DataFrame, n: int) -> DataFrame:
@@ -281,10 +287,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     without ids keeps one of them.
     """
     found = join(docs, n, percent, key, text)
-    names = docs.columns
-    flags = found.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"), F.col("n_shingles").alias("_n")).distinct()
-    lead = flags.filter((F.col("_n") == 0) | F.col("_id").eqNullSafe(F.col("_c"))).groupBy("_id").agg(F.min(F.col("_n")).alias("_min"))
-    kept = docs.join(lead, docs[key].eqNullSafe(lead["_id"]))
+    flags = found.select(F.col("doc_id").alias("__tw_id"), F.col("component_id").alias("__tw_c"), F.col("n_shingles").alias("__tw_n"))
+    lead = flags.filter((F.col("__tw_n") == 0) | F.col("__tw_id").eqNullSafe(F.col("__tw_c"))).select("__tw_id").distinct()
+    kept = docs.join(lead, docs[key].eqNullSafe(lead["__tw_id"]), "left_semi")
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = kept.withColumn("_same", F.when(blank, F.monotonically_increasing_id()).otherwise(F.xxhash64(text)))
-    return marked.dropDuplicates([key, "_same"]).select(*names)
+    marked = kept.withColumn("__tw_same", F.when(blank, F.monotonically_increasing_id()).otherwise(F.xxhash64(text)))
+    return marked.dropDuplicates([key, "__tw_same"]).drop("__tw_same")
