@@ -35,6 +35,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), ""), lambda t: F.xxhash64(t))
 
 
+def _once(c: Column, name: str) -> Column:
+    """A column that is computed before what uses it, where projections would else be merged into lambdas and run again for each element."""
+    return F.explode(F.array(c)).alias(name)
+
+
 def windows(df: DataFrame, h: str, *keep: str) -> DataFrame:
     """One row for each window of SPAN tokens: ``keep``, its position, and a seed for each mask."""
     n = F.size(h) - SPAN + 1
@@ -62,7 +67,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     for b in range(blocks):
         mine = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else bench
         seeds = windows(mine, "ih", "item_id")
-        w = windows(d.select("doc_id", "th", tokens(F.col("text")).alias("dh")), "dh", "doc_id", "th")
+        w = windows(d.select("doc_id", "th", _once(tokens(F.col("text")), "dh")), "dh", "doc_id", "th")
         for i in range(len(MASKS)):
             of = seeds.groupBy(F.col(f"s{i}").alias(f"k{i}")).agg(F.collect_set(F.struct("item_id", F.col("p").alias("ip"))).alias(f"m{i}"))
             w = w.join(F.broadcast(of), F.col(f"s{i}") == F.col(f"k{i}"), "left")
@@ -74,12 +79,12 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         hits = one if hits is None else hits.unionByName(one)
     # compared from WINDOW tokens before the first seed to WINDOW after the last, within both texts
     c = hits.join(bench, "item_id").join(d.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "text"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    c = c.withColumn("dh", tokens(F.col("text"))).drop("text")
+    c = c.select("*", _once(tokens(F.col("text")), "dh")).drop("text")
     a = F.greatest(F.lit(0), F.col("lo") - WINDOW, -F.col("shift"))
     z = F.least(F.size("ih"), F.col("hi") + SPAN + WINDOW, F.size("dh") - F.col("shift"))
     c = c.withColumn("a", a).withColumn("n", z - a)
     agree = F.zip_with(F.slice("ih", F.col("a") + 1, F.col("n")), F.slice("dh", F.col("a") + F.col("shift") + 1, F.col("n")), lambda x, y: (x == y).cast("int"))
-    c = c.select("doc_id", "th", "item_id", (F.col("a") + F.col("shift")).alias("doc_start"), F.least(F.lit(WINDOW), F.col("n")).alias("window"), agree.alias("agree"))
+    c = c.select("doc_id", "th", "item_id", (F.col("a") + F.col("shift")).alias("doc_start"), F.least(F.lit(WINDOW), F.col("n")).alias("window"), _once(agree, "agree"))
     c = c.withColumn("best", _best(F.col("agree"))).withColumn("matched", F.aggregate("agree", F.lit(0), lambda s, x: s + x))
     return c.filter(F.col("best") >= F.ceil(F.col("window") * MATCH)).select("doc_id", "item_id", "matched", "best", "window", "doc_start", "th")
 
@@ -92,5 +97,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
-    bad = find(docs, benchmark, key=key, text=text, **names).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_t")), "left_anti")
+    bad = find(docs, benchmark, key=key, text=text, **names).select(F.col("doc_id").alias("__tw_d"), F.col("th").alias("__tw_t")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__tw_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__tw_t")), "left_anti")
