@@ -69,5 +69,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: What the archives must give back.
+_WARC_SQL = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, url, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, url, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (digest)"""
+
+#: Every pair of sets that share a shingle, then the transitive closure of the links.
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM w),
+sets AS (SELECT DISTINCT ON (k) doc_id AS rep, k, s FROM (SELECT doc_id, s, md5(array_to_string(list_sort(s), '|')) AS k FROM g WHERE len(s) > 0) ORDER BY k, doc_id),
+t AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+named AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT g.doc_id, len(g.s) AS n_shingles, coalesce(named.component_id, g.doc_id) AS component_id
+FROM g LEFT JOIN sets ON sets.k = md5(array_to_string(list_sort(g.s), '|')) AND len(g.s) > 0 LEFT JOIN named ON named.rep = sets.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
