@@ -535,6 +535,20 @@ def test_seed_blocks_agree(spark, docs, sf, monkeypatch):
 # ------------------------------------------------------------------ queries
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want, got = c.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, sf).toPandas()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    a, b = (d[cols].sort_values(cols).reset_index(drop=True).astype(str).replace({"<NA>": "nan", "None": "nan"}) for d in (got, want))
+    assert (a == b).all().all()
+
+
 def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
