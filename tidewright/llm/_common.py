@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch while an intermediate table is made: texts of any length pass through Python in small pieces.
+BATCH_ROWS = 1000
 #: Text bytes handled at once by the vectorised operators.
 CHUNK_BYTES = 2 << 20
 
@@ -74,7 +76,14 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
     return out
