@@ -19,10 +19,10 @@ from pyspark.sql.types import StructType
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch while an intermediate table is made: texts of any length pass through Python in small pieces.
+#: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 #: Text bytes handled at once by the vectorised operators.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 900_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], lis
     ``make`` runs once in a task; the function that it returns takes the
     batch's columns as Python lists and returns the output columns as lists.
     """
+    small_batches(df.sparkSession)
     fields = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +73,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts of any length pass to Python in small pieces; a session that asks for less keeps its value."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def saved(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    small_batches(spark)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the table is whole once it is written: its shuffle files may go
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(rows, before)
+        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
     return out

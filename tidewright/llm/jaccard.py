@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed
+from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed, small_batches
 from .graph import components
 
 SKETCH_BITS = 19
@@ -73,6 +73,7 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
 
     Each task sums up its own; slices of them are added up as a stream.
     """
+    small_batches(docs.sparkSession)
     size = 1 << SKETCH_BITS
     step = size // SLICES
 

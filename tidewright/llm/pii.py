@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows
+from ._common import map_rows, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -220,8 +220,8 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the identifiers in ``text`` masked; other columns and rows stay as they are."""
     from pyspark.sql.types import StructType
 
-    names = df.columns
-    at = names.index(text)
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
 
     def run(batches):
         import pyarrow as pa

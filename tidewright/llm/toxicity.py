@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, saved
+from ._common import map_rows, saved, small_batches
 
 MAX_ROWS = 12_000
 MAX_TERMS = 2_000
@@ -322,6 +322,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` that score below 0.5, with all their columns."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
