@@ -178,6 +178,21 @@ def test_common_and_rare_words_agree(docs, monkeypatch):
     assert np.allclose(ngram_lm.score(docs, F.lit(True)).toPandas().sort_values("doc_id")["base_score"].to_numpy(), want)
 
 
+def test_large_filter_reads_the_same(docs, monkeypatch):
+    """Beyond the broadcast limit texts are probed at the blocks: no entry loses bits."""
+    of = lambda: ngram_lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
+    want = of()
+    monkeypatch.setattr(ngram_lm, "MAX_FILTER_BYTES", 1 << 14)
+    got = of()
+    assert np.allclose(got["score"], want["score"]) and np.allclose(got["base_score"], want["base_score"])
+    assert got[["doc_id", "n_tokens", "n_known"]].equals(want[["doc_id", "n_tokens", "n_known"]])
+
+
+def test_full_filter_ends():
+    f = ngram_lm.Filter(b"\xff" * 8, np.array([64])).open()
+    assert f.read(np.arange(5, dtype=np.uint64)).tolist() == [len(ngram_lm.LEVELS)] * 5
+
+
 def test_filter_reads_counts():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))

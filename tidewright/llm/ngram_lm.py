@@ -4,9 +4,9 @@ Counts of words and word pairs are quantised to levels (exact to six, then a
 quarter apart) and stored in unary: an n-gram of level q is put in the filter
 with each of 1..q. A count is read by membership probes at levels 1, 2, ...
 until one misses. The filter is built in blocks, one for each range of n-gram
-hashes, from counts merged in that range; the blocks, together growing with the
-number of entries up to ``MAX_FILTER_BYTES`` (beyond which entries get fewer
-bits and reads more false positives; none is left out), are broadcast.
+hashes, from counts merged in that range, with ``BITS`` bits for each entry at
+any corpus size. Blocks of together at most ``MAX_FILTER_BYTES`` are broadcast;
+beyond that the n-grams of the texts travel to the blocks and their levels back.
 
 A word's probability interpolates c(prev, word)/c(prev) with
 (c(word)+1)/(N+V+1), all from probes; the weights depend on the level of
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_word_hashes, map_rows, mix, saved, signed
+from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed
 
 _U = np.uint64
 END, START = _U(0x0E0D5E17A11CE5ED), _U(0x57A27000000000B5)
@@ -106,7 +106,7 @@ class Filter:
         sizes, firsts = self.sizes[block], self.firsts[block]
         alive = alive[sizes > 0]
         q = 0
-        while len(alive):
+        while len(alive) and q < len(LEVELS):
             q += 1
             k, s, f = keys[alive], sizes[alive], firsts[alive]
             live = np.arange(len(alive))
@@ -150,7 +150,6 @@ def count(train: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """
     size = train.agg(F.sum(F.octet_length(text))).first()[0] or 0
     power = max(2, min(13, (size >> 23).bit_length()))
-    bits_each = min(BITS, 8 * MAX_FILTER_BYTES / max(1, size / 2))
     ranges, shift = 1 << power, _U(64 - power)
 
     def run(batches):
@@ -199,7 +198,7 @@ def count(train: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
         def made(r, words, pairs):
             w, wc = summed(words)
             p, pc = summed(pairs)
-            block, bits, entries = block_of(np.concatenate([word_key(w), p]), np.concatenate([wc, pc]), bits_each)
+            block, bits, entries = block_of(np.concatenate([word_key(w), p]), np.concatenate([wc, pc]), BITS)
             row = [[r], [w.tobytes()], [wc.tobytes()], [int(wc.sum())], [entries], [bits], [block]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "words", "counts", "n", "entries", "bits", "block"])
 
@@ -252,53 +251,135 @@ def _common(merged: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def contexts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Levels of the contexts' counts from those of the words: a text's first context is its end, its last word."""
+    q = np.empty_like(words)
+    q[1:] = words[:-1]
+    q[starts] = words[np.append(starts[1:], len(words)) - 1]
+    return q
+
+
 class Model:
-    def __init__(self, filter_: Filter, n: int, v: int, weights: np.ndarray):
-        self.filter, self.n, self.v, self.weights = filter_, n, v, weights
-
-    def values(self, seq: np.ndarray, prev: np.ndarray):
-        """For each token: level of its context's count, and the counts of word, context and pair."""
-        words, at = np.unique(np.concatenate([seq, np.where(prev == START, END, prev)]), return_inverse=True)
-        c = self.filter.read(word_key(words))[at]
-        pairs, where = np.unique(pair_key(prev, seq), return_inverse=True)
-        both = self.filter.read(pairs)[where]
-        value = np.concatenate([[0], LEVELS])
-        q = c[len(seq) :]
-        return q, value[c[: len(seq)]], value[q], value[both]
+    """Probabilities from levels of words, contexts and pairs."""
+
+    def __init__(self, n: int, v: int, weights: np.ndarray):
+        self.n, self.v, self.weights = n, v, weights
 
-    def log10(self, seq: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        q, w, ctx, pair = self.values(seq, prev)
+    def log10(self, word: np.ndarray, q: np.ndarray, both: np.ndarray) -> np.ndarray:
+        value = np.concatenate([[0], LEVELS])
+        w, ctx, pair = value[word], value[q], value[both]
         lam = np.where(ctx > 0, self.weights[q], 0.0)
         ratio = np.minimum(1.0, pair / np.maximum(ctx, 1))
         return np.log10(lam * ratio + (1 - lam) * (w + 1) / (self.n + self.v + 1))
 
 
-def _weights(train: DataFrame, rows: int, shared, text: str) -> np.ndarray:
-    """For each level of the context's count the weight of GRID with the best leave-one-out likelihood on a bounded sample."""
-    share = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, rows)))
-    sample = train.select(F.col(text).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)
+def _unpacked(texts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word levels, context levels, pair levels, starts of the texts) of texts' packed levels."""
+    word, both = (np.frombuffer(b"".join(t[i] for t in texts), np.uint8) for i in (0, 1))
+    starts = np.cumsum([0, *(len(t[0]) for t in texts)])[:-1].astype(np.int64)
+    return word, contexts(word, starts), both, starts
+
+
+def _weights(levels: DataFrame, n: int, v: int) -> np.ndarray:
+    """For each level of the context's count the weight of GRID with the best leave-one-out likelihood of the texts whose levels (wl, pl) are given."""
     size = len(LEVELS) + 1
 
     def run(batches):
-        m = shared.value
-        m.filter.open()
-        total = np.zeros((size, len(GRID)))
+        seen = np.zeros(size**3, dtype=np.int64)
         for b in batches:
-            for _, _, seq, _, prev in sequences(b.column(0).to_pylist()):
-                q, w, ctx, pair = m.values(seq, prev)
-                ratio = np.clip((pair - 1) / np.maximum(ctx - 1, 1), 0, 1)
-                uni = np.maximum(w, 1) / (m.n + m.v)
-                for g, lam in enumerate(GRID):
-                    total[:, g] += np.bincount(q, np.log(lam * ratio + (1 - lam) * uni), size)
+            word, q, both, _ = _unpacked(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+            seen += np.bincount((q.astype(np.int64) * size + word) * size + both, minlength=size**3)
+        at = np.flatnonzero(seen)
+        q, word, both = at // size**2, at // size % size, at % size
+        value = np.concatenate([[0], LEVELS])
+        ratio = np.clip((value[both] - 1) / np.maximum(value[q] - 1, 1), 0, 1)
+        uni = np.maximum(value[word], 1) / (n + v)
+        total = np.zeros((size, len(GRID)))
+        for g, lam in enumerate(GRID):
+            total[:, g] = np.bincount(q, seen[at] * np.log(lam * ratio + (1 - lam) * uni), size)
         yield pa.RecordBatch.from_arrays([pa.array(total.ravel().tolist(), pa.float64()), pa.array(range(total.size), pa.int32())], ["v", "i"])
 
-    got = sample.mapInArrow(run, "v double, i int").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    got = levels.select("wl", "pl").mapInArrow(run, "v double, i int").groupBy("i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros(size * len(GRID))
     for r in got:
         total[r.i] = r.v
     return GRID[np.argmax(total.reshape(size, len(GRID)), axis=1)]
 
 
+def _runs(batches):
+    """Lists of the rows with the same first column, where those stand together."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and r[0] != now:
+                yield rows
+                rows = []
+            now = r[0]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _probed(part: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
+    """``part`` (chunk, rid, seq) with levels in place of ``seq``, (rid, wl, pl), read where the blocks are.
+
+    Each chunk sends its n-grams, each once, to the ranges' blocks, and gets their levels back.
+    """
+    shift = _U(64 - (ranges.bit_length() - 1))
+
+    def pairs(seq):
+        prev = np.empty_like(seq)
+        prev[1:], prev[0] = seq[:-1], START
+        return pair_key(prev, seq)
+
+    def ask(batches):
+        for rows in _runs(batches):
+            seqs = [np.frombuffer(r[1], np.uint64) for r in rows]
+            keys = np.unique(np.concatenate([word_key(np.unique(np.concatenate(seqs))), *map(pairs, seqs)]))
+            cut = np.searchsorted((keys >> shift).astype(np.int64), np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[0][0]] * len(some), pa.int64()), pa.array([keys[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.nulls(len(some), pa.int64())], ["range", "chunk", "data", "bits"])
+
+    def answer(batches):
+        now, block = None, None
+        for b in batches:
+            out = []
+            for r, chunk, data, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bits is not None:
+                    now, block = r, Filter(data, np.array([bits])).open()
+                    continue
+                keys = np.frombuffer(data, np.uint64)
+                q = block.read(keys) if r == now else np.zeros(len(keys), np.int64)
+                out.append((chunk, data, q.astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["chunk", "keys", "levels"])
+
+    def tell(batches):
+        now, held, keys, levels = None, [], None, None
+        for b in batches:
+            out = []
+            for chunk, rid, data, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now:
+                    now, held, keys = chunk, [], None
+                if rid is None:
+                    held.append((data, got))
+                    continue
+                if keys is None:
+                    keys, first = np.unique(np.frombuffer(b"".join(k for k, _ in held), np.uint64), return_index=True)
+                    levels, held = np.frombuffer(b"".join(q for _, q in held), np.uint8)[first], []
+                seq = np.frombuffer(data, np.uint64)
+                out.append((rid, *(levels[np.searchsorted(keys, k)].tobytes() for k in (word_key(seq), pairs(seq)))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["rid", "wl", "pl"])
+
+    blocks = merged.filter("bits > 0").select("range", F.lit(None).cast("long").alias("chunk"), F.col("block").alias("data"), "bits")
+    asked = part.select("chunk", "seq").mapInArrow(ask, "range int, chunk long, data binary, bits long")
+    dealt = blocks.unionByName(asked).repartition(min(ranges, 2000), "range").sortWithinPartitions("range", F.col("bits").isNull())
+    levels = saved(dealt.mapInArrow(answer, "chunk long, keys binary, levels binary"), "levels")
+    both = levels.select("chunk", F.lit(None).cast("long").alias("rid"), F.col("keys").alias("data"), "levels").unionByName(part.select("chunk", "rid", F.col("seq").alias("data"), F.lit(None).cast("binary").alias("levels")))
+    told = saved(both.repartition(min(ranges, 2000), "chunk").sortWithinPartitions("chunk", "rid").mapInArrow(tell, "rid long, wl binary, pl binary"), "told")
+    dropped(levels)
+    return told
+
+
 def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row; learns from the rows where ``in_training`` holds."""
     spark = docs.sparkSession
@@ -307,12 +388,7 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
     merged, ranges = count(train)
     sums = merged.agg(F.sum("n").alias("n"), F.sum(F.octet_length("words") / 8).cast("long").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
-    flt = _filter(merged, ranges)
-    base = Model(flt, n, v, np.zeros(len(LEVELS) + 1))
-    if n:
-        first = spark.sparkContext.broadcast(base)
-        base.weights = _weights(train, train.count(), first, "text")
-        first.destroy()
+    share = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, train.count())))
     # frequent words: the lowest level above which at most MAX_COMMON words stand
     words = _word_rows(merged)
     by_count = words.groupBy(F.least(F.col("c"), F.lit(100_000)).alias("c")).count().collect()
@@ -322,41 +398,64 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
             break
         total, floor = total + r["count"], r.c
     hs, cs = _common(merged, floor)
-    shared = spark.sparkContext.broadcast((base, hs, cs))
+    whole = (merged.agg(F.sum("bits")).first()[0] or 0) <= 8 * MAX_FILTER_BYTES
+    shared = spark.sparkContext.broadcast((_filter(merged, ranges) if whole else None, hs, cs))
 
     def make():
-        m, hs, cs = shared.value
-        m.filter.open()
+        flt, hs, cs = shared.value
+        if flt:
+            flt.open()
         log_c = np.log10(cs + 1.0)
-        unit = float(np.log10(m.n + m.v + 1))
+        unit = float(np.log10(n + v + 1))
 
         def f(cols):
-            out = [[] for _ in range(6)]
-            for at, to, seq, starts, prev in sequences(cols[2]):
+            out = [[] for _ in range(9)]
+            for at, to, seq, starts, prev in sequences(cols[3]):
                 words, back = np.unique(seq, return_inverse=True)
                 spot = np.minimum(np.searchsorted(hs, words), max(0, len(hs) - 1))
                 found = hs[spot] == words if len(hs) else np.zeros(len(words), bool)
                 gain = np.where(found, log_c[spot] if len(hs) else 0.0, 0.0)[back]
                 known = found[back]
                 sizes = np.diff(np.append(starts, len(seq)))
-                out[0] += sizes.tolist()
-                out[1] += np.add.reduceat(known.astype(np.int64), starts).tolist()
-                out[2] += (np.add.reduceat(gain, starts) - sizes * unit).tolist()
-                out[3] += np.add.reduceat(m.log10(seq, prev), starts).tolist()
+                out[0] += [cols[0][at]] * (to - at)
+                out[1] += sizes.tolist()
+                out[2] += np.add.reduceat(known.astype(np.int64), starts).tolist()
+                out[3] += (np.add.reduceat(gain, starts) - sizes * unit).tolist()
+                if flt:
+                    word = flt.read(word_key(words)).astype(np.uint8)[back]
+                    keys, where = np.unique(pair_key(prev, seq), return_inverse=True)
+                    both = flt.read(keys).astype(np.uint8)[where]
                 for a, k in zip(starts, sizes, strict=True):
                     rest = seq[a : a + k][~known[a : a + k]]
                     h, c = np.unique(rest, return_counts=True)
                     out[4].append(signed(h).tolist())
                     out[5].append(c.tolist())
-            return [cols[0], cols[1], *out]
+                    out[6].append(word[a : a + k].tobytes() if flt else None)
+                    out[7].append(both[a : a + k].tobytes() if flt else None)
+                    out[8].append(None if flt else seq[a : a + k].tobytes())
+            return [*cols[:3], *out]
+
+        return f
+
+    learns = in_training & (F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30)) < share)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), F.col(text))
+    part = saved(map_rows(rows, f"rid long, doc_id {kind}, learns boolean, chunk long, n_tokens long, known long, base double, h array<long>, k array<int>, wl binary, pl binary, seq binary", make), "scores")
+    levels = part.select("rid", "wl", "pl") if whole else _probed(part, merged, ranges)
+    of = part.filter("learns").select("rid", "wl", "pl") if whole else levels.join(part.filter("learns").select("rid"), "rid")
+    model = Model(n, v, _weights(of, n, v) if n else np.zeros(len(LEVELS) + 1))
+
+    def finish():
+        def f(cols):
+            word, q, both, starts = _unpacked(list(zip(cols[-2], cols[-1], strict=True)))
+            return [*cols[:-2], np.add.reduceat(model.log10(word, q, both), starts).tolist() if len(starts) else []]
 
         return f
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.col(text))
-    part = saved(map_rows(rows, f"rid long, doc_id {kind}, n_tokens long, known long, base double, score double, h array<long>, k array<int>", make), "scores")
+    head = part.select("rid", "doc_id", "n_tokens", "known", "base", *(("wl", "pl") if whole else ()))
+    scored = map_rows(head if whole else head.join(levels, "rid"), f"rid long, doc_id {kind}, n_tokens long, known long, base double, score double", finish)
     rest = part.select("rid", F.inline(F.arrays_zip("h", "k"))).join(words, "h")
     more = rest.groupBy("rid").agg(F.sum("k").alias("k2"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("g"))
-    out = part.select("rid", "doc_id", "n_tokens", "known", "base", "score").join(more, "rid", "left")
+    out = scored.join(more, "rid", "left")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("g", F.lit(0.0))).alias("base_score"), "score")
 
 
