@@ -306,6 +306,28 @@ def test_toxicity_learns(spark):
     assert toxicity.keep_clean(d, m).filter("toxic = 1").count() < 5
 
 
+def test_every_term_is_sought_misspelled():
+    """A rare term, a term that one clean text quotes, and words whose stem is chosen."""
+    rows = [("grubber", False, 20, 0), ("worthless", False, 300, 1), ("moronic", False, 90, 0), ("moronics", False, 80, 0), ("moron", True, 170, 0), ("moron", False, 100, 0)]
+    terms = toxicity._choose(rows, 1000, 9000, 100)
+    assert terms["moron"][0]
+    t = toxicity.Trie(terms)
+    for word in ("gruber", "worthles", "mroonic", "mor0n", "moromics", "morn"):
+        assert (t.weigh(word, frozenset()) > 0) == any(distance(word, w) <= toxicity.edits_allowed(w) for w in ("grubber", "worthless", "moronic", "moronics", "moron"))
+    assert all(t.weigh(w, frozenset()) > 0 for w in ("gruber", "worthles", "mor0n", "m0ronic"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["stupid", "worthless", "moron", "disgusting"]), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 10), st.sampled_from("abst")), max_size=2))
+def test_pieces_pass_every_misspelling(term, edits):
+    word = term
+    for kind, at, c in edits:
+        at = min(at, len(word))
+        word = word[:at] + ("" if kind == 0 else c) + word[at + (kind != 1) :]
+    t = toxicity.Trie({term: (False, 1.0, True)})
+    assert t.near(word) or distance(word, term) > toxicity.edits_allowed(term)
+
+
 def test_quotation():
     q = toxicity.Scorer.quotation
     words = 'he said "you idiot" and left'.split()

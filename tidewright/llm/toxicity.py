@@ -3,13 +3,15 @@
 The lexicon is learned from labelled rows: whole words and word stems whose
 share among toxic documents is far above that among others. A trie holds it.
 Each new word runs a Levenshtein automaton (its states are rows of edit
-distances) down the trie: exact terms, stems, and misspellings of long terms
-are caught; words known from clean documents are never taken for misspellings.
+distances) down the trie: exact terms, stems, and misspellings of every whole
+word of the lexicon with five letters or more are caught, also where a stem
+stands for the word; words known from clean documents are never misspellings.
 A window of words around a hit separates quotation (quote marks, reporting
 verbs) from abuse. A logistic model over the sums gives the score.
 
 Fitting uses a bounded sample: the share of labelled rows, by hash of the id,
-that makes ``max_rows`` of them on average; the lexicon holds at most ``max_terms`` terms.
+that makes ``max_rows`` of them on average; the lexicon holds at most ``max_terms``
+terms, and as many whole words beside its stems.
 
 Defined results: null and empty texts get the score of a text without hits;
 with no labels, or only one, every score is the (smoothed) share of label 1;
@@ -32,8 +34,6 @@ MAX_TERMS = 2_000
 MAX_KNOWN = 30_000
 WINDOW = 6
 STEM = range(3, 9)
-#: Misspellings are sought of words in at least this share of toxic texts (and in three of them) and in no other.
-FUZZY_SHARE = 0.05
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…"
 QUOTES = frozenset("\"“”„«»")
 # Words that report what someone else has said.
@@ -44,48 +44,76 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _deleted(word: str, k: int) -> set[str]:
+    """The word with up to ``k`` letters left out: strings within k edits of each other have one of these in common."""
+    out = now = {word}
+    for _ in range(k):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
+    return out
+
+
 class Trie:
-    """Terms with (stem, weight, fuzzy); ``match`` intersects the trie of the fuzzy ones with a word's Levenshtein automaton."""
+    """Terms with (stem, weight, fuzzy); ``match`` intersects the trie of the fuzzy ones that share a deletion with a word and its Levenshtein automaton."""
 
     def __init__(self, terms: dict[str, tuple[bool, float, bool]]):
         self.terms = {t: (stem, w) for t, (stem, w, _) in terms.items()}
-        self.root: dict = {}
-        self.pieces: dict[tuple[int, str], set[int]] = {}
+        self.deleted: tuple[dict, dict] = {}, {}
+        pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
         self.stems = {t: w for t, (stem, w) in self.terms.items() if stem}
         self.longest_stem = max(map(len, self.stems), default=0)
-        shapes = set()
-        for t, (stem, _, fuzzy) in terms.items():
+        for t, (_, _, fuzzy) in terms.items():
             k = edits_allowed(t)
-            if stem or not fuzzy or not k:
+            if not fuzzy or not k:
                 continue
-            node = self.root
-            for c in t:
-                node[None] = max(node.get(None, 0), k)
-                node = node.setdefault(c, {})
-            node[None] = max(node.get(None, 0), k)
-            node[""] = t
-            for i in range(k + 1):  # with k edits one of k + 1 pieces stays whole, shifted by k at most
+            for x in _deleted(t, k):
+                self.deleted[k - 1].setdefault(x, []).append(t)
+            if k == 1:
+                continue
+            # with k edits one of k + 1 pieces stays whole: piece i with at most i edits before it and k - i after
+            for i in range(k + 1):
                 a, b = len(t) * i // (k + 1), len(t) * (i + 1) // (k + 1)
-                self.pieces.setdefault((a, t[a:b]), set()).update(range(len(t) - k, len(t) + k + 1))
-                shapes.update((a, s, b - a) for s in (range(max(0, a - k), a + k + 1) if a else (0,)))
-        self.shapes = sorted(shapes)
+                for d in range(-min(i, a), i + 1):
+                    for size in range(len(t) + d - k + i, len(t) + d + k - i + 1):
+                        pieces.setdefault(size, {}).setdefault((a + d, b + d), set()).add(t[a:b])
+        self.pieces = {size: [(a, b, frozenset(of)) for (a, b), of in sorted(at.items())] for size, at in pieces.items()}
 
     def near(self, word: str) -> bool:
-        size, pieces = len(word), self.pieces
-        for a, s, n in self.shapes:
-            lengths = pieces.get((a, word[s : s + n]))
-            if lengths and size in lengths:
-                return True
-        return False
-
-    def match(self, word: str) -> tuple[str, int] | None:
+        return bool(self.like(word))
+
+    def like(self, word: str) -> set[str]:
+        """All terms within their edits of the word, and some others."""
+        out, (one, two) = set(), self.deleted
+        if 4 <= len(word) <= 9:
+            for i in range(len(word)):
+                x = word[:i] + word[i + 1 :]
+                if x in one:
+                    out.update(one[x])
+            out.update(one.get(word, ()))
+        for a, b, of in self.pieces.get(len(word), ()):
+            if word[a:b] in of:
+                for x in _deleted(word, 2):
+                    if x in two:
+                        out.update(two[x])
+                break
+        return out
+
+    def match(self, word: str, like: set[str] | None = None) -> tuple[str, int] | None:
         """The best term: fewest edits, then the longest; None if no term is within its edits.
 
         The automaton's state is a row of edit distances, kept within a band of
         the edits that terms below a node allow; a dead state ends the walk.
         """
+        root: dict = {None: 0}
+        for t in self.like(word) if like is None else like:
+            node, k = root, edits_allowed(t)
+            for c in t:
+                node[None] = max(node[None], k)
+                node = node.setdefault(c, {None: 0})
+            node[None] = max(node[None], k)
+            node[""] = t
         best, size = None, len(word)
-        stack = [(self.root, 0, {j: j for j in range(min(size, self.root.get(None, 0)) + 1)})]
+        stack = [(root, 0, {j: j for j in range(min(size, root[None]) + 1)})]
         while stack:
             node, depth, row = stack.pop()
             t = node.get("")
@@ -116,10 +144,11 @@ class Trie:
             w = self.stems.get(word[:n])
             if w is not None and len(word) >= n:
                 return w
-        if word in known or not 4 <= len(word) <= 40 or not self.near(word):
+        if word in known or not 4 <= len(word) <= 40:
             return 0.0
-        m = self.match(word)
-        if m is None or self.terms[m[0]][0]:
+        like = self.like(word)
+        m = self.match(word, like) if like else None
+        if m is None:
             return 0.0
         return self.terms[m[0]][1] * 0.8 ** m[1]
 
@@ -205,24 +234,34 @@ def _all_terms(words: set[str]) -> list[tuple[str, bool]]:
 
 
 def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, float, bool]]:
-    """Terms by falling gain; a term under a chosen stem, or a stem of a chosen term, goes."""
+    """Terms by falling gain; a stem of a chosen term goes, and so does a stem under a chosen stem.
+
+    Whole words are sought misspelled; those under a chosen stem stay beside it for that (``most`` of them).
+    """
     found = []
     for term, stem, a, b in rows:
         lift = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         expected = max(1e-9, (a + b) * n1 / max(1, n1 + n0))
         g = 2 * (a * math.log(a / expected) - (a - expected))
         if lift > 1.0 and g > 8:
-            found.append((a * lift, len(term), term, stem, lift, a >= max(3, FUZZY_SHARE * n1) and not b))
+            found.append((a * lift, len(term), term, stem, lift))
     found.sort(key=lambda x: (-x[0], -x[1], x[2]))
     chosen: dict[str, tuple[bool, float, bool]] = {}
     covered: set[str] = set()
-    for _, _, term, stem, lift, fuzzy in found:
-        if len(chosen) == most:
-            break
-        if term in chosen or any(term[:n] in chosen and chosen[term[:n]][0] for n in range(3, len(term) + 1)) or (stem and term in covered):
+    under: list[tuple[str, float]] = []
+    taken: set[str] = set()
+    for _, _, term, stem, lift in found:
+        below = any(term[:n] in taken for n in range(3, len(term) + 1))
+        if below and not stem:
+            under.append((term, lift))
+        if term in chosen or below or (stem and term in covered) or len(chosen) == most:
             continue
-        chosen[term] = (stem, lift, fuzzy)
+        chosen[term] = (stem, lift, not stem)
+        if stem:
+            taken.add(term)
         covered.update(term[:n] for n in range(1, len(term) + 1))
+    for term, lift in under[:most]:
+        chosen[term] = (*chosen[term][:2], True) if term in chosen else (False, lift, True)
     return chosen
 
 
@@ -271,9 +310,20 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: st
     def like_terms(words):
         if not tries:
             tries.append(Trie(held.value))
-        return [(w, False) for w in words if tries[0].near(w) and tries[0].weigh(w, frozenset())]
+            memo.clear()
+        out = []
+        for w in words:
+            hit = memo.get(w)
+            if hit is None:
+                if len(memo) > 300_000:
+                    memo.clear()
+                hit = memo[w] = tries[0].near(w) and tries[0].weigh(w, frozenset()) > 0
+            if hit:
+                out.append((w, False))
+        return out
 
     tries: list[Trie] = []  # one in each worker
+    memo: dict[str, bool] = {}
     known = frozenset(r.term for r in _counted(clean, like_terms).filter("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_KNOWN).collect() if r.term not in terms)
     shared = rows.sparkSession.sparkContext.broadcast((terms, known))
 
