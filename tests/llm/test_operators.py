@@ -248,6 +248,24 @@ def test_disguises():
     assert found("we met at noon, one or two of us; look at the dot") == []
 
 
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("write alice at example.com now", "email", "alice at example.com"),
+        ("call +1 415 five five five 0123 now", "phone", "+1 415 five five five 0123"),
+        ("call +1 415 (five five five) 0123, five", "phone", None),
+        ("john [\u0430t] mail [d\u043et] org", "email", "john [\u0430t] mail [d\u043et] org"),
+        ("call +1 415 fi\u200bve fi\u200bve five 0123 now", "phone", "+1 415 fi\u200bve fi\u200bve five 0123"),
+        ("a.b@mail.com dot au", "email", "a.b@mail.com dot au"),
+    ],
+)
+def test_every_transducer_runs(text, kind, part):
+    spans = pii.find(text)[1]
+    assert any(k == kind and (part is None or text[a:b] == part) for k, a, b in spans)
+    if part:
+        assert part not in pii.masked(text) and f"<{kind}>" in pii.masked(text)
+
+
 def test_pii_query_and_mask(docs):
     got = pii.find_pii(docs).toPandas().set_index("doc_id")
     for r in docs.collect():

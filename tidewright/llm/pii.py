@@ -4,7 +4,8 @@ Texts are normalised by a chain of transducers - homoglyphs and full-width
 forms to ASCII, zero-width characters removed, spelled digits to digits, at/dot
 disguises to ``@`` and ``.`` - that carry, for every character they write, the
 source span it stands for. Identifiers found in the normalised text map back to
-source characters. Spans that the plain patterns find in the source always stay.
+source characters. Spans that the plain patterns find in the source always stay,
+also beside a wider one of the normalised text; the mask takes the wider.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 end exclusive; repeated rows give repeated results; extra columns are ignored.
@@ -52,6 +53,8 @@ _PIECE = re.compile(rf"(?i){_ONE}")
 _BRACKETED = re.compile(r"(?i)\s*(?:[\[({<]\s*(at|dot)\s*[\])}>]|&#64;|&commat;)\s*")
 _PLAIN_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s+at\s+|@|\s+@\s+)(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-])")
 _PLAIN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
+_AT_WORD = re.compile(r"(?i)\sat\s")
+_AT_BRACKET = re.compile(r"[\[({<]\s*at\s*[\])}>]")
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\s+(?=[0-9])")
 
 
@@ -133,28 +136,22 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def normalised(text: str) -> Tape | None:
     """The text through all transducers; None where none of them has anything to do."""
-    ascii_only = text.isascii()
-    low = text.lower()
-    words = set(low.replace("-", " ").replace(",", " ").split()) if any(w in low for w in DIGITS) else set()
-    spelled = len(words & DIGITS.keys()) >= 2
-    disguised = "dot" in low or "[at" in low or "(at" in low or "{at" in low or "<at" in low or "&#64;" in low or "&commat;" in low or "[ at" in low or "( at" in low
-    glyphs = not ascii_only and _GLYPH.search(text)
-    hidden = not ascii_only and _NOTHING.search(text)
-    spaced = " @" in text or "@ " in text
-    if not (spelled or disguised or glyphs or hidden or spaced):
-        return None
     tape = Tape(text)
-    if glyphs:
-        tape.text = text.translate(_CHARS)  # one character for one: positions stay
-    if hidden:
+    if not text.isascii():
+        if _GLYPH.search(text):
+            tape.text = text.translate(_CHARS)  # one character for one: positions stay
         tape.rewrite([(*m.span(), "") for m in _NOTHING.finditer(tape.text)])
-    if spelled:
+    # each gate looks for what its transducer cannot do without, in the text as the ones before have left it
+    low = tape.text.lower()
+    if any(w in low for w in DIGITS):
         tape.rewrite(_spelled(tape.text))
-    if disguised:
+    if "dot" in low:
         tape.rewrite([(*m.span(), DIGITS[m.group().lower()]) for m in _SPELLED_DOTTED.finditer(tape.text)])
+    if "dot" in low or "&#64;" in low or "&commat;" in low or _AT_BRACKET.search(low):
         tape.rewrite([(*m.span(), "." if (m.group(1) or "at").lower() == "dot" else "@") for m in _BRACKETED.finditer(tape.text)])
-    if disguised or spaced:
+    if "@" in tape.text or _AT_WORD.search(tape.text):
         tape.rewrite([(*m.span(1), "@") for m in _PLAIN_AT.finditer(tape.text)])
+    if "dot" in low:
         tape.rewrite([(*m.span(), ".") for m in _PLAIN_DOT.finditer(tape.text)])
     if "plus" in low:
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
@@ -172,7 +169,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     added = []
     for kind, a, b in plain_spans(tape.text):
         a, b = tape.source(a, b)
-        if not any(k == kind and a < e and s < b for k, s, e in base):
+        if not any(k == kind and a < e and s < b and not (a <= s and e <= b and (a, b) != (s, e)) for k, s, e in base):
             added.append((kind, a, b))
     return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1]))
 
