@@ -188,6 +188,14 @@ def test_large_filter_reads_the_same(docs, monkeypatch):
     assert got[["doc_id", "n_tokens", "n_known"]].equals(want[["doc_id", "n_tokens", "n_known"]])
 
 
+def test_weights_take_every_text_and_the_nearest_level(spark):
+    """One weight for each level: by hand from all rows, a level that no row has by its neighbour."""
+    rows = [(bytes([9, 4, 6]), bytes([3, 2, 4])), (bytes([9, 5, 6]), bytes([3, 4, 5]))] * 2000
+    got = ngram_lm._weights(spark.createDataFrame(rows, "wl binary, pl binary"), 10_000, 500)
+    assert len(got) == len(ngram_lm.LEVELS) + 1
+    assert got[0] == got[4] and got[7] == got[6] and got[8] == got[9] and (got[10:] == got[9]).all()
+
+
 def test_full_filter_ends():
     f = ngram_lm.Filter(b"\xff" * 8, np.array([64])).open()
     assert f.read(np.arange(5, dtype=np.uint64)).tolist() == [len(ngram_lm.LEVELS)] * 5

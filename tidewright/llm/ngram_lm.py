@@ -10,8 +10,8 @@ beyond that the n-grams of the texts travel to the blocks and their levels back.
 
 A word's probability interpolates c(prev, word)/c(prev) with
 (c(word)+1)/(N+V+1), all from probes; the weights depend on the level of
-c(prev) and maximise the leave-one-out likelihood of a bounded sample of
-training texts. The base score uses exact counts: those of at most
+c(prev) and maximise the leave-one-out likelihood of all training texts;
+a level that none of them has takes the nearest one's. The base score uses exact counts: those of at most
 ``MAX_COMMON`` frequent words are broadcast, the others are joined.
 
 Defined results: null and empty texts are one end token; with no training rows
@@ -33,7 +33,6 @@ END, START = _U(0x0E0D5E17A11CE5ED), _U(0x57A27000000000B5)
 BITS, PROBES = 10, 6
 MAX_FILTER_BYTES = 512 << 20
 MAX_COMMON = 500_000
-SAMPLE_ROWS = 3000
 FLUSH = 1 << 19
 GRID = np.array([0.001, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995])
 
@@ -303,7 +302,10 @@ def _weights(levels: DataFrame, n: int, v: int) -> np.ndarray:
     total = np.zeros(size * len(GRID))
     for r in got:
         total[r.i] = r.v
-    return GRID[np.argmax(total.reshape(size, len(GRID)), axis=1)]
+    total = total.reshape(size, len(GRID))
+    met = np.flatnonzero(total.any(axis=1))
+    nearest = met[np.argmin(np.abs(np.arange(size)[:, None] - met), axis=1)]
+    return GRID[np.argmax(total[nearest], axis=1)]
 
 
 def _runs(batches):
@@ -388,7 +390,6 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
     merged, ranges = count(train)
     sums = merged.agg(F.sum("n").alias("n"), F.sum(F.octet_length("words") / 8).cast("long").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
-    share = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, train.count())))
     # frequent words: the lowest level above which at most MAX_COMMON words stand
     words = _word_rows(merged)
     by_count = words.groupBy(F.least(F.col("c"), F.lit(100_000)).alias("c")).count().collect()
@@ -437,8 +438,7 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
 
         return f
 
-    learns = in_training & (F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30)) < share)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), F.col(text))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(in_training, F.lit(False)).alias("learns"), F.col(text))
     part = saved(map_rows(rows, f"rid long, doc_id {kind}, learns boolean, chunk long, n_tokens long, known long, base double, h array<long>, k array<int>, wl binary, pl binary, seq binary", make), "scores")
     levels = part.select("rid", "wl", "pl") if whole else _probed(part, merged, ranges)
     of = part.filter("learns").select("rid", "wl", "pl") if whole else levels.join(part.filter("learns").select("rid"), "rid")
