@@ -551,6 +551,12 @@ def test_language_held_out(spark):
 # ------------------------------------------------------------------ 10 decontamination
 
 
+def test_whole_words_count():
+    m = langid.Model(["a", "b"], {}, {"x": np.array([-1.0, -2.0]), "y": np.array([-2.0, -1.0])}, np.array([-3.0, -3.0]))
+    v = m.unseen("x" * 40 + "y" * 400)
+    assert v[1] > v[0]
+
+
 def brute_leaks(docs, items):
     tok = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", (t or "").lower()) if w]
     out = set()

@@ -53,7 +53,7 @@ def _counts(df: DataFrame) -> DataFrame:
         for lang, c in words.items():
             grams = Counter()
             for w in c:
-                p = f"^{w[:40]}$"
+                p = f"^{w}$"
                 for n in range(1, MAX_N + 1):
                     grams.update(p[i : i + n] for i in range(len(p) - n + 1))
             for kind, x in (("w", c), ("g", grams)):
@@ -72,7 +72,7 @@ class Model:
         self.langs, self.words, self.grams, self.unknown = langs, words, grams, unknown
 
     def unseen(self, word: str) -> np.ndarray:
-        p = f"^{word[:40]}$"
+        p = f"^{word}$"
         total, at, steps = np.zeros(len(self.langs)), 0, 0
         while at < len(p):
             for n in range(min(MAX_N, len(p) - at), 0, -1):
@@ -128,7 +128,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 if self.used == len(self.rows):
                     self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
                 self.rows[self.used] = v
-                self[w] = self.used
+                if len(w) <= 1000:  # very long words are not held
+                    self[w] = self.used
                 self.used += 1
                 return self.used - 1
 
