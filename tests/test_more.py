@@ -174,3 +174,14 @@ def test_slices(spark, runs):
     s = plotdata.simulator_plot([runs], {"q": (20.0, 30.0)}, normalise=True, log=True, by_hit=True)
     assert set(s.columns) == {"wave", "run", "hits", "output", "value"}
     assert stats.hits(runs, Z).filter("hit_q = 1").count() <= 61
+
+
+def test_clusters_are_of_all_rows():
+    import numpy as np
+
+    from tidewright.operators.idemc import obtain_clusters
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.1, (600, 2)), rng.normal(5, 0.1, (600, 2))])
+    centres = sorted(c["centre"][0] for c in obtain_clusters(x, most=2))
+    assert len(centres) == 2 and abs(centres[0]) < 0.1 and abs(centres[1] - 5) < 0.1

@@ -14,6 +14,8 @@ from ..plans.collections import EmulatorSet
 from ..plans.targets import targets
 from .ship import Shipped
 
+SILHOUETTE_ROWS = 500
+
 
 def implausibility_nth(s: EmulatorSet, z: dict, x: np.ndarray, n: int) -> np.ndarray:
     ts = targets(z)
@@ -50,13 +52,16 @@ def silhouette(x: np.ndarray, lab: np.ndarray) -> float:
 
 
 def obtain_clusters(x: np.ndarray, most: int = 6, seed: int = 0) -> list[dict]:
-    """Clusters of a sample (two to ``most``, by silhouette): centre and inverse covariance of each."""
-    x = x[:500]
+    """Clusters of a sample (two to ``most``, by silhouette): centre and inverse covariance of each.
+
+    The silhouette, which compares all pairs, is of at most ``SILHOUETTE_ROWS`` random rows; clusters are of all rows.
+    """
+    some = np.arange(len(x)) if len(x) <= SILHOUETTE_ROWS else np.random.default_rng(seed).choice(len(x), SILHOUETTE_ROWS, replace=False)
     best = (-1.0, np.zeros(len(x), int))
     for k in range(2, min(most, len(x) - 1) + 1):
         lab, _ = fuzzy_clusters(x, k, seed=seed)
-        if len(np.unique(lab)) > 1:
-            best = max(best, (silhouette(x, lab), lab), key=lambda b: b[0])
+        if len(np.unique(lab[some])) > 1:
+            best = max(best, (silhouette(x[some], lab[some]), lab), key=lambda b: b[0])
     out = []
     for k in np.unique(best[1]):
         own = x[best[1] == k]
