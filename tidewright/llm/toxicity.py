@@ -11,7 +11,8 @@ verbs) from abuse. A logistic model over the sums gives the score.
 
 Fitting uses a bounded sample: the share of labelled rows, by hash of the id,
 that makes ``max_rows`` of them on average; the lexicon holds at most ``max_terms``
-terms, and as many whole words beside its stems.
+terms, and as many whole words beside its stems, from at most
+``MAX_CANDIDATES`` terms that three toxic texts of the sample have.
 
 Defined results: null and empty texts get the score of a text without hits;
 with no labels, or only one, every score is the (smoothed) share of label 1;
@@ -21,167 +22,242 @@ repeated rows give repeated results; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, saved, small_batches
+from ._common import dropped, map_rows, mix, powers, saved, small_batches
 
 MAX_ROWS = 12_000
 MAX_TERMS = 2_000
-MAX_KNOWN = 30_000
+#: Terms of toxic texts, the most frequent first, that the others are searched for.
+MAX_CANDIDATES = 200_000
 WINDOW = 6
 STEM = range(3, 9)
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…"
 QUOTES = frozenset("\"“”„«»")
 # Words that report what someone else has said.
 REPORTING = frozenset("said says wrote writes quote quoted quotes called calls claimed reported allegedly term word slur sagte schrieb nannte zitat dijo escribió llamó cita dit écrit appelé".split())
+#: Words whose weights a worker holds, and characters of the texts that it splits at once.
+HELD_WORDS = 300_000
+CHUNK_CHARS = 1 << 20
+_U = np.uint64
+_TABLE_BITS = 22
 
 
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-def _deleted(word: str, k: int) -> set[str]:
-    """The word with up to ``k`` letters left out: strings within k edits of each other have one of these in common."""
-    out = now = {word}
-    for _ in range(k):
-        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
-        out = out | now
-    return out
+def _deletions(words: list[str], k: int):
+    """(rows, hashes): of each word, all of one length, the hashes of what is left without up to ``k`` of its letters.
+
+    Strings within ``k`` edits of each other have one of these in common. The
+    hashes are polynomials over the letters, put together from prefix sums.
+    """
+    size = len(words[0])
+    p, inv = powers(size + 1), powers(3, True)
+    i, j = np.triu_indices(size, 1) if k == 2 else (np.empty(0, np.int64),) * 2
+    step = max(1, (1 << 20) // (1 + size + len(i)))
+    for at in range(0, len(words), step):
+        part = words[at : at + step]
+        letters = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
+        sums = np.zeros((len(part), size + 1), np.uint64)
+        np.cumsum(mix(letters.astype(np.uint64)) * p[:size], axis=1, out=sums[:, 1:])
+        whole = sums[:, -1:]
+        out = [whole, sums[:, :-1] + (whole - sums[:, 1:]) * inv[1]]
+        if len(i):
+            out.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * inv[1] + (whole - sums[:, j + 1]) * inv[2])
+        yield at, np.concatenate(out, axis=1)
+
+
+class _Node:
+    __slots__ = ("below", "hi", "lo", "term")
+
+    def __init__(self, lo: int):
+        self.below: dict[str, _Node] = {}
+        self.lo = self.hi = lo  # the numbers of the terms below
+        self.term: str | None = None
 
 
 class Trie:
-    """Terms with (stem, weight, fuzzy); ``match`` intersects the trie of the fuzzy ones that share a deletion with a word and its Levenshtein automaton."""
+    """Terms with (stem, weight, fuzzy).
+
+    ``like`` finds, for many words at once, the fuzzy terms that share a
+    deletion with each; ``match`` runs a word's Levenshtein automaton down the
+    trie of the fuzzy terms, along the branches that lead to those.
+    """
 
     def __init__(self, terms: dict[str, tuple[bool, float, bool]]):
         self.terms = {t: (stem, w) for t, (stem, w, _) in terms.items()}
-        self.deleted: tuple[dict, dict] = {}, {}
-        pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
         self.stems = {t: w for t, (stem, w) in self.terms.items() if stem}
-        self.longest_stem = max(map(len, self.stems), default=0)
-        for t, (_, _, fuzzy) in terms.items():
-            k = edits_allowed(t)
-            if not fuzzy or not k:
-                continue
-            for x in _deleted(t, k):
-                self.deleted[k - 1].setdefault(x, []).append(t)
-            if k == 1:
-                continue
-            # with k edits one of k + 1 pieces stays whole: piece i with at most i edits before it and k - i after
-            for i in range(k + 1):
-                a, b = len(t) * i // (k + 1), len(t) * (i + 1) // (k + 1)
-                for d in range(-min(i, a), i + 1):
-                    for size in range(len(t) + d - k + i, len(t) + d + k - i + 1):
-                        pieces.setdefault(size, {}).setdefault((a + d, b + d), set()).add(t[a:b])
-        self.pieces = {size: [(a, b, frozenset(of)) for (a, b), of in sorted(at.items())] for size, at in pieces.items()}
+        self.heads = {t[:3] for t in self.stems}
+        self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
+        self.fuzzy = sorted(t for t, (_, _, fuzzy) in terms.items() if fuzzy and edits_allowed(t))
+        self.root = _Node(0)
+        for n, t in enumerate(self.fuzzy):
+            node = self.root
+            node.hi = n + 1
+            for c in t:
+                node = node.below.setdefault(c, _Node(n))
+                node.hi = n + 1
+            node.term = t
+        self.indexes = [self._index(k) for k in (1, 2)]
+
+    def _index(self, k: int):
+        """(sizes of words that may match, sorted hashes, the numbers of their terms, bitmap) of the terms that allow ``k`` edits."""
+        by_size: dict[int, list[int]] = {}
+        for n, t in enumerate(self.fuzzy):
+            if edits_allowed(t) == k:
+                by_size.setdefault(len(t), []).append(n)
+        keys, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for ns in by_size.values():
+            for at, h in _deletions([self.fuzzy[n] for n in ns], k):
+                keys.append(h.ravel())
+                owner.append(np.repeat(np.array(ns[at : at + len(h)]), h.shape[1]))
+        key, own = np.concatenate(keys), np.concatenate(owner)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        there = np.zeros(1 << _TABLE_BITS, dtype=bool)
+        there[self._slot(key)] = True
+        sizes = frozenset(n + d for n in by_size for d in range(-k, k + 1))
+        return sizes, key, own, there
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h * _U(0xD6E8FEB86659FD93)) >> _U(64 - _TABLE_BITS)).astype(np.int64)
+
+    def like(self, words: list[str]) -> list[list[int]]:
+        """For each word the numbers of all fuzzy terms within their edits of it, and of some others, sorted."""
+        out: list[list[int]] = [[] for _ in words]
+        by_size: dict[int, list[int]] = {}
+        for n, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(n)
+        for size, ns in by_size.items():
+            for k, (sizes, key, own, there) in enumerate(self.indexes, 1):
+                if size not in sizes:
+                    continue
+                for at, h in _deletions([words[n] for n in ns], k):
+                    row, col = np.nonzero(there[self._slot(h)])
+                    h = h[row, col]
+                    a, b = np.searchsorted(key, h), np.searchsorted(key, h, "right")
+                    for r, x, y in zip(row[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
+                        out[ns[at + r]] += own[x:y].tolist()
+        return [sorted(set(x)) if x else x for x in out]
 
     def near(self, word: str) -> bool:
-        return bool(self.like(word))
-
-    def like(self, word: str) -> set[str]:
-        """All terms within their edits of the word, and some others."""
-        out, (one, two) = set(), self.deleted
-        if 4 <= len(word) <= 9:
-            for i in range(len(word)):
-                x = word[:i] + word[i + 1 :]
-                if x in one:
-                    out.update(one[x])
-            out.update(one.get(word, ()))
-        for a, b, of in self.pieces.get(len(word), ()):
-            if word[a:b] in of:
-                for x in _deleted(word, 2):
-                    if x in two:
-                        out.update(two[x])
-                break
-        return out
+        return bool(self.like([word])[0])
 
-    def match(self, word: str, like: set[str] | None = None) -> tuple[str, int] | None:
+    def match(self, word: str, like: list[int] | None = None) -> tuple[str, int] | None:
         """The best term: fewest edits, then the longest; None if no term is within its edits.
 
-        The automaton's state is a row of edit distances, kept within a band of
-        the edits that terms below a node allow; a dead state ends the walk.
+        The automaton is nondeterministic, its states are bits: bit i of the
+        d-th mask says that i letters of the word are read with d edits. A
+        dead state ends the walk.
         """
-        root: dict = {None: 0}
-        for t in self.like(word) if like is None else like:
-            node, k = root, edits_allowed(t)
-            for c in t:
-                node[None] = max(node[None], k)
-                node = node.setdefault(c, {None: 0})
-            node[None] = max(node[None], k)
-            node[""] = t
-        best, size = None, len(word)
-        stack = [(root, 0, {j: j for j in range(min(size, root[None]) + 1)})]
+        like = self.like([word])[0] if like is None else like
+        if not like:
+            return None
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << i
+        best, end = None, 1 << len(word)
+        stack = [(self.root, 0, 0, len(like), 1, 3, 7)]
         while stack:
-            node, depth, row = stack.pop()
-            t = node.get("")
+            node, depth, at, to, r0, r1, r2 = stack.pop()
+            t = node.term
             if t is not None:
-                d = row.get(size)
-                if d is not None and d <= edits_allowed(t) and d < len(t) and (best is None or (d, -len(t), t) < best):
+                d = 0 if r0 & end else 1 if r1 & end else 2 if r2 & end else 3
+                if d <= edits_allowed(t) and (best is None or (d, -len(t), t) < best):
                     best = (d, -len(t), t)
-            for c, child in node.items():
-                if not c:
-                    continue
-                k, new = child[None], {}
-                for j in range(max(0, depth + 1 - k), min(size, depth + 1 + k) + 1):
-                    d = min(row.get(j, 9) + 1, new.get(j - 1, 9) + 1)
-                    if j and row.get(j - 1, 9) + (word[j - 1] != c) < d:
-                        d = row.get(j - 1, 9) + (word[j - 1] != c)
-                    if d <= k:
-                        new[j] = d
-                if new:
-                    stack.append((child, depth + 1, new))
+                at += like[at] == node.lo  # in sorted order it comes before the terms that it begins
+            while at < to:
+                c = self.fuzzy[like[at]][depth]
+                child, start = node.below[c], at
+                at += 1
+                while at < to and like[at] < child.hi:
+                    at += 1
+                m = masks.get(c, 0)
+                n0 = (r0 & m) << 1
+                n1 = (r1 & m) << 1 | r0 | r0 << 1 | n0 << 1
+                n2 = (r2 & m) << 1 | r1 | r1 << 1 | n1 << 1
+                if n2 & (end << 1) - 1:
+                    stack.append((child, depth + 1, start, at, n0, n1, n2))
         return None if best is None else (best[2], best[0])
 
+    def weigh_all(self, words: list[str], known: frozenset) -> list[float]:
+        """What each word counts for: 0 if it is no term."""
+        out, left = [0.0] * len(words), []
+        for n, w in enumerate(words):
+            exact = self.terms.get(w)
+            if exact:
+                out[n] = exact[1]
+                continue
+            if w[:3] in self.heads:
+                v = next((self.stems[w[:size]] for size in self.stem_sizes if w[:size] in self.stems), None)
+                if v is not None:
+                    out[n] = v
+                    continue
+            if w not in known:
+                left.append(n)
+        for n, like in zip(left, self.like([words[n] for n in left]), strict=True):
+            m = self.match(words[n], like) if like else None
+            if m:
+                out[n] = self.terms[m[0]][1] * 0.8 ** m[1]
+        return out
+
     def weigh(self, word: str, known: frozenset) -> float:
-        """What a word counts for: 0 if it is no term."""
-        exact = self.terms.get(word)
-        if exact:
-            return exact[1]
-        for n in range(self.longest_stem, 2, -1):
-            w = self.stems.get(word[:n])
-            if w is not None and len(word) >= n:
-                return w
-        if word in known or not 4 <= len(word) <= 40:
-            return 0.0
-        like = self.like(word)
-        m = self.match(word, like) if like else None
-        if m is None:
-            return 0.0
-        return self.terms[m[0]][1] * 0.8 ** m[1]
+        return self.weigh_all([word], known)[0]
 
 
 class Model:
     def __init__(self, terms: dict, known: frozenset, beta: np.ndarray):
         self.terms, self.known, self.beta = terms, known, beta
+        self.name = uuid.uuid4().hex
 
 
 N_FEATURES = 6
 
 
 class Scorer:
-    """Features of a text: what its hits weigh as abuse and as quotation, and how dense they are."""
+    """Features of texts: what their hits weigh as abuse and as quotation, and how dense they are."""
 
     def __init__(self, terms: dict, known: frozenset):
         self.trie, self.known = Trie(terms), known
-        outer = self
-
-        class Memo(dict):
-            def __missing__(self, raw):
-                w = raw.strip(EDGE)
-                v = outer.trie.weigh(w, outer.known) if w else 0.0
-                if len(self) > 300_000:
-                    self.clear()
-                self[raw] = v
-                return v
-
-        self.memo = Memo()
+        self.memo: dict[str, float] = {}
+
+    def weights(self, words: set[str]) -> dict[str, float]:
+        """The weights of words as they stand in texts; at least of all that are asked for."""
+        new = [w for w in words if w not in self.memo]
+        if new:
+            if len(self.memo) + len(new) > HELD_WORDS:
+                self.memo, new = {}, list(words)
+            bare = [w.strip(EDGE) for w in new]
+            once = list(set(bare))
+            of = dict(zip(once, self.trie.weigh_all(once, self.known), strict=True))
+            self.memo.update(zip(new, map(of.__getitem__, bare), strict=True))
+        return self.memo
+
+    def features_of(self, texts: list[str | None]):
+        """The features of each text."""
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and (size < CHUNK_CHARS or not part):
+                part.append((texts[at] or "").lower().split())
+                size += len(texts[at] or "")
+                at += 1
+            memo = self.weights(set().union(*part))
+            for words in part:
+                yield self._features(words, list(map(memo.__getitem__, words)))
 
     def features(self, text: str | None) -> list[float]:
-        words = (text or "").lower().split()
-        weights = list(map(self.memo.__getitem__, words))
+        return next(self.features_of([text]))
+
+    def _features(self, words: list[str], weights: list[float]) -> list[float]:
         n = len(words)
         abuse = quoted = 0.0
         hits, kinds = 0, set()
@@ -205,18 +281,30 @@ class Scorer:
         return 0.9 if opened and closed else 0.5 if reported else 0.0
 
 
+_HELD: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The model's scorer; a worker holds the last one over its tasks."""
+    if model.name not in _HELD:
+        _HELD.clear()
+        _HELD[model.name] = Scorer(model.terms, model.known)
+    return _HELD[model.name]
+
+
 def _words(text: str | None) -> set[str]:
     words = {w.strip(EDGE) for w in (text or "").lower().split()}
-    return {w for w in words if 0 < len(w) <= 40}
+    words.discard("")
+    return words
 
 
-def _counted(rows: DataFrame, terms_of) -> DataFrame:
-    """(term, stem, n): rows of (_t) whose text has a term; summed up in each task before the shuffle."""
+def _counted(rows: DataFrame, make) -> DataFrame:
+    """(term, stem, n): rows of (_t) whose text has a term, as ``make()`` lists those of a text's words; summed up in each task before the shuffle."""
 
     def run(batches):
         from collections import Counter
 
-        count = Counter()
+        count, terms_of = Counter(), make()
         for b in batches:
             for t in b.column(0).to_pylist():
                 count.update(terms_of(_words(t)))
@@ -233,6 +321,36 @@ def _all_terms(words: set[str]) -> list[tuple[str, bool]]:
     return [(w, False) for w in words] + [(s, True) for s in {w[:n] for w in words for n in STEM if len(w) > n}]
 
 
+def _some_terms(whole: frozenset, stems: frozenset):
+    """What lists the terms of a text's words that are among those."""
+    memo: dict[str, tuple] = {}
+
+    def terms_of(words):
+        if len(memo) > HELD_WORDS:
+            memo.clear()
+        out = set()
+        for w in words:
+            x = memo.get(w)
+            if x is None:
+                x = memo[w] = (*(((w, False),) if w in whole else ()), *((w[:n], True) for n in STEM if len(w) > n and w[:n] in stems))
+            if x:
+                out.update(x)
+        return out
+
+    return terms_of
+
+
+def _like_terms(terms: dict):
+    """What lists those of a text's words that count as misspelled terms."""
+    of = Scorer(terms, frozenset())
+
+    def terms_of(words):
+        memo = of.weights(words)
+        return [(w, False) for w in words if memo[w] and w not in terms]
+
+    return terms_of
+
+
 def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, float, bool]]:
     """Terms by falling gain; a stem of a chosen term goes, and so does a stem under a chosen stem.
 
@@ -296,61 +414,36 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: st
     spark = rows.sparkSession
     # terms of toxic texts first; among the other texts only those are counted
     toxic, clean = sample.filter("_y = 1"), sample.filter("_y = 0")
-    seen = {(r.term, r.stem): r.n for r in _counted(toxic, _all_terms).filter("n >= 3").orderBy(F.desc("n"), "term", "stem").limit(50 * max_terms).collect()}
+    seen = {(r.term, r.stem): r.n for r in _counted(toxic, lambda: _all_terms).filter("n >= 3").orderBy(F.desc("n"), "term", "stem").limit(MAX_CANDIDATES).collect()}
     able = spark.sparkContext.broadcast((frozenset(w for w, stem in seen if not stem), frozenset(w for w, stem in seen if stem)))
-
-    def candidates(words):
-        whole, stems = able.value
-        return [(w, False) for w in words & whole] + [(s, True) for s in {w[:n] for w in words for n in STEM if len(w) > n} & stems]
-
-    other = {(r.term, r.stem): r.n for r in _counted(clean, candidates).collect()}
+    other = {(r.term, r.stem): r.n for r in _counted(clean, lambda: _some_terms(*able.value)).collect()}
     terms = _choose([(*k, n, other.get(k, 0)) for k, n in seen.items()], n1, n0, max_terms)
     held = spark.sparkContext.broadcast(terms)
-
-    def like_terms(words):
-        if not tries:
-            tries.append(Trie(held.value))
-            memo.clear()
-        out = []
-        for w in words:
-            hit = memo.get(w)
-            if hit is None:
-                if len(memo) > 300_000:
-                    memo.clear()
-                hit = memo[w] = tries[0].near(w) and tries[0].weigh(w, frozenset()) > 0
-            if hit:
-                out.append((w, False))
-        return out
-
-    tries: list[Trie] = []  # one in each worker
-    memo: dict[str, bool] = {}
-    known = frozenset(r.term for r in _counted(clean, like_terms).filter("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_KNOWN).collect() if r.term not in terms)
-    shared = rows.sparkSession.sparkContext.broadcast((terms, known))
+    known = frozenset(r.term for r in _counted(clean, lambda: _like_terms(held.value)).filter("n >= 2").collect())
+    shared = spark.sparkContext.broadcast((terms, known))
 
     def make():
         s = Scorer(*shared.value)
 
         def f(cols):
-            return [cols[0], [s.features(t) for t in cols[1]]]
+            return [cols[0], list(s.features_of(cols[1]))]
 
         return f
 
     got = map_rows(sample.select("_y", "_t"), "y int, x array<double>", make).collect()
+    dropped(sample)
     x, y = np.array([r.x for r in got]), np.array([float(r.y) for r in got])
     return Model(terms, known, _logistic(x, y))
 
 
 
-
 def _scores(model: Model):
-    s, beta = Scorer(model.terms, model.known), model.beta
+    s, beta = scorer(model), model.beta
 
-    def one(t):
-        x = s.features(t)
-        z = float(np.dot(beta, x))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def all_of(texts: list[str | None]) -> list[float]:
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(beta, x)))))) for x in s.features_of(texts)]
 
-    return one
+    return all_of
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,10 +452,10 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        one = _scores(shared.value)
+        all_of = _scores(shared.value)
 
         def f(cols):
-            s = [one(t) for t in cols[1]]
+            s = all_of(cols[1])
             return [cols[0], s, [int(v >= 0.5) for v in s]]
 
         return f
@@ -377,9 +470,9 @@ def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = df.columns.index(text)
 
     def run(batches):
-        one = _scores(shared.value)
+        all_of = _scores(shared.value)
         for b in batches:
-            yield b.filter(pa.array([one(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([v < 0.5 for v in all_of(b.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
