@@ -558,19 +558,60 @@ def test_whole_words_count():
 
 
 def brute_leaks(docs, items):
+    """{(document, item): (agree, window, doc_start)} of the best window over all shifts."""
     tok = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", (t or "").lower()) if w]
-    out = set()
+    words = {i: tok(b) for i, b in items.items()}
+    out = {}
     for d, t in docs.items():
         w = tok(t)
-        for i, b in items.items():
-            v = tok(b)
+        for i, v in words.items():
+            if not set(v) & set(w):
+                continue
             for shift in range(-len(v), len(w)):
-                agree = [w[k + shift] == v[k] if 0 <= k + shift < len(w) else None for k in range(len(v))]
-                agree = [x for x in agree if x is not None]
-                n = min(13, len(agree))
-                if n >= 10 and any(sum(agree[s : s + n]) >= math.ceil(n * 0.8) for s in range(len(agree) - n + 1)):
-                    out.add((d, i))
-    return out
+                a, z = max(0, -shift), min(len(v), len(w) - shift)
+                agree = [w[k + shift] == v[k] for k in range(a, z)]
+                n = min(13, len(v), len(agree))
+                if n < min(10, len(v)) or not n:
+                    continue
+                need = n if len(v) < 10 else math.ceil(n * 0.8)
+                for s in range(len(agree) - n + 1):
+                    k = sum(agree[s : s + n])
+                    if k >= need:
+                        x = (k, n, -(a + shift + s))
+                        out[d, i] = max(out.get((d, i), x), x)
+    return {k: (x, n, -at) for k, (x, n, at) in out.items()}
+
+
+def leaks(docs, items, spark):
+    got = decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    return {(x.doc_id, x.item_id): (x.agree, x.window, x.doc_start) for x in got.collect()}
+
+
+@pytest.mark.parametrize("window", range(10, 14))
+def test_masks_lose_nothing(window):
+    """Whatever tokens of a window are replaced, if it still counts, a mask fits beside them."""
+    import itertools
+
+    for wrong in itertools.combinations(range(window), window - math.ceil(window * decontaminate.MATCH)):
+        assert any(not {at + k for k in m} & set(wrong) for m in decontaminate.MASKS for at in range(window - m[-1]))
+
+
+def test_every_substitution_and_short_items(spark):
+    """All ways to replace one or two of an item's tokens, at the text's start, end and middle; items of one to nine tokens."""
+    import itertools
+
+    items = {n: " ".join(f"i{n}x{k}" for k in range(n)) for n in (1, 3, 9, 10, 11, 12, 13, 20)}
+    texts = []
+    for n in (9, 10, 11, 12, 13):
+        for wrong in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            w = [f"new{k}" if k in wrong else x for k, x in enumerate(items[n].split())]
+            texts += [" ".join(w), " ".join(["a", "b", *w]), " ".join([*w, "c"]), " ".join(["a", *w, "c", "d"])]
+    texts += ["i1x0", "z i1x0 z", "i3x0 i3x1", "i3x0 i3x1 i3x2", "i3x1 i3x2 i3x0", items[20][: len(items[20]) // 2], None, ""]
+    docs = dict(enumerate(texts))
+    want = brute_leaks(docs, items)
+    assert leaks(docs, items, spark) == want and len(want) > 300
 
 
 def test_leaks(spark):
@@ -586,17 +627,16 @@ def test_leaks(spark):
                 p[k] = word()  # one of seven words replaced
             w[10:10] = p
         docs[d] = ", ".join(w) if d % 5 == 0 else " ".join(w).title()
-    got = decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
     want = brute_leaks(docs, items)
-    assert {(x.doc_id, x.item_id) for x in got.collect()} == want and len(want) >= 20
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert leaks(docs, items, spark) == want and len(want) >= 20
 
 
-def test_seed_blocks_agree(spark, docs, sf, monkeypatch):
+def test_large_benchmarks_agree(spark, docs, sf, monkeypatch):
+    """Without broadcasts, and with a bitmap that is nearly full."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "SEEDS_PER_BLOCK", 300)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BITMAP_POWER", 13)
     assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == want and want
     assert decontaminate.keep_clean(docs, bench).count() == docs.count() - len({d for d, _ in want})
 
@@ -609,7 +649,7 @@ def test_sql(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = c.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, sf).toPandas()
     cols = sorted(want.columns)

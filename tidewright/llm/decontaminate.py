@@ -1,17 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations alone.
 
 Tokens are the runs of a text between ASCII characters that are no letters or
-digits, in lower case. Fixed masks lay over every window of ``SPAN`` tokens and
-hash only the positions they keep, so a seed survives substitutions elsewhere.
-Test seeds are broadcast in blocks of at most ``SEEDS_PER_BLOCK`` and joined
-with the seeds of every training window; hits fold to diagonals (document,
-item, shift), and around each the tokens of both are compared: an item is
-found where, of ``WINDOW`` aligned tokens (or of all that overlap, at least
-``SPAN``), ``MATCH`` agree.
-
-Defined results: null and empty texts hold nothing; items with fewer than
-``SPAN`` tokens are no evidence and match nothing; repeated rows and repeated
-ids fold to one row for each (doc_id, item_id); extra columns are ignored.
+digits, in lower case. An item is found in a text where, the two laid over each
+other at some shift, of ``WINDOW`` successive tokens (or of all that overlap, if
+they are fewer, at least ``SPAN``) a share of ``MATCH`` agree. Items with fewer
+than ``SPAN`` tokens are found where all of them stand in a row.
+
+Fixed masks lay over every position and hash only the tokens that they keep, so
+a seed survives substitutions elsewhere. Whichever two of ``SPAN`` successive
+tokens are replaced, one of the masks fits beside them; windows of up to
+``WINDOW`` tokens allow no more than two, so no overlap is missed. A bitmap of
+the test seeds, bounded in size, sorts out nearly all training seeds in the
+scan; the rest are joined with the test seeds, and the hits fold to diagonals
+(text, item, shift). Around each the tokens of both are compared, once for each
+distinct text.
+
+Defined results: null and empty texts hold nothing, null and empty items match
+nothing; repeated rows and repeated ids fold to one row for each (doc_id,
+item_id); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +25,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import dropped, saved
 
 SPAN = 10
-#: Positions that each mask keeps.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 6, 8, 9), (0, 2, 4, 5, 7, 9))
+#: Positions that each mask keeps: with any two of SPAN tokens replaced, one of these fits between them.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 5, 6))
 WINDOW = 13
 MATCH = 0.8
-SEEDS_PER_BLOCK = 500_000
+#: Rows of a table that is broadcast.
+MAX_BROADCAST = 500_000
+#: Bits of the bitmap for each test seed, and at most: 2^28 are 32 MB.
+BITS_PER_SEED = 128
+MAX_BITMAP_POWER = 28
 _BREAK = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
@@ -40,62 +50,91 @@ def _once(c: Column, name: str) -> Column:
     return F.explode(F.array(c)).alias(name)
 
 
-def windows(df: DataFrame, h: str, *keep: str) -> DataFrame:
-    """One row for each window of SPAN tokens: ``keep``, its position, and a seed for each mask."""
-    n = F.size(h) - SPAN + 1
-    cols = [F.sequence(F.lit(0), n - 1).alias("p"), *(F.slice(h, k + 1, n).alias(f"t{k}") for k in range(SPAN))]
+def seeds(df: DataFrame, h: str, masks: tuple, *keep: str) -> DataFrame:
+    """One row for each position that a mask fits at: ``keep``, the position ``p``, and the masks' seeds (null where one does not fit)."""
+    least, width = min(m[-1] for m in masks) + 1, max(m[-1] for m in masks) + 1
+    n = F.size(h) - least + 1
+    cols = [F.sequence(F.lit(0), n - 1).alias("p"), *(F.slice(h, k + 1, n).alias(f"t{k}") for k in range(width))]
     w = df.filter(n > 0).select(*keep, F.inline(F.arrays_zip(*cols)))
-    w = w.toDF(*keep, "p", *(f"t{k}" for k in range(SPAN)))
-    return w.select(*keep, "p", *(F.xxhash64(*(f"t{k}" for k in mask)).alias(f"s{i}") for i, mask in enumerate(MASKS)))
-
-
-def _best(agree: Column) -> Column:
-    """The most agreements in WINDOW successive positions, or in all if they are fewer."""
-    w = F.least(F.lit(WINDOW), F.size(agree))
+    w = w.toDF(*keep, "p", *(f"t{k}" for k in range(width)))
+    return w.select(*keep, "p", *(F.when(F.col(f"t{m[-1]}").isNotNull(), F.xxhash64(F.lit(",".join(map(str, m))), *(f"t{k}" for k in m))).alias(f"s{i}") for i, m in enumerate(masks)))
+
+
+def _bitmap(test: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """One row with an array of longs, 64 bits each, where the bits of the seeds ``k`` are set; the power of its bits."""
+    power = min(MAX_BITMAP_POWER, max(12, (BITS_PER_SEED * total).bit_length()))
+    word = F.shiftrightunsigned("k", 64 - power + 6).cast("int")
+    some = test.groupBy(word.alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(63).cast("int"))).alias("w"))
+    every = test.sparkSession.range(1 << (power - 6)).select(F.col("id").cast("int").alias("i")).join(some, "i", "left")
+    one = every.agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("x"))
+    return saved(one.select(F.col("x.w").alias("bits")), "bitmap"), power
+
+
+def _hits(d: DataFrame, bench: DataFrame) -> DataFrame:
+    """th, item_id, shift, lo and hi (first and last position in the item): the diagonals on which a seed is shared."""
+    short = sorted(r[0] for r in bench.filter(F.size("ih") < SPAN).select(F.size("ih")).distinct().collect())
+    masks = (*MASKS, *(tuple(range(n)) for n in short))
+    own = [*(F.when(F.size("ih") >= SPAN, F.col(f"s{i}")) for i in range(len(MASKS))), *(F.when(F.size("ih") == n, F.col(f"s{i}")) for i, n in enumerate(short, len(MASKS)))]
+    some = lambda cols: F.explode(F.filter(F.array(*cols), lambda s: s.isNotNull())).alias("k")
+    test = saved(seeds(bench, "ih", masks, "item_id", "ih").select("item_id", F.col("p").alias("ip"), some(own)), "seeds")
+    total = test.count()
+    bits, power = _bitmap(test.select("k"), total)
+    inside = lambda s: F.getbit(F.get(bits.scalar(), F.shiftrightunsigned(s, 64 - power + 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
+    w = seeds(d.select("th", _once(tokens(F.col("text")), "dh")), "dh", masks, "th")
+    w = w.select("th", "p", *(F.when(inside(F.col(f"s{i}")), F.col(f"s{i}")).alias(f"s{i}") for i in range(len(masks))))
+    w = w.filter(F.coalesce(*(f"s{i}" for i in range(len(masks)))).isNotNull()).select("th", "p", some([f"s{i}" for i in range(len(masks))]))
+    met = w.join(F.broadcast(test) if total <= MAX_BROADCAST else test, "k")
+    fold = met.groupBy("th", "item_id", (F.col("p") - F.col("ip")).alias("shift")).agg(F.min("ip").alias("lo"), F.max("ip").alias("hi"))
+    out = saved(fold, "hits")
+    for t in (test, bits):
+        dropped(t)
+    return out
+
+
+def _some(df: DataFrame) -> DataFrame:
+    """A table of distinct rows without texts, broadcast where it is small."""
+    t = saved(df.distinct(), "keys")
+    return F.broadcast(t) if t.count() <= MAX_BROADCAST else t
+
+
+def _best(agree: Column, w: Column) -> Column:
+    """(agree, at): the most agreements in ``w`` successive positions, and minus the first of those."""
     ones = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    return F.array_max(F.transform(F.sequence(F.lit(1), F.size(agree) - w + 1), lambda i: ones(F.slice(agree, i, w))))
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(agree) - w), lambda i: F.struct(ones(F.slice(agree, i + 1, w)).alias("agree"), (-i).alias("at"))))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched (tokens that agree around the hit), best (of ``window``), window, doc_start, and the text's hash ``th``."""
-    kind = benchmark.schema[item].dataType.simpleString()
-    bench = saved(benchmark.select(F.col(item).alias("item_id"), tokens(F.col(item_text)).alias("ih")).filter(F.size("ih") >= SPAN), "items")
-    total = bench.agg(F.sum(F.size("ih"))).first()[0] or 0
-    blocks = max(1, -(-total // SEEDS_PER_BLOCK))
-    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    hits = None
-    for b in range(blocks):
-        mine = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else bench
-        seeds = windows(mine, "ih", "item_id")
-        w = windows(d.select("doc_id", "th", _once(tokens(F.col("text")), "dh")), "dh", "doc_id", "th")
-        for i in range(len(MASKS)):
-            of = seeds.groupBy(F.col(f"s{i}").alias(f"k{i}")).agg(F.collect_set(F.struct("item_id", F.col("p").alias("ip"))).alias(f"m{i}"))
-            w = w.join(F.broadcast(of), F.col(f"s{i}") == F.col(f"k{i}"), "left")
-        w = w.filter(" or ".join(f"k{i} is not null" for i in range(len(MASKS))))
-        none = F.array().cast(f"array<struct<item_id:{kind},ip:int>>")
-        every = F.flatten(F.array(*(F.coalesce(f"m{i}", none) for i in range(len(MASKS)))))
-        one = w.select("doc_id", "th", "p", F.explode(every).alias("m")).select("doc_id", "th", "m.item_id", (F.col("p") - F.col("m.ip")).alias("shift"), F.col("m.ip").alias("ip"))
-        one = one.groupBy("doc_id", "th", "item_id", "shift").agg(F.min("ip").alias("lo"), F.max("ip").alias("hi"))
-        hits = one if hits is None else hits.unionByName(one)
+    """doc_id, th (hash of its text), item_id, and of its best window agree (tokens), window (its length) and doc_start."""
+    bench = saved(benchmark.select(F.col(item).alias("item_id"), tokens(F.col(item_text)).alias("ih")).filter(F.size("ih") > 0).distinct(), "items")
+    body = F.coalesce(F.col(text), F.lit(""))
+    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    hits = _hits(d.select("th", "text"), bench)
+    mine = saved(d.join(_some(hits.select("th")), "th", "left_semi"), "suspects")
+    one = mine.groupBy("th").agg(F.max("text").alias("text")).select("th", _once(tokens(F.col("text")), "dh"))
     # compared from WINDOW tokens before the first seed to WINDOW after the last, within both texts
-    c = hits.join(bench, "item_id").join(d.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "text"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    c = c.select("*", _once(tokens(F.col("text")), "dh")).drop("text")
+    c = hits.join(one, "th").join(bench, "item_id")
+    full = F.size("ih") < SPAN
     a = F.greatest(F.lit(0), F.col("lo") - WINDOW, -F.col("shift"))
     z = F.least(F.size("ih"), F.col("hi") + SPAN + WINDOW, F.size("dh") - F.col("shift"))
-    c = c.withColumn("a", a).withColumn("n", z - a)
+    c = c.withColumn("a", a).withColumn("n", z - a).withColumn("w", F.when(full, F.size("ih")).otherwise(F.least(F.lit(WINDOW), F.col("n"))))
+    c = c.filter(F.col("n") >= F.least(F.lit(SPAN), F.size("ih")))
     agree = F.zip_with(F.slice("ih", F.col("a") + 1, F.col("n")), F.slice("dh", F.col("a") + F.col("shift") + 1, F.col("n")), lambda x, y: (x == y).cast("int"))
-    c = c.select("doc_id", "th", "item_id", (F.col("a") + F.col("shift")).alias("doc_start"), F.least(F.lit(WINDOW), F.col("n")).alias("window"), _once(agree, "agree"))
-    c = c.withColumn("best", _best(F.col("agree"))).withColumn("matched", F.aggregate("agree", F.lit(0), lambda s, x: s + x))
-    return c.filter(F.col("best") >= F.ceil(F.col("window") * MATCH)).select("doc_id", "item_id", "matched", "best", "window", "doc_start", "th")
+    need = F.when(full, F.col("w")).otherwise(F.ceil(F.col("w") * MATCH))
+    c = c.select("th", "item_id", (F.col("a") + F.col("shift")).alias("from"), "w", need.alias("need"), _once(agree, "agree"))
+    c = c.select("th", "item_id", "from", "w", "need", _once(_best(F.col("agree"), F.col("w")), "x")).filter("x.agree >= need")
+    found = c.groupBy("th", "item_id").agg(F.max(F.struct("x.agree", "w", (F.col("x.at") - F.col("from")).alias("at"))).alias("x"))
+    out = found.select("th", "item_id", F.col("x.agree").alias("agree"), F.col("x.w").alias("window"), (-F.col("x.at")).alias("doc_start"))
+    return mine.select("doc_id", "th").join(out, "th").select("doc_id", "th", "item_id", "agree", "window", "doc_start")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """One row for each document and item found in it, with the strongest overlap."""
-    found = find(docs, benchmark, **names).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "best", "window", "doc_start")).alias("x"))
-    return found.select("doc_id", "item_id", F.col("x.matched").cast("long").alias("matched"), F.col("x.best").alias("best"), F.col("x.window").alias("window"), F.col("x.doc_start").alias("doc_start"))
+    """One row for each document and item found in it, with the best window: most agreements, then the longest, then the first."""
+    best = F.max(F.struct("agree", "window", (-F.col("doc_start")).alias("at"))).alias("x")
+    found = find(docs, benchmark, **names).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", F.col("x.agree").cast("long").alias("agree"), F.col("x.window").cast("long").alias("window"), (-F.col("x.at")).cast("long").alias("doc_start"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
-    bad = find(docs, benchmark, key=key, text=text, **names).select(F.col("doc_id").alias("__tw_d"), F.col("th").alias("__tw_t")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__tw_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__tw_t")), "left_anti")
+    bad = _some(find(docs, benchmark, key=key, text=text, **names).select(F.col("th").alias("__tw_t")))
+    return docs.join(bad, F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__tw_t"), "left_anti")

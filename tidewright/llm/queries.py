@@ -94,5 +94,20 @@ SELECT g.doc_id, len(g.s) AS n_shingles, coalesce(named.component_id, g.doc_id)
 FROM g LEFT JOIN sets ON sets.k = md5(array_to_string(list_sort(g.s), '|')) AND len(g.s) > 0 LEFT JOIN named ON named.rep = sets.rep"""
 
 
+#: Every shift at which eight tokens agree (or all of a short item), then every window.
+_LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS t FROM documents),
+i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS t FROM benchmark),
+dt AS (SELECT doc_id, len(t) AS nd, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
+it AS (SELECT item_id, len(t) AS ni, unnest(t) AS w, unnest(range(len(t))) AS q FROM i),
+m AS (SELECT doc_id, item_id, nd, ni, p - q AS shift, list(q) AS same FROM dt JOIN it USING (w) GROUP BY ALL HAVING count(*) >= least(8, ni)),
+o AS (SELECT *, greatest(0, -shift) AS a, least(ni, nd - shift) AS z FROM m),
+s AS (SELECT *, least(13, ni, z - a) AS n FROM o WHERE z - a >= least(10, ni)),
+w AS (SELECT doc_id, item_id, shift, n, ni, same, unnest(range(a, z - n + 1)) AS f FROM s),
+k AS (SELECT doc_id, item_id, n, ni, f + shift AS doc_start, len(list_filter(same, lambda q: q >= f AND q < f + n)) AS agree FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, n DESC, doc_start) AS best FROM k WHERE agree >= CASE WHEN ni < 10 THEN n ELSE ceil(n * 0.8) END)
+SELECT doc_id, item_id, agree, n AS window, doc_start FROM r WHERE best = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
+    return {"op10_decontaminate": _LEAKS_SQL, "op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
