@@ -283,7 +283,46 @@ def test_pii_query_and_mask(docs):
 
 
 def test_long_runs_are_linear():
+    import time
+
     assert pii.find("a" * 300_000 + "@" + "1" * 300_000 + "." * 10)[0] == []
+    runs = ["anecdote" + " " * 300_000, "1" * 300_000, "1 " * 150_000, "(" * 300_000, "( at " * 60_000, "1." * 150_000, "@" * 300_000, "a@b.c " * 50_000, "one " * 20_000, "x at " * 60_000, "+1 " * 100_000]
+    for t in runs:
+        began = time.process_time()
+        pii.find(t)
+        assert time.process_time() - began < 3, t[:10]
+
+
+def test_leading_zeros():
+    t = "0" * 5000 + ".1.1.1 and 0255.0.0.256 and 000255.0.0.0001"
+    assert [t[a:b] for _, a, b in pii.find(t)[0]] == ["0" * 5000 + ".1.1.1", "000255.0.0.0001"]
+
+
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("write bob at example.com today", "email", "bob at example.com"),
+        ("bob AT example.com", "email", "bob AT example.com"),
+        ("bob @ example.com", "email", "bob @ example.com"),
+        ("plus one 212 555 0199 42", "phone", "plus one 212 555 0199 42"),
+        ("+1 two 1 2 5 5 5 0 1 9 9", "phone", "+1 two 1 2 5 5 5 0 1 9 9"),
+        ("five five five five 5555 5555 5557", "card", "five five five five 5555 5555 5557"),
+    ],
+)
+def test_single_disguises(text, kind, part):
+    assert (kind, part) in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["bob", "@", " at ", "[at]", "( AT )", "&#64;", "&commat;", " dot ", "[dot]", ".", "com", "one", "Five", "\u017fix", "oh", "plus ", "+", "4", "555", " ", "-", ",", "\u200b", "\u0430", "\uff11", "\u0130", "d\u043et", "\n"]), max_size=14))
+def test_gates_change_nothing(parts):
+    t = "".join(parts)
+    a, b = pii.normalised(t), pii.normalised(t, gated=False)
+    assert (a.text if a else t) == (b.text if b else t)
+    if a:
+        assert all(a.source(i, i + 1) == b.source(i, i + 1) for i in range(len(a.text)))
+    base, every = pii.find(t)
+    assert base == plain(t) and set(base) <= set(every) and all(0 <= s < e <= len(t) for _, s, e in every)
 
 
 # ------------------------------------------------------------------ 5 toxicity

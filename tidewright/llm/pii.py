@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,6 @@ HOMOGLYPHS = dict(
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _CHARS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-_GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]")
 _NOTHING = re.compile("[​‌‍⁠﻿­]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -46,16 +47,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
-_ONE = "(?:" + "|".join(DIGITS) + ")"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:{_ONE}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{_ONE}|[0-9]+))+(?![^\W_])")
-_SPELLED_DOTTED = re.compile(rf"(?i)(?<![^\W_]){_ONE}(?=\s+dot\s)|(?<=\bdot\s){_ONE}(?![^\W_])")
-_PIECE = re.compile(rf"(?i){_ONE}")
-_BRACKETED = re.compile(r"(?i)\s*(?:[\[({<]\s*(at|dot)\s*[\])}>]|&#64;|&commat;)\s*")
-_PLAIN_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s+at\s+|@|\s+@\s+)(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-])")
-_PLAIN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
-_AT_WORD = re.compile(r"(?i)\sat\s")
-_AT_BRACKET = re.compile(r"[\[({<]\s*at\s*[\])}>]")
-_PLUS = re.compile(r"(?i)(?<![^\W_])plus\s+(?=[0-9])")
+# letters are matched without regard to case in ASCII only: no other character counts as one of theirs
+_ONE = "(?ai:" + "|".join(DIGITS) + ")"
+_SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_ONE}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{_ONE}|[0-9]+))+(?![^\W_])")
+_SPELLED_DOTTED = re.compile(rf"(?<![^\W_]){_ONE}(?=\s+(?ai:dot)\s)|(?<=\b(?ai:dot)\s){_ONE}(?![^\W_])")
+_PIECE = re.compile(_ONE)
+_PIECES = re.compile(rf"{_ONE}|[0-9]+")
+_BRACKETED = re.compile(r"[\[({<]\s*((?ai:at|dot))\s*[\])}>]|&#64;|(?ai:&commat;)")
+_PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(\s+(?ai:at)\s+|@|\s+@\s+)(?=[A-Za-z0-9-]+(?:\s+(?ai:dot)\s+|\.)[A-Za-z0-9-])")
+_PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9-])\s+(?ai:dot)\s+(?=[A-Za-z0-9-])")
+_PLUS = re.compile(r"(?<![^\W_])(?ai:plus)\s+(?=[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -63,6 +64,11 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches, found from each ``@``: linear in the text."""
     out, done, at = [], 0, text.find("@")
@@ -84,7 +90,7 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_is_byte(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -98,26 +104,33 @@ class Tape:
     """A text with, for each of its characters, the source span that it stands for (None: itself)."""
 
     def __init__(self, text: str):
-        self.text, self.at = text, None
+        self.text, self.starts, self.ends = text, None, None
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace non-overlapping spans; each written character stands for the whole replaced span."""
         if not edits:
             return
-        at = self.at or [(i, i + 1) for i in range(len(self.text))]
-        text, spans, done = [], [], 0
+        if self.starts is None:
+            self.starts = np.arange(len(self.text))
+            self.ends = self.starts + 1
+        text, kept, done = [], [], 0
+        keep, first, last = np.ones(len(self.text), bool), self.starts.copy(), self.ends.copy()
         for a, b, new in edits:
             text += self.text[done:a], new
-            spans += at[done:a]
             if b > a:
-                spans += [(at[a][0], at[b - 1][1])] * len(new)
+                keep[a:b] = False
+                first[a], last[a] = self.starts[a], self.ends[b - 1]
+                if new:
+                    kept.append((a, len(new)))
             done = b
         text.append(self.text[done:])
-        spans += at[done:]
-        self.text, self.at = "".join(text), spans
+        times = keep.astype(np.int64)
+        for a, n in kept:
+            times[a] = n
+        self.text, self.starts, self.ends = "".join(text), np.repeat(first, times), np.repeat(last, times)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.at is None else (self.at[a][0], self.at[b - 1][1])
+        return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
@@ -125,35 +138,50 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     for m in _SPELLED_RUN.finditer(text):
         if not _PIECE.search(m.group()):
             continue
-        pieces = list(re.finditer(rf"(?i){_ONE}|[0-9]+", m.group()))
-        for i, p in enumerate(pieces):
-            a, b = m.start() + p.start(), m.start() + p.end()
-            if i:  # what stands between two digits goes
-                edits.append((m.start() + pieces[i - 1].end(), a, ""))
-            edits.append((a, b, DIGITS.get(p.group().lower(), p.group())))
+        done = None
+        for p in _PIECES.finditer(text, m.start(), m.end()):
+            if done is not None:  # what stands between two digits goes
+                edits.append((done, p.start(), ""))
+            edits.append((*p.span(), DIGITS.get(p.group().lower(), p.group())))
+            done = p.end()
     return edits
 
 
-def normalised(text: str) -> Tape | None:
-    """The text through all transducers; None where none of them has anything to do."""
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Bracketed and encoded at and dot, with the white space around them."""
+    edits, done = [], 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, "." if (m.group(1) or "at").lower() == "dot" else "@"))
+        done = b
+    return edits
+
+
+def normalised(text: str, gated: bool = True) -> Tape | None:
+    """The text through all transducers; None where none of them has anything to do.
+
+    Gates skip a transducer where what all its patterns hold is missing; the result is the same without them.
+    """
     tape = Tape(text)
-    if not text.isascii():
-        if _GLYPH.search(text):
-            tape.text = text.translate(_CHARS)  # one character for one: positions stay
+    if not gated or not text.isascii():
+        tape.text = text.translate(_CHARS)  # one character for one: positions stay
         tape.rewrite([(*m.span(), "") for m in _NOTHING.finditer(tape.text)])
-    # each gate looks for what its transducer cannot do without, in the text as the ones before have left it
-    low = tape.text.lower()
-    if any(w in low for w in DIGITS):
+    low = tape.text.lower() if gated else ""
+    dot = not gated or "dot" in low
+    if not gated or any(w in low for w in DIGITS):
         tape.rewrite(_spelled(tape.text))
-    if "dot" in low:
-        tape.rewrite([(*m.span(), DIGITS[m.group().lower()]) for m in _SPELLED_DOTTED.finditer(tape.text)])
-    if "dot" in low or "&#64;" in low or "&commat;" in low or _AT_BRACKET.search(low):
-        tape.rewrite([(*m.span(), "." if (m.group(1) or "at").lower() == "dot" else "@") for m in _BRACKETED.finditer(tape.text)])
-    if "@" in tape.text or _AT_WORD.search(tape.text):
+        if dot:
+            tape.rewrite([(*m.span(), DIGITS[m.group().lower()]) for m in _SPELLED_DOTTED.finditer(tape.text)])
+    if dot or any(x in low for x in ("@", "at", "&#64;")):
+        tape.rewrite(_bracketed(tape.text))
         tape.rewrite([(*m.span(1), "@") for m in _PLAIN_AT.finditer(tape.text)])
-    if "dot" in low:
+    if dot:
         tape.rewrite([(*m.span(), ".") for m in _PLAIN_DOT.finditer(tape.text)])
-    if "plus" in low:
+    if not gated or "plus" in low:
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     return tape if tape.text != text else None
 
@@ -166,12 +194,16 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     tape = normalised(text)
     if tape is None:
         return base, base
+    have = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
     added = []
     for kind, a, b in plain_spans(tape.text):
         a, b = tape.source(a, b)
-        if not any(k == kind and a < e and s < b and not (a <= s and e <= b and (a, b) != (s, e)) for k, s, e in base):
+        plain = have[kind]
+        # plain spans do not overlap each other: of those that meet this one, only the first and the last can stick out
+        i, j = bisect_right(plain, a, key=lambda x: x[1]), bisect_left(plain, b, key=lambda x: x[0])
+        if i >= j or (a <= plain[i][0] and plain[j - 1][1] <= b and (a, b) != plain[i]):
             added.append((kind, a, b))
-    return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1]))
+    return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
