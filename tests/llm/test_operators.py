@@ -558,12 +558,57 @@ def test_marginals_are_sum_product():
     for state in itertools.product((0, 1), repeat=len(nodes)):
         s = sum(m.potential(n) * state[at[id(n)]] for n in nodes)
         s += sum(m.pair[state[at[id(n.parent)]]][state[at[id(n)]]] for n in nodes[1:])
+        assert len(nodes) > 4
         for i, v in enumerate(state):
             total[i, v] += math.exp(s)
     for i, n in enumerate(nodes):
         assert math.isclose(odds[id(n)], math.log(total[i, 1] / total[i, 0]), rel_tol=1e-6, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><h1>A head</h1><p>See <a>alpha</a>, <a>beta</a>, <a>gamma</a></p><p>Some longer text that goes on for a while here.</p></article>", "A head|See alpha, beta, gamma|Some longer text that goes on for a while here."),
+        ("<article><p>Intro text that goes on.</p><ul><li><a href=1>linked item</a></li><li>plain item text</li></ul></article>", "Intro text that goes on.|linked item|plain item text"),
+        ("<article><h1><a href=/x>Linked headline here</a></h1><p>Body text with some words in it, as usual.</p></article>", "Linked headline here|Body text with some words in it, as usual."),
+        ("<article><p>Body text with some words in it.</p><h2>References</h2><ol><li><a href=1>Paper one, 2001</a></li><li><a href=2>Paper two</a></li></ol></article>", "Body text with some words in it.|References|Paper one, 2001|Paper two"),
+        ("<article><p><a href=1>All of this paragraph is a link to somewhere</a></p><ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr></table></article>", "All of this paragraph is a link to somewhere|a|b|1|2"),
+        ("<form><nav><a href=1>Home</a></nav><article><h1>Head</h1><p>Body text with some words in it.</p></article><input></form>", "Head|Body text with some words in it."),
+        ("<article><p class=it's>One two three four five six.</p><p>Then more words follow.</p></article>", "One two three four five six.|Then more words follow."),
+        ('<article><p>Before it.</p><p><a href="foo>link words</a> and text after it.</p><p>Last one here.</p></article>', "Before it.|link words and text after it.|Last one here."),
+        ("<article><p>One <b>two <p>three</b> four</p><p title='a > b'>Five, six and seven.</p></article>", "One two|three four|Five, six and seven."),
+    ],
+)
+def test_article_text_stays(page, text):
+    assert html.extract(page, html.default_model()).split("\n") == text.split("|")
+
+
+def test_held_out_layouts():
+    m = html.default_model()
+    precision, recall = html.quality(html.labelled_pages(150, 5, True), m)
+    assert precision > 0.98 and recall > 0.95
+    precision, recall = html.quality(html.labelled_pages(150, 99), m)
+    assert precision > 0.98 and recall > 0.97
+
+
+def test_html_time_is_linear():
+    import time
+
+    m = html.default_model()
+    for t in ("<a ", "<b>", "<b><p></p>", '<a ="', "<a ='\">", "<li>", "<ul><li>", "<table><tr><td>", "<i><div></div>", "<a b='\">", "<!-", "</p>", "<"):
+        for page in (t * 8000, t * 8000 + "'", t * 8000 + "</i>" * 8000):
+            began = time.process_time()
+            assert isinstance(html.extract(page, m), str)
+            assert time.process_time() - began < 3, t
+
+
+def test_html_takes_empty_tables_and_other_columns(spark):
+    d = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<p>Some words of a page, and more of them.</p>"), (None, None, "<article><p>An article.</p></article>")], "page_id long, url string, html string")
+    odd = d.withColumns({c: F.lit(0) for c in ("text", "n_chars", "payload", "digest", "first", "data", "n", "record_type")})
+    for op, n in ((html.main_text, 4), (warc.round_trip, 4)):
+        assert op(odd).count() == n and op(odd.limit(0)).count() == 0
+
+
 def test_html_on_pages(spark, sf):
     got = {r.page_id: r.text for r in html.main_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
     import html as h
