@@ -172,6 +172,38 @@ def test_base_score_is_exact(docs):
     assert held["score"].sum() > held["base_score"].sum() and (got["score"] < 0).all()
 
 
+def test_score_by_brute_force(docs, monkeypatch):
+    """The model from exact counts, rounded down to their levels, in plain Python; a filter with many bits hardly ever errs."""
+    monkeypatch.setattr(ngram_lm, "BITS", 64)
+    got = {r.doc_id: r.score for r in ngram_lm.score(docs, crc_mod(F.col("doc_id"), 7) != 2).collect()}
+    seq = {r.doc_id: [*r.text.encode().lower().split(), None] for r in docs.collect()}
+    train = [s for i, s in seq.items() if py_crc_mod(i, 7) != 2]
+    low_to = lambda c: max((int(v) for v in ngram_lm.LEVELS[:200] if v <= c), default=0)
+    word, pair = Counter(w for s in train for w in s), Counter(x for s in train for x in zip(["^", *s], s, strict=False))
+    n, v = sum(word.values()), len(word)
+    word, pair = ({k: low_to(c) for k, c in x.items()} for x in (word, pair))
+
+    def tokens(s):
+        # a text's first context counts as its end
+        return [(word.get(s[i - 1] if i else None, 0), word.get(w, 0), pair.get((s[i - 1] if i else "^", w), 0)) for i, w in enumerate(s)]
+
+    seen = Counter(t for s in train for t in tokens(s))
+    like = {}
+    for (ctx, w, p), k in seen.items():
+        x = like.setdefault(ctx, np.zeros(len(ngram_lm.GRID)))
+        ratio = min(1, max(0, (p - 1) / max(ctx - 1, 1)))
+        x += k * np.log(ngram_lm.GRID * ratio + (1 - ngram_lm.GRID) * max(w, 1) / (n + v))
+    lam = {ctx: ngram_lm.GRID[np.argmax(x)] for ctx, x in like.items()}
+    exact = 0
+    for i, s in seq.items():
+        if not all(c in lam or not c for c, _, _ in tokens(s)):
+            continue
+        want = sum(math.log10((lam[c] if c else 0) * min(1, p / max(c, 1)) + (1 - (lam[c] if c else 0)) * (w + 1) / (n + v + 1)) for c, w, p in tokens(s))
+        assert math.isclose(got[i], want, rel_tol=0.02)
+        exact += math.isclose(got[i], want, rel_tol=1e-9)
+    assert exact >= 0.85 * len(seq)  # the others meet a chance hit
+
+
 def test_common_and_rare_words_agree(docs, monkeypatch):
     want = ngram_lm.score(docs, F.lit(True)).toPandas().sort_values("doc_id")["base_score"].to_numpy()
     monkeypatch.setattr(ngram_lm, "MAX_COMMON", 50)

@@ -3,15 +3,18 @@
 Counts of words and word pairs are quantised to levels (exact to six, then a
 quarter apart) and stored in unary: an n-gram of level q is put in the filter
 with each of 1..q. A count is read by membership probes at levels 1, 2, ...
-until one misses. The filter is built in blocks, one for each range of n-gram
-hashes, from counts merged in that range, with ``BITS`` bits for each entry at
-any corpus size. Blocks of together at most ``MAX_FILTER_BYTES`` are broadcast;
-beyond that the n-grams of the texts travel to the blocks and their levels back.
+until one misses; all bits of an entry lie in one 64-bit word, so a probe is one
+access. The filter is built in blocks, one for each range of n-gram hashes, from
+counts merged in that range, with ``BITS`` bits for each entry at any corpus
+size. Blocks of together at most ``MAX_FILTER_BYTES`` are broadcast; beyond that
+the n-grams of the texts travel to the blocks and their levels back.
 
 A word's probability interpolates c(prev, word)/c(prev) with
 (c(word)+1)/(N+V+1), all from probes; the weights depend on the level of
 c(prev) and maximise the leave-one-out likelihood of all training texts;
-a level that none of them has takes the nearest one's. The base score uses exact counts: those of at most
+a level that none of them has takes the nearest one's. As counts are rounded
+down to their levels, and a probe may hit by chance, the probabilities of all
+words after a word add up to one only nearly. The base score uses exact counts: those of at most
 ``MAX_COMMON`` frequent words are broadcast, the others are joined.
 
 Defined results: null and empty texts are one end token; with no training rows
@@ -30,10 +33,12 @@ from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed
 
 _U = np.uint64
 END, START = _U(0x0E0D5E17A11CE5ED), _U(0x57A27000000000B5)
-BITS, PROBES = 10, 6
+BITS, PROBES = 11, 4
 MAX_FILTER_BYTES = 512 << 20
 MAX_COMMON = 500_000
 FLUSH = 1 << 19
+#: Ranges of n-gram hashes hold so much text each, more where they would be more than MANY_RANGES, but never over MOST_TEXT.
+RANGE_TEXT, MOST_TEXT, MANY_RANGES = 8 << 20, 32 << 20, 1 << 13
 GRID = np.array([0.001, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995])
 
 
@@ -71,16 +76,18 @@ def sequences(texts: list[str | None]):
         yield at, to, seq, starts, prev
 
 
-def _positions(keys: np.ndarray, q: int, bits: np.ndarray, first: np.ndarray):
-    """For each probe the bit of (key, level q) in the block whose size and first bit are given."""
+def _entries(keys: np.ndarray, q: int, words: np.ndarray, first: np.ndarray):
+    """(index of the word, its bits) of (key, level q), in blocks of so many words that start at ``first``."""
     x = mix(keys + _U(q * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-    a, b = x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1)
-    for i in range(PROBES):
-        yield first + (a + _U(i) * b) % bits
+    at = first + (((x >> _U(32)) * words) >> _U(32))
+    bits = _U(1) << (x & _U(63))
+    for i in range(1, PROBES):
+        bits |= _U(1) << ((x >> _U(6 * i)) & _U(63))
+    return at.astype(np.int64), bits
 
 
 class Filter:
-    """Blocks of a Bloom filter: ``sizes`` in bits, one after another in ``data``."""
+    """Blocks of a Bloom filter: ``sizes`` in bits, whole 64-bit words, one after another in ``data``."""
 
     def __init__(self, data: bytes, sizes: np.ndarray):
         self.data, self.sizes = data, sizes.astype(np.uint64)
@@ -92,32 +99,25 @@ class Filter:
         self.data, self.sizes = state
 
     def open(self) -> Filter:
-        self.raw = np.frombuffer(self.data, dtype=np.uint8)
-        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.uint64)
+        self.raw = np.frombuffer(self.data, dtype=np.uint64)
+        self.words = self.sizes >> _U(6)
+        self.firsts = np.concatenate([[0], np.cumsum(self.words)]).astype(np.uint64)
         self.shift = _U(64 - int(len(self.sizes)).bit_length() + 1)
         return self
 
     def read(self, keys: np.ndarray) -> np.ndarray:
         """Levels of the keys by probing level after level."""
         out = np.zeros(len(keys), dtype=np.int64)
-        alive = np.arange(len(keys))
         block = (keys >> self.shift).astype(np.int64) if len(self.sizes) > 1 else np.zeros(len(keys), np.int64)
-        sizes, firsts = self.sizes[block], self.firsts[block]
-        alive = alive[sizes > 0]
+        words, firsts = self.words[block], self.firsts[block]
+        alive = np.flatnonzero(words)
+        k, w, f = keys[alive], words[alive], firsts[alive]
         q = 0
         while len(alive) and q < len(LEVELS):
             q += 1
-            k, s, f = keys[alive], sizes[alive], firsts[alive]
-            live = np.arange(len(alive))
-            x = mix(k + _U(q * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-            a, b = x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1)
-            for i in range(PROBES):
-                p = f[live] + (a[live] + _U(i) * b[live]) % s[live]
-                hit = (self.raw[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1
-                live = live[hit.astype(bool)]
-                if not len(live):
-                    break
-            alive = alive[live]
+            at, bits = _entries(k, q, w, f)
+            hit = np.flatnonzero((self.raw[at] & bits) == bits)
+            alive, k, w, f = alive[hit], k[hit], w[hit], f[hit]
             out[alive] = q
         return out
 
@@ -126,15 +126,16 @@ def block_of(keys: np.ndarray, counts: np.ndarray, bits_each: float) -> tuple[by
     """A filter block for n-grams and their counts: (bytes, its bits, entries)."""
     q = level(counts)
     entries = int(q.sum())
-    size = max(64, -(-int(entries * bits_each) // 8) * 8)
     if not entries:
         return b"", 0, 0
-    bits = np.zeros(size, dtype=bool)
-    for j in range(1, int(q.max()) + 1):
-        k = keys[q >= j]
-        for p in _positions(k, j, _U(size), _U(0)):
-            bits[p.astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes(), size, entries
+    words = max(1, -(-int(entries * bits_each) // 64))
+    data = np.zeros(words, dtype=np.uint64)
+    order = np.argsort(-q, kind="stable")
+    keys, q = keys[order], q[order]
+    for j in range(1, int(q[0]) + 1):
+        at, bits = _entries(keys[: np.searchsorted(-q, -j, "right")], j, _U(words), _U(0))
+        np.bitwise_or.at(data, at, bits)
+    return data.tobytes(), 64 * words, entries
 
 
 MERGED = "range int, words binary, counts binary, n long, entries long, bits long, block binary"
@@ -148,7 +149,7 @@ def count(train: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     The number of ranges comes with the table.
     """
     size = train.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    power = max(2, min(13, (size >> 23).bit_length()))
+    power = max(2, (size // max(RANGE_TEXT, min(MOST_TEXT, size // MANY_RANGES))).bit_length())
     ranges, shift = 1 << power, _U(64 - power)
 
     def run(batches):
@@ -168,8 +169,9 @@ def count(train: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
             cut2 = np.searchsorted((pairs >> shift).astype(np.int64), np.arange(ranges + 1))
             blob = lambda x, a, b: x[a:b].tobytes()
             c, d = c.astype(np.uint32), d.astype(np.uint32)
+            some = np.flatnonzero(np.diff(cut) + np.diff(cut2)).tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array(range(ranges), pa.int32()), *(pa.array([blob(x, k[i], k[i + 1]) for i in range(ranges)], pa.binary()) for x, k in ((words, cut), (c, cut), (pairs, cut2), (d, cut2)))],
+                [pa.array(some, pa.int32()), *(pa.array([blob(x, k[i], k[i + 1]) for i in some], pa.binary()) for x, k in ((words, cut), (c, cut), (pairs, cut2), (d, cut2)))],
                 ["range", "w", "wc", "p", "pc"],
             )
 
@@ -214,15 +216,15 @@ def count(train: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
             yield made(now, words, pairs)
 
     sent = train.select(F.col(text)).mapInArrow(run, "range int, w binary, wc binary, p binary, pc binary")
-    return saved(sent.repartition(min(ranges, 2000), "range").sortWithinPartitions("range").mapInArrow(merge, MERGED), "ngrams"), ranges
+    return saved(sent.repartition(min(ranges, 20_000), "range").sortWithinPartitions("range").mapInArrow(merge, MERGED), "ngrams"), ranges
 
 
 def _filter(merged: DataFrame, n: int) -> Filter:
-    sizes, data = np.zeros(n, dtype=np.uint64), bytearray()
+    sizes, parts = np.zeros(n, dtype=np.uint64), []
     for r in merged.select("range", "bits", "block").orderBy("range").toLocalIterator():
         sizes[r.range] = r.bits
-        data += r.block
-    return Filter(bytes(data), sizes)
+        parts.append(bytes(r.block))
+    return Filter(b"".join(parts), sizes)
 
 
 def _word_rows(merged: DataFrame) -> DataFrame:
@@ -374,10 +376,10 @@ def _probed(part: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
 
     blocks = merged.filter("bits > 0").select("range", F.lit(None).cast("long").alias("chunk"), F.col("block").alias("data"), "bits")
     asked = part.select("chunk", "seq").mapInArrow(ask, "range int, chunk long, data binary, bits long")
-    dealt = blocks.unionByName(asked).repartition(min(ranges, 2000), "range").sortWithinPartitions("range", F.col("bits").isNull())
+    dealt = blocks.unionByName(asked).repartition(min(ranges, 20_000), "range").sortWithinPartitions("range", F.col("bits").isNull())
     levels = saved(dealt.mapInArrow(answer, "chunk long, keys binary, levels binary"), "levels")
     both = levels.select("chunk", F.lit(None).cast("long").alias("rid"), F.col("keys").alias("data"), "levels").unionByName(part.select("chunk", "rid", F.col("seq").alias("data"), F.lit(None).cast("binary").alias("levels")))
-    told = saved(both.repartition(min(ranges, 2000), "chunk").sortWithinPartitions("chunk", "rid").mapInArrow(tell, "rid long, wl binary, pl binary"), "told")
+    told = saved(both.repartition(min(ranges, 20_000), "chunk").sortWithinPartitions("chunk", "rid").mapInArrow(tell, "rid long, wl binary, pl binary"), "told")
     dropped(levels)
     return told
 
@@ -424,8 +426,7 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
                 out[3] += (np.add.reduceat(gain, starts) - sizes * unit).tolist()
                 if flt:
                     word = flt.read(word_key(words)).astype(np.uint8)[back]
-                    keys, where = np.unique(pair_key(prev, seq), return_inverse=True)
-                    both = flt.read(keys).astype(np.uint8)[where]
+                    both = flt.read(pair_key(prev, seq)).astype(np.uint8)
                 for a, k in zip(starts, sizes, strict=True):
                     rest = seq[a : a + k][~known[a : a + k]]
                     h, c = np.unique(rest, return_counts=True)
