@@ -141,22 +141,54 @@ def test_warc_round_trip(spark, sf):
             assert r.record_type == "response" and r.refers_to != r.refers_to
 
 
-def test_archive_is_zstandard():
+def test_warc_fields(spark):
+    """Any characters in urls, ids of another type, unique record ids, dates, and revisits that name their response's record."""
+    urls = ["http://a/ b", "x\r\ny", "x%0Ay", "é\u2028", ' lead', '"quoted"', ""]
+    rows = [(f"id{i}\n", u, "p" * 200) for i, u in enumerate(urls)] + [("same", "u", "q" * 300), ("same", "u", "q" * 300), ("z", "u", "q" * 300)]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = warc.round_trip(d).collect()
+    assert sorted((r.page_id, r.url) for r in got) == sorted((i, u) for i, u, _ in rows)
+    heads = [warc.parse(x)[0] for a in warc.write(d).collect() for x in warc.records(bytes(a.data))]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) and all(h["WARC-Date"] == warc.DATE for h in heads)
+    assert sum(h["WARC-Type"] == "warcinfo" for h in heads) == warc.write(d).count()
+    refers = [h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h]
+    assert len(refers) == len(urls) - 1 and set(refers) <= set(ids)
+    assert {h["X-Refers-To-Page-ID"] for h in heads if h["WARC-Type"] == "revisit"} == {'"id0\\n"', "same"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 200])
+def test_archive_is_zstandard(n):
+    """Every archive has a dictionary from its records, however few they are."""
     import zstandard
 
-    recs = [warc.record(i, f"http://x/{i}", f"<p>{i} page of text {i * 7}</p>".encode() * 20, "d", None) for i in range(200)]
+    recs = [warc.record(str(i), f"http://x/{i}", f"<p>{i} page of text {i * 7}</p>".encode() * 20, "d") for i in range(n)]
     data = warc.archive(recs)
-    magic, n = struct.unpack_from("<II", data)
-    assert magic == warc.DICT_MAGIC and n > 0
+    magic, size = struct.unpack_from("<II", data)
+    assert magic == warc.DICT_MAGIC and size > 0
     assert list(warc.records(data)) == recs
-    z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
-    assert z.decompress(data[8 + n :]) == recs[0]  # the first frame alone
-    assert len(data) < len(warc.archive(recs[:1])) * 200
+    z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
+    assert z.decompress(data[8 + size :]) == recs[0]  # the first frame alone
+    if n == 200:
+        assert len(data) < len(warc.archive(recs[:1])) * 200
     for bad in (b"", data[:6], data[:-3], b"\0" + data[1:]):
         with pytest.raises(ValueError):
             list(warc.records(bad))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 5000), st.integers(0, 255))
+def test_damaged_archives_raise_only_value_errors(at, byte):
+    recs = [warc.record(str(i), "u", f"<p>{i} text {i * 7}</p>".encode() * 9, "d") for i in range(12)]
+    data = bytearray(warc.archive(recs))
+    data[at % len(data)] = byte
+    try:
+        for r in warc.records(bytes(data)):
+            warc.parse(r)
+    except ValueError:
+        pass
+
+
 # ------------------------------------------------------------------ 3 scoring
 
 
@@ -440,8 +472,62 @@ def test_media_round_trip(data):
     f = media.write(data)
     m = media.read(f)
     assert b"".join(f[a:b] for a, b in m["samples"]) == media.padded(data)
-    assert m["n_bytes"] == len(data) and m["codec"] == "raw" and m["duration"] == m["sample_time"] == len(media.padded(data))
-    assert m["keyframes"] == m["samples"][:: media.KEY_EVERY]
+    assert m["played"] == len(data) and m["codec"] == "raw" and m["duration"] == m["sample_time"] == len(media.padded(data))
+    assert m["keyframes"] == m["samples"]
+
+
+def boxed(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def full(kind, *parts, flags=0):
+    return boxed(kind, struct.pack(">I", flags), *parts)
+
+
+def track(ident, codec, sizes, offsets, runs, keys=None):
+    table = lambda fmt, rows: struct.pack(">I", len(rows)) + b"".join(struct.pack(fmt, *(r if isinstance(r, tuple) else (r,))) for r in rows)
+    stbl = [full(b"stsd", struct.pack(">I", 1), boxed(codec, bytes(28))), full(b"stts", table(">II", [(len(sizes), 10)] if sizes else [])), full(b"stsc", table(">III", runs)), full(b"stsz", struct.pack(">II", 0, len(sizes)), struct.pack(f">{len(sizes)}I", *sizes)), full(b"stco", table(">I", offsets))]
+    stbl += [full(b"stss", table(">I", keys))] if keys is not None else []
+    mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 10 * len(sizes), 0, 0))
+    return boxed(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, ident), bytes(64)), boxed(b"mdia", mdhd, boxed(b"minf", boxed(b"stbl", *stbl))))
+
+
+def test_tracks_are_read_apart():
+    """Two interleaved tracks; only the second has a table of keyframes."""
+    payload = bytes(range(200))
+    mdat = boxed(b"mdat", payload)
+    at = lambda k: 8 + k
+    f = mdat + boxed(b"moov", track(1, b"twos", [5] * 12, [at(0), at(100)], [(1, 10, 1), (2, 2, 1)]), track(2, b"avc1", [7, 9, 11], [at(50)], [(1, 3, 1)], [1, 3]))
+    one, two = media.tracks(f)
+    assert (one["codec"], len(one["samples"]), len(one["keyframes"])) == ("twos", 12, 12) and one["samples"][10] == (at(100), at(105))
+    assert (two["codec"], two["samples"]) == ("avc1", [(58, 65), (65, 74), (74, 85)]) and two["keyframes"] == [(58, 65), (74, 85)]
+    assert two["duration"] == two["sample_time"] == 30
+
+
+def test_fragments_are_decoded():
+    trex = full(b"trex", struct.pack(">IIIII", 1, 1, 20, 6, 0x10000))
+    head = boxed(b"moov", track(1, b"avc1", [], [], []), boxed(b"mvex", trex))
+    trun = full(b"trun", struct.pack(">IiIIII", 3, 0, 0, 4, 5, 6), flags=0x1 | 0x4 | 0x200)
+    moof = lambda off: boxed(b"moof", full(b"mfhd", struct.pack(">I", 1)), boxed(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">IiIIII", 3, off, 0, 4, 5, 6), flags=0x205)))
+    assert len(trun) == 36
+    size = len(moof(0))
+    f = head + moof(size + 8) + boxed(b"mdat", bytes(15))
+    (t,) = media.tracks(f)
+    a = len(head) + size + 8
+    assert t["samples"] == [(a, a + 4), (a + 4, a + 9), (a + 9, a + 15)] and t["keyframes"] == [(a, a + 4)] and t["sample_time"] == 60
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, 1 << 30), st.binary(min_size=1, max_size=4), st.booleans())
+def test_damaged_media_raise_only_value_errors(at, new, cut):
+    f = bytearray(media.write(b"some text " * 400))
+    at %= len(f) - len(media.padded(b"some text " * 400)) - 8
+    f[at : at + len(new)] = new
+    try:
+        media.tracks(bytes(f[: len(f) - len(new)] if cut else f))
+    except ValueError:
+        pass
 
 
 def test_media_boxes_and_damage():
@@ -460,6 +546,13 @@ def test_media_query(docs):
         p = media.padded(r.text.encode())
         g = got.loc[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(r.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        f = media.write(r.text.encode())
+        assert f.endswith(struct.pack(">I4s", len(p) + 8, b"mdat") + p)
+        assert (g.media_bytes, g.media_sha256) == (len(f), hashlib.sha256(f).hexdigest())
+        first, n = len(f) - len(p), len(p) // 192
+        marks = zlib.crc32(b"".join(struct.pack(">QQ", first + 192 * i, first + 192 * (i + 1)) for i in range(n)))
+        assert g.feature == f"raw|8000|{len(p)}|{n}|{n}|{first}-{first + 192}|{marks:08x}" and g.duration_s == len(p) / 8000
+        assert [tuple(k) for k in g.keyframes] == [(first + 192 * i, first + 192 * (i + 1)) for i in range(n)]
 
 
 # ------------------------------------------------------------------ 7 Jaccard

@@ -1,13 +1,16 @@
 """ISO base media files: a writer, a box walker and sample-table decoder.
 
 A payload becomes the samples of one audio track (8-bit PCM, 192 bytes a
-sample, 16 samples a chunk). The reader walks nested boxes, decodes the
-sample tables (stsz, stsc, stco/co64, stts, stss) to byte ranges, and reports
-codec, duration and keyframe byte ranges; sample payloads are never decoded.
+sample, 16 samples a chunk); an edit list gives the time, a unit for each byte,
+that the unpadded payload takes. The reader walks nested boxes and decodes each
+track by itself: sample tables (stsz, stsc, stco/co64, stts, stss) and the runs
+of movie fragments (tfhd, trun, with the defaults of trex) become byte ranges,
+and codec, duration and keyframe byte ranges are reported. Every sample of a
+track without stss is a keyframe. Sample payloads are never decoded.
 
 Defined results: null and empty texts store one sample of 192 spaces; equal
 texts give equal files; repeated rows give repeated results; extra columns are
-ignored. A damaged file raises ``ValueError``.
+ignored. A damaged file raises ``ValueError``, whatever its tables claim.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from ._common import map_rows
 
 SAMPLE = 192
 PER_CHUNK = 16
-KEY_EVERY = 16
 TIMESCALE = 8000
 #: Boxes whose payload is other boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"udta", b"edts", b"mvex", b"moof", b"traf"))
@@ -49,13 +51,12 @@ _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
 def write(data: bytes) -> bytes:
-    """A media file whose samples are ``data`` padded with spaces; the unpadded length is in ``udta/size``."""
+    """A media file whose samples are ``data`` padded with spaces; its edit list plays the unpadded part."""
     payload = padded(data)
     n = len(payload) // SAMPLE
     chunks = -(-n // PER_CHUNK)
     duration = n * SAMPLE  # one unit of time for each byte
     ftyp = _box(b"ftyp", b"isom", struct.pack(">I", 512), b"isom", b"mp41")
-    keys = range(1, n + 1, KEY_EVERY)
 
     def moov(first: int) -> bytes:
         wide = first + len(payload) >= 1 << 32
@@ -65,7 +66,6 @@ def write(data: bytes) -> bytes:
             b"stbl",
             _full(b"stsd", struct.pack(">I", 1), _box(b"raw ", bytes(6), struct.pack(">HHHIHHHHI", 1, 0, 0, 0, 1, 8, 0, 0, TIMESCALE << 16))),
             _full(b"stts", struct.pack(">III", 1, n, SAMPLE)),
-            _full(b"stss", struct.pack(">I", len(keys)), struct.pack(f">{len(keys)}I", *keys)),
             _full(b"stsc", struct.pack(">I", len(runs)), b"".join(struct.pack(">III", *r) for r in runs)),
             _full(b"stsz", struct.pack(">II", SAMPLE, n)),
             _full(b"co64" if wide else b"stco", struct.pack(">I", chunks), struct.pack(f">{chunks}{'Q' if wide else 'I'}", *offsets)),
@@ -76,7 +76,8 @@ def write(data: bytes) -> bytes:
         hdlr = _full(b"hdlr", struct.pack(">I4s12x", 0, b"soun"), b"text\x00")
         tkhd = _full(b"tkhd", struct.pack(">QQIIQ8xHHHH", 0, 0, 1, 0, duration, 0, 0, 0x100, 0), _MATRIX, bytes(8), version=1, flags=7)
         mvhd = _full(b"mvhd", struct.pack(">QQIQIH10x", 0, 0, TIMESCALE, duration, 0x10000, 0x100), _MATRIX, bytes(24), struct.pack(">I", 2), version=1)
-        return _box(b"moov", mvhd, _box(b"trak", tkhd, _box(b"mdia", mdhd, hdlr, minf)), _box(b"udta", _box(b"size", struct.pack(">Q", len(data)))))
+        elst = _full(b"elst", struct.pack(">IQqHH", 1, len(data), 0, 1, 0), version=1)
+        return _box(b"moov", mvhd, _box(b"trak", tkhd, _box(b"edts", elst), _box(b"mdia", mdhd, hdlr, minf)))
 
     head = 16 if len(payload) + 8 >= 1 << 32 else 8
     size = len(moov(0))
@@ -107,44 +108,168 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         at = stop
 
 
-def _table(data, at: int, end: int, fmt: str) -> list[tuple]:
-    (n,) = struct.unpack_from(">I", data, at + 4)
+def _ints(data, at: int, end: int, fmt: str) -> tuple:
+    """Unpack ``fmt`` at ``at``, which must lie before ``end``."""
+    if at + struct.calcsize(fmt) > end:
+        raise ValueError("a box is shorter than its fields")
+    return struct.unpack_from(fmt, data, at)
+
+
+def _table(data, span: tuple[int, int], fmt: str) -> list[tuple]:
+    """The rows of a full box that counts them."""
+    at, end = span
+    (n,) = _ints(data, at + 4, end, ">I")
     size = struct.calcsize(fmt)
     if at + 8 + n * size > end:
-        raise ValueError("a sample table is longer than its box")
+        raise ValueError("a table is longer than its box")
     return list(struct.iter_unpack(fmt, bytes(data[at + 8 : at + 8 + n * size])))
 
 
-def read(data: bytes) -> dict:
-    """Codec, time scale, duration, sample byte ranges and keyframe byte ranges of the first track."""
-    boxes = {}
-    for path, a, b in walk(data):
-        boxes.setdefault(path[-1], (a, b))
-    if missing := [k for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in boxes]:
-        raise ValueError(f"no box {missing[0]!r}")
-    a, _ = boxes[b"mdhd"]
-    scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-    codec = bytes(data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1").strip()
-    a, b = boxes[b"stsz"]
-    each, n = struct.unpack_from(">II", data, a + 4)
-    sizes = [each] * n if each else [x for (x,) in struct.iter_unpack(">I", bytes(data[a + 12 : a + 12 + 4 * n]))]
-    offsets = [x for (x,) in (_table(data, *boxes[b"co64"], ">Q") if b"co64" in boxes else _table(data, *boxes[b"stco"], ">I"))]
-    runs = _table(data, *boxes[b"stsc"], ">III")
+class _Track:
+    def __init__(self):
+        self.boxes: dict[bytes, tuple[int, int]] = {}
+
+
+def _need(boxes: dict, kind: bytes) -> tuple[int, int]:
+    if kind not in boxes:
+        raise ValueError(f"no box {kind!r}")
+    return boxes[kind]
+
+
+def _sizes(data, span: tuple[int, int]) -> list[int] | range:
+    a, b = span
+    each, n = _ints(data, a + 4, b, ">II")
+    if each:
+        if n * each > len(data):
+            raise ValueError("the samples are longer than the file")
+        return [each] * n
+    if a + 12 + 4 * n > b:
+        raise ValueError("a table is longer than its box")
+    return [x for (x,) in struct.iter_unpack(">I", bytes(data[a + 12 : a + 12 + 4 * n]))]
+
+
+def _described(data, boxes: dict) -> dict:
+    """A track of the movie box: what it is, and the samples of its tables."""
+    a, b = _need(boxes, b"mdhd")
+    wide = b > a and data[a] == 1
+    scale, duration = _ints(data, a + 20, b, ">IQ") if wide else _ints(data, a + 12, b, ">II")
+    a, b = _need(boxes, b"tkhd")
+    (ident,) = _ints(data, a + (20 if b > a and data[a] == 1 else 12), b, ">I")
+    a, b = _need(boxes, b"stsd")
+    codec = struct.pack(">I", *_ints(data, a + 12, b, ">I")).decode("latin-1").strip()
+    if not scale:
+        raise ValueError("the time scale is 0")
+    sizes = _sizes(data, _need(boxes, b"stsz"))
+    offsets = [x for (x,) in (_table(data, boxes[b"co64"], ">Q") if b"co64" in boxes else _table(data, _need(boxes, b"stco"), ">I"))]
+    runs = _table(data, _need(boxes, b"stsc"), ">III")
     samples, k = [], 0
     for i, (first, per, _) in enumerate(runs):
         last = runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1
+        if not 1 <= first <= last <= len(offsets) + 1 or (last - first) * per > len(sizes) - k:
+            raise ValueError("the sample tables disagree")
         for chunk in range(first, last):
             at = offsets[chunk - 1]
             for _ in range(per):
                 samples.append((at, at + sizes[k]))
                 at += sizes[k]
                 k += 1
-    if k != n or samples and samples[-1][1] > len(data):
+    times = _table(data, _need(boxes, b"stts"), ">II")
+    if k != len(sizes) or sum(c for c, _ in times) != k or any(b > len(data) for _, b in samples):
         raise ValueError("the sample tables disagree")
-    keys = [x for (x,) in _table(data, *boxes[b"stss"], ">I")] if b"stss" in boxes else range(1, n + 1)
-    times = sum(c * d for c, d in _table(data, *boxes[b"stts"], ">II"))
-    unpadded = struct.unpack_from(">Q", data, boxes[b"size"][0])[0] if b"size" in boxes else None
-    return {"codec": codec, "timescale": scale, "duration": duration, "sample_time": times, "samples": samples, "keyframes": [samples[i - 1] for i in keys], "n_bytes": unpadded}
+    keys = [x for (x,) in _table(data, boxes[b"stss"], ">I")] if b"stss" in boxes else range(1, k + 1)
+    if any(not 1 <= x <= k for x in keys):
+        raise ValueError("a keyframe is no sample")
+    played = None
+    if b"elst" in boxes:
+        span = boxes[b"elst"]
+        played = sum(x for x, *_ in _table(data, span, ">QqHH" if data[span[0]] == 1 else ">IiHH"))
+    return {"id": ident, "codec": codec, "timescale": scale, "duration": duration, "sample_time": sum(c * d for c, d in times), "played": played, "samples": samples, "keyframes": [samples[i - 1] for i in keys]}
+
+
+_NOT_SYNC = 0x10000
+
+
+def _run(data, span: tuple[int, int], base: int, given: tuple[int, int, int], track: dict) -> int:
+    """Add the samples of a fragment's run (trun) to its track; the byte after the last."""
+    a, b = span
+    word, n = _ints(data, a, b, ">II")
+    flags, at = word & 0xFFFFFF, a + 8
+    if flags & 1:
+        base += _ints(data, at, b, ">i")[0]
+        at += 4
+    first = None
+    if flags & 4:
+        (first,) = _ints(data, at, b, ">I")
+        at += 4
+    fields = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
+    if at + 4 * len(fields) * n > b or (not fields and n * max(1, given[1]) > len(data)):
+        raise ValueError("a run is longer than its box")
+    for i in range(n):
+        own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at), strict=True))
+        at += 4 * len(fields)
+        size = own.get(0x200, given[1])
+        if base < 0 or base + size > len(data):
+            raise ValueError("a run lies outside the file")
+        track["samples"].append((base, base + size))
+        if not (first if first is not None and not i else own.get(0x400, given[2])) & _NOT_SYNC:
+            track["keyframes"].append((base, base + size))
+        track["sample_time"] += own.get(0x100, given[0])
+        base += size
+    return base
+
+
+def tracks(data: bytes) -> list[dict]:
+    """The tracks of a file: id, codec, time scale, duration, sample byte ranges and keyframe byte ranges."""
+    found: list[_Track] = []
+    fragments: list[tuple[int, list[dict]]] = []  # (start of the moof, its trafs)
+    extends = []
+    for path, a, b in walk(data):
+        kind = path[-1]
+        if kind == b"trak":
+            found.append(_Track())
+        elif b"trak" in path and found:
+            found[-1].boxes.setdefault(kind, (a, b))
+        elif kind == b"trex":
+            extends.append(_ints(data, a + 4, b, ">IIIII"))
+        elif kind == b"moof":
+            fragments.append((a - 8, []))
+        elif kind == b"traf":
+            fragments[-1][1].append({"runs": []})
+        elif path[-2:-1] == (b"traf",) and kind == b"tfhd":
+            fragments[-1][1][-1]["head"] = (a, b)
+        elif path[-2:-1] == (b"traf",) and kind == b"trun":
+            fragments[-1][1][-1]["runs"].append((a, b))
+    out = [_described(data, t.boxes) for t in found]
+    if not out:
+        raise ValueError("no track")
+    of, usual = {t["id"]: t for t in out}, {t: (d, s, f) for t, _, d, s, f in extends}
+    for start, parts in fragments:
+        end = start
+        for part in parts:
+            if "head" not in part:
+                raise ValueError("a track's fragment has no header")
+            a, b = part["head"]
+            word, ident = _ints(data, a, b, ">II")
+            if ident not in of:
+                raise ValueError("a fragment of no track")
+            at, base = a + 8, start if word & 0x20000 or end == start else end
+            if word & 1:
+                (base,) = _ints(data, at, b, ">Q")
+            at += 8 * (word & 1) + 4 * bool(word & 2)
+            given = list(usual.get(ident, (0, 0, 0)))
+            for i, flag in enumerate((0x8, 0x10, 0x20)):
+                if word & flag:
+                    (given[i],) = _ints(data, at, b, ">I")
+                    at += 4
+            end = base
+            for run in part["runs"]:
+                end = _run(data, run, base if _ints(data, *run, ">I")[0] & 1 else end, tuple(given), of[ident])
+    return out
+
+
+def read(data: bytes) -> dict:
+    """The first track; see ``tracks``."""
+    return tracks(data)[0]
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<start:long,end:long>>"
@@ -161,7 +286,7 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         keys = m["keyframes"]
         marks = zlib.crc32(b"".join(struct.pack(">QQ", *k) for k in keys))
         feature = f"{m['codec']}|{m['timescale']}|{m['duration']}|{len(m['samples'])}|{len(keys)}|{keys[0][0]}-{keys[0][1]}|{marks:08x}"
-        return (m["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, m["codec"], m["duration"] / m["timescale"], [{"start": a, "end": b} for a, b in keys])
+        return (m["played"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, m["codec"], m["duration"] / m["timescale"], [{"start": a, "end": b} for a, b in keys])
 
     def make():
         def f(cols):
