@@ -627,6 +627,12 @@ def test_keep_one(spark, odd):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [3, 9, 10, 11]
     assert jaccard.keep_one(odd).filter("doc_id = 1").count() == 1
+    # one id for different texts: the copy goes, the other stays
+    a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "one two three four five six seven eight nine ten"
+    rows = [(3, a), (5, a.replace("a b", "a  b") + "end"), (5, b), (7, b), (7, b)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, a), (5, b)]
+    assert jaccard.keep_one(spark.createDataFrame([(None, b), (None, b), (2, a)], "doc_id long, text string")).count() == 2
 
 
 def test_components(spark):

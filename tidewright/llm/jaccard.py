@@ -19,9 +19,9 @@ joined. Equal sets are one node.
 * Candidate texts are brought to their hub (in shares, if it has many) and the
   similarity is computed from the shingles.
 
-Links are folded to components. Shingles whose counter is very high are grouped
-by a pre-aggregation and a join that Spark splits where it is skewed; the
-others by one shuffle, in groups no larger than the counter allows.
+Links are folded to components. Shingles whose counter is above ``COLD`` are
+grouped by a pre-aggregation and a join that Spark splits where it is skewed;
+the others by one shuffle, in groups no larger than that.
 
 Defined results: null texts and texts without a word have the empty set and
 link to nothing; texts shorter than ``n`` words are one shingle; repeated rows
@@ -44,6 +44,8 @@ SLICES = 64
 GROUP = 32
 RANGES = 32
 SHARE = 400
+#: Shingles whose counter is above go by aggregation and join; the others' groups are windows, no larger than this.
+COLD = 5_000
 _U = np.uint64
 
 
@@ -71,7 +73,8 @@ def shingle_sets(texts: list[str | None], n: int):
 def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How often the shingles of each hashed range occur in all documents: 2^SKETCH_BITS counters.
 
-    Each task sums up its own; slices of them are added up as a stream.
+    Each task sums up its own; slices of them are added up as streams, in two
+    rounds, so that no task reads more than some hundred of them.
     """
     small_batches(docs.sparkSession)
     size = 1 << SKETCH_BITS
@@ -85,19 +88,22 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
             if got:
                 total += np.bincount((np.concatenate(got) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "counts"])
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId() // 128
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "part", "counts"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(v, np.int64)
+            for *k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k, v = (k[0], k[1] // 128), np.frombuffer(v, np.int64)
                 sums[k] = sums[k] + v if k in sums else v
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "part", "counts"])
 
-    kind = "slice int, counts binary"
-    rows = docs.mapInArrow(count, kind).repartition(SLICES // 4, "slice").mapInArrow(add, kind).collect()
+    kind = "slice int, part int, counts binary"
+    rows = docs.mapInArrow(count, kind).repartition("slice", "part").mapInArrow(add, kind).repartition(SLICES // 4, "slice").mapInArrow(add, kind).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r.slice * step : (r.slice + 1) * step] += np.frombuffer(r.counts, np.int64)
@@ -105,36 +111,34 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """doc_id, key (hash of the set), m (its size), score, sig (counts by hashed range), toks (the prefix), hot (how many at its end may be very frequent)."""
-    limit = int(5000 + 4 * counts.mean())
+    """doc_id, th (hash of the text), key (hash of the set), m (its size), score, sig (counts by hashed range), toks (the prefix), hot (how many at its end may be very frequent)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def make():
         table = shared.value
 
         def f(cols):
-            out = [[] for _ in range(7)]
-            for doc, u in zip(cols[0], shingle_sets(cols[1], n), strict=True):
+            out = [[] for _ in range(6)]
+            for u in shingle_sets(cols[2], n):
                 m = len(u)
-                out[0].append(doc)
-                out[2].append(m)
+                out[1].append(m)
                 if not m:
-                    for c in (1, 3, 4, 5, 6):
+                    for c in (0, 2, 3, 4, 5):
                         out[c].append(None)
                     continue
                 c = table[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 k = m - -(-num * m // den) + 1
                 first = np.lexsort((u, c))[:k]
-                out[1].append(int(signed(mix(np.array([mix(u).sum() + _U(m)])))[0]))
-                out[3].append(float(np.log2(c + 1.0).mean()))
-                out[4].append(np.minimum(np.bincount((u & _U(RANGES - 1)).astype(np.int64), minlength=RANGES), 32767).tolist())
-                out[5].append(signed(u[first]).tolist())
-                out[6].append(int((c[first] > limit).sum()))
-            return out
+                out[0].append(int(signed(mix(np.array([mix(u).sum() + _U(m)])))[0]))
+                out[2].append(float(np.log2(c + 1.0).mean()))
+                out[3].append(np.minimum(np.bincount((u & _U(RANGES - 1)).astype(np.int64), minlength=RANGES), 32767).tolist())
+                out[4].append(signed(u[first]).tolist())
+                out[5].append(int((c[first] > COLD).sum()))
+            return [*cols[:2], *out]
 
         return f
 
-    return map_rows(docs, f"doc_id {kind}, key long, m int, score float, sig array<short>, toks array<long>, hot int", make)
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), f"doc_id {kind}, th long, key long, m int, score float, sig array<short>, toks array<long>, hot int", make)
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -226,6 +230,16 @@ def _suffix(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``; see the module's text."""
+    rows, named = _components(docs, n, percent, key, text)
+    out = rows.join(named.select("key", "name"), "key", "left")
+    out = saved(out.select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id")), "joined")
+    for t in (rows, named):
+        dropped(t)
+    return out
+
+
+def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, key, m, ...) with the key of their set, and for each key the name of its component and the key that lends it."""
     num, den = percent, 100
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -257,15 +271,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
     more = saved(_verify(rest.select("a", "b", F.lit(False).alias("big")), texts, n, num, den).filter("linked").select("a", "b"), "links")
     if not more.isEmpty():
         first = comp.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        comp = saved(components(first.unionByName(more)), "components")
-    for t in (groups, light, texts, done, more):
-        dropped(t)
+        comp, before = saved(components(first.unionByName(more)), "components"), comp
+        dropped(before)
     # components are named on nodes, so a large one is no group of rows
     low = nodes.groupBy("key").agg(F.min("doc_id").alias("low"))
-    named = low.join(comp.select(F.col("node").alias("key"), "root"), "key", "left")
-    least = named.filter("root is not null").groupBy("root").agg(F.min("low").alias("g"))
-    names = named.join(least, "root", "left").select("key", F.coalesce("g", "low").alias("name"))
-    return rows.join(names, "key", "left").select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
+    rooted = low.join(comp.select(F.col("node").alias("key"), "root"), "key", "left")
+    least = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("g"))
+    named = rooted.join(least, "root", "left").select("key", F.coalesce("g.low", "low").alias("name"), F.coalesce("g.key", "key").alias("lead"))
+    named = saved(named, "named")
+    for t in (groups, light, texts, done, more, comp):
+        dropped(t)
+    return rows, named
 
 
 def _own_text(fetched: DataFrame, n: int) -> DataFrame:
@@ -284,13 +300,21 @@ def _own_text(fetched: DataFrame, n: int) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: of its smallest id, or any one of rows repeated with that id.
 
-    Rows with the empty set link to nothing and all stay; a component of rows
-    without ids keeps one of them.
+    Rows with the empty set link to nothing: all with different ids or texts
+    stay, and so do repeated ones. A component of rows without ids keeps one.
     """
-    found = join(docs, n, percent, key, text)
-    flags = found.select(F.col("doc_id").alias("__tw_id"), F.col("component_id").alias("__tw_c"), F.col("n_shingles").alias("__tw_n"))
-    lead = flags.filter((F.col("__tw_n") == 0) | F.col("__tw_id").eqNullSafe(F.col("__tw_c"))).select("__tw_id").distinct()
-    kept = docs.join(lead, docs[key].eqNullSafe(lead["__tw_id"]), "left_semi")
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = kept.withColumn("__tw_same", F.when(blank, F.monotonically_increasing_id()).otherwise(F.xxhash64(text)))
-    return marked.dropDuplicates([key, "__tw_same"]).drop("__tw_same")
+    rows, named = _components(docs, n, percent, key, text)
+    # one (id, text) of each component: of the key that lends the name
+    lead = rows.join(named.filter("key = lead").select("key", "name"), "key").filter(F.col("doc_id").eqNullSafe(F.col("name")))
+    lead = lead.groupBy("key").agg(F.min("th").alias("th"), F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    blank = rows.filter("key is null").groupBy("doc_id", "th").agg(F.lit(0).cast("long").alias("rows"))
+    stay = saved(lead.select(F.col("id").alias("__tw_id"), F.col("th").alias("__tw_th"), F.col("rows").alias("__tw_rows")).unionByName(blank.select(F.col("doc_id").alias("__tw_id"), F.col("th").alias("__tw_th"), F.col("rows").alias("__tw_rows"))), "stay")
+    for t in (rows, named):
+        dropped(t)
+    kept = docs.join(stay, docs[key].eqNullSafe(stay["__tw_id"]) & (F.xxhash64(docs[text]) == stay["__tw_th"]))
+    many = F.col("__tw_rows") > 1
+    if stay.filter(many).isEmpty():
+        return kept.select(docs["*"])
+    # only rows that may be repeats of each other meet
+    once = kept.filter(many).dropDuplicates(["__tw_id", "__tw_th"])
+    return kept.filter(~many).select(docs["*"]).unionByName(once.select(*docs.columns))
