@@ -58,7 +58,7 @@ def test_folds_in_parallel_agree(spark):
 def test_bootstrap_of_variances(spark):
     rng = np.random.default_rng(0)
     d = spark.createDataFrame([(float(i % 3), float(v)) for i, v in enumerate(rng.normal(0, 2, 900))], "x double, y double")
-    r = diagnostics.clean_data_variance(d, ["x"], "y", 100).toPandas()
+    r = diagnostics.clean_data_variance(d, ["x"], "y").toPandas()
     assert len(r) == 3 and np.allclose(r["mean"], 4, atol=1)
     assert np.allclose(r["var"], 2 * 16 / 300, rtol=0.6)  # the variance of a normal sample's variance
 

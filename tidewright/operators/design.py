@@ -17,15 +17,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import Pca, ball, normal_cdf, significant
+from ..functions.scalar import Pca, _t_cdf, ball, normal_cdf, scale_array, significant
 from ..plans.collections import EmulatorSet, collect_emulators
 from ..plans.emulator import Emulator
 from ..plans.targets import Ranges, targets
 from ..sources.generators import lhs, lhs_array
-from .score import nth_implausible
+from .idemc import implausibility_nth
+from .score import default_n, nth_implausible
 from .stats import in_range
 
 HOPELESS = 20.0
+#: Points that the driver scores itself: a job would take longer to start.
+DRIVER_POINTS = 20_000
 #: Accepted points that the driver holds between stages.
 MAX_KEPT = 200_000
 
@@ -41,7 +44,10 @@ class Options:
     resample: int = 1
     seek: int = 0
     to_file: str | None = None
-    pca_lhs: bool = False
+    pca_lhs: bool = False  # candidates from a box in the whitened space of the training points
+    pca_slice: bool = False  # slices in the whitened space of the points so far
+    seek_distro: str = "norm"  # norm, logis, cauchy or t: the emulator's distribution when good points are sought
+    use_collect: bool = True  # whether emulators are put in order first
     corners: bool = False
     n_lines: int = 20
     ppl: int = 50
@@ -83,8 +89,15 @@ def _least_distance(x: np.ndarray) -> float:
 
 
 def maximin_sample(df: DataFrame, n: int, names: list[str], reps: int = 1000, seed: int = 0) -> DataFrame:
-    """The same with the repetitions dealt to tasks; ``df`` is a plausible set of at most MAX_KEPT rows."""
+    """The same with the repetitions dealt to tasks.
+
+    Subsets are random, so of a table with more than MAX_KEPT rows they are
+    drawn from a random share of it that has about half as many.
+    """
     spark = df.sparkSession
+    rows = df.count()
+    if rows > MAX_KEPT:
+        df = df.filter(F.pmod(F.xxhash64(F.lit(seed), *names, F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(int((1 << 30) * MAX_KEPT / 2 / rows)))
     x = _kept(df, names)
     scaled = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
     shared = spark.sparkContext.broadcast(scaled)
@@ -129,7 +142,8 @@ class Proposer:
 
     def __init__(self, spark: SparkSession, ems, z: dict, opts: Options):
         self.spark, self.z, self.opts = spark, z, opts
-        self.ems: EmulatorSet = collect_emulators(ems, {k: v for k, v in z.items() if k not in ("expectation", "variance")}) if opts.accept is None else EmulatorSet.of(ems)
+        order = opts.use_collect and opts.accept is None
+        self.ems: EmulatorSet = collect_emulators(ems, {k: v for k, v in z.items() if k not in ("expectation", "variance")}) if order else EmulatorSet.of(ems)
         self.ranges: Ranges = self.ems.ranges()
         self.names = list(self.ranges)
         self.rng = np.random.default_rng(opts.seed)
@@ -152,7 +166,30 @@ class Proposer:
         lo, hi = (np.array([r[i] for r in self.ranges.values()]) for i in (0, 1))
         return x[((x >= lo) & (x <= hi)).all(1)]
 
+    @property
+    def here(self) -> bool:
+        """Whether the driver can score points itself: one surface, one mode, the usual measure."""
+        return self.opts.accept is None and self.ems.kind == "flat" and set(self.z) != {"expectation", "variance"}
+
+    def implausibilities(self, x: np.ndarray) -> np.ndarray:
+        return implausibility_nth(self.ems, self.z, x, self.opts.nth or default_n(self.ems)) if len(x) else np.empty(0)
+
+    def passes(self, x: np.ndarray, cutoff: float) -> np.ndarray:
+        """Which points are in the ranges and not ruled out."""
+        lo, hi = (np.array([r[i] for r in self.ranges.values()]) for i in (0, 1))
+        ok = ((x >= lo) & (x <= hi)).all(1)
+        if self.here and len(x) <= DRIVER_POINTS:
+            ok[ok] = self.implausibilities(x[ok]) <= cutoff
+        elif ok.any():
+            rows = self.spark.createDataFrame(pd.DataFrame({**{c: x[ok][:, k] for k, c in enumerate(self.names)}, "_i": np.flatnonzero(ok)}))
+            got = self.accepted(rows, cutoff).select("_i").toPandas()["_i"].to_numpy()
+            ok = np.zeros(len(x), bool)
+            ok[got] = True
+        return ok
+
     def keep(self, x: np.ndarray, cutoff: float) -> np.ndarray:
+        if self.here and len(x) <= DRIVER_POINTS:
+            return x[self.passes(x, cutoff)]
         x = self.inside(x)
         return _kept(self.accepted(self.frame(x), cutoff), self.names) if len(x) else x
 
@@ -161,18 +198,32 @@ class Proposer:
     def lhs_stage(self, n: int, cutoff: float, pca: Pca | None = None) -> tuple[np.ndarray, float]:
         """Latin hypercube candidates; where too few pass, the cutoff rises to what enough points reach."""
         total = max(n, 10 * len(self.names)) * self.opts.points_factor
-        if pca is not None and self.opts.pca_lhs:
+        if self.opts.pca_lhs and (pca := pca or self.training_pca()) is not None:
             box = {f"p{i}": (-3.0, 3.0) for i in range(len(self.names))}
-            df = self.frame(self.inside(pca.transform(lhs_array(total, box, self.rng), forward=False)))
+            x = self.inside(pca.transform(lhs_array(total, box, self.rng), forward=False))
+        elif self.here and total <= DRIVER_POINTS:
+            x = lhs_array(total, self.ranges, np.random.default_rng([self.opts.seed, total]))
         else:
-            df = lhs(self.spark, self.ranges, total, self.opts.seed).drop("point_id")
+            x = None
         if self.opts.corners:
-            corners = np.array(np.meshgrid(*self.ranges.values())).T.reshape(-1, len(self.names))[: 100 * self.opts.points_factor]
-            df = df.unionByName(self.frame(corners))
+            x = self.corners() if x is None else np.concatenate([x, self.corners()])
+        df = None if x is not None and (self.opts.pca_lhs or self.here and total <= DRIVER_POINTS) else lhs(self.spark, self.ranges, total, self.opts.seed).drop("point_id")
+        if x is not None and df is not None:
+            df = df.unionByName(self.frame(x))
+        if df is None and not self.here:
+            df = self.frame(x)
         if self.opts.accept is not None:
             return _kept(self.accepted(df, cutoff), self.names), cutoff
-        d = self.scored(df).cache()
         k = min(max(1, n - 1, math.floor(0.8 * n)), 5 * len(self.names))
+        if df is None:
+            imp = self.implausibilities(x)
+            reach = float(np.sort(imp)[min(k, len(imp)) - 1]) if len(imp) else math.inf
+            if reach >= HOPELESS:
+                warnings.warn("no candidate comes near the targets", stacklevel=2)
+                return np.empty((0, len(self.names))), reach
+            at = max(cutoff, reach)
+            return x[imp <= at], at
+        d = self.scored(df).cache()
         reach = kth_smallest(d, k)
         if reach >= HOPELESS:
             warnings.warn("no candidate comes near the targets", stacklevel=2)
@@ -183,8 +234,28 @@ class Proposer:
         d.unpersist()
         return x, at
 
+    def training_pca(self) -> Pca | None:
+        """Principal axes of the training points of the emulators with all inputs; None where they have too few."""
+        found = [scale_array(m.em.x, m.em.ranges, forward=False) for m in self.ems.members if getattr(m.em, "x", None) is not None and list(m.em.ranges) == self.names]
+        x = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, len(self.names)))
+        return _pca(self.names, x) if len(x) > len(self.names) else None
+
+    def corners(self) -> np.ndarray:
+        """The corners of the ranges; a random choice of them where there are more than a hundred times the points' factor."""
+        d, most = len(self.names), 100 * self.opts.points_factor
+        bits = np.array([[k >> i & 1 for i in range(d)] for k in range(1 << d)]) if d < 20 and 1 << d <= most else np.unique(self.rng.integers(0, 2, (most, d)), axis=0)
+        lo, hi = (np.array([r[i] for r in self.ranges.values()]) for i in (0, 1))
+        return np.where(bits == 1, hi, lo).astype(float)
+
     def line_stage(self, x: np.ndarray, cutoff: float) -> np.ndarray:
         """Points at the edge of the plausible set on the longest of random lines through pairs of it."""
+        if self.here and len(x) > 1 and self.opts.n_lines * (self.opts.ppl + 1) <= DRIVER_POINTS:
+            a, b = longest_pairs(x, self.opts.n_lines, self.rng)
+            t = (np.arange(self.opts.ppl + 1) - self.opts.ppl / 4) / (self.opts.ppl / 2)
+            y = a[:, None] + (b - a)[:, None] * t[None, :, None]
+            ok = self.passes(y.reshape(-1, y.shape[2]), cutoff).reshape(y.shape[:2])
+            out = np.zeros((len(y), 1), bool)
+            return y[ok & ~(np.hstack([out, ok[:, :-1]]) & np.hstack([ok[:, 1:], out]))]
         return _kept(boundary(self.accepted_flags(line_points(self.spark, x, self.names, self.opts.n_lines, self.opts.ppl, self.rng), cutoff)), self.names) if len(x) > 1 else np.empty((0, len(self.names)))
 
     def accepted_flags(self, df: DataFrame, cutoff: float) -> DataFrame:
@@ -199,7 +270,7 @@ class Proposer:
         """Proposals around accepted points in whitened space, thinned by how many seeds cover them; the radius follows the acceptance."""
         if len(x) < 2:
             return np.empty((0, len(self.names)))
-        pca = Pca(self.names, x.mean(0), x.std(0, ddof=1), np.nan_to_num(np.corrcoef(x.T).reshape(len(self.names), -1), nan=0.0) + 0.0)
+        pca = _pca(self.names, x)
         seeds = pca.transform(x)
         radius, got = self.opts.imp_scale / 2, np.empty((0, len(self.names)))
         burn = max(n // 4, 200)
@@ -222,7 +293,9 @@ class Proposer:
         at = seeds[self.rng.integers(0, len(seeds), n)]
         if self.opts.imp_distro == "normal":
             y = at + radius * self.rng.standard_normal((n, d))
-            dens = np.stack([np.exp(-((y - s) ** 2).sum(1) / (2 * radius**2)) for s in seeds[: 500]], axis=1).sum(1)
+            dens = np.zeros(n)
+            for k in range(0, len(seeds), 512):
+                dens += np.exp(-((y[:, None, :] - seeds[None, k : k + 512]) ** 2).sum(-1) / (2 * radius**2)).sum(1)
             w = dens.min() / np.maximum(dens, 1e-300) if n else dens
         else:
             y = ball(n, d, at, radius, self.rng)
@@ -233,11 +306,16 @@ class Proposer:
         return y[self.rng.random(n) <= w]
 
     def slice_stage(self, x: np.ndarray, n: int, cutoff: float, sweeps: int = 5) -> np.ndarray:
-        """Coordinate-wise slice sampling: all chains move at once, each shrinking its own interval on rejection."""
+        """Coordinate-wise slice sampling: all chains move at once, each shrinking its own interval on rejection.
+
+        With ``pca_slice`` the coordinates are those of the whitened space of the points, from -5 to 5.
+        """
         if not len(x):
             return x
-        y = x[self.rng.integers(0, len(x), n)].copy()
-        bounds = list(self.ranges.values())
+        pca = _pca(self.names, x) if self.opts.pca_slice and len(x) > 1 else None
+        there = (lambda y: pca.transform(y, forward=False)) if pca else (lambda y: y)
+        y = (pca.transform(x) if pca else x)[self.rng.integers(0, len(x), n)].copy()
+        bounds = [(-5.0, 5.0)] * len(self.names) if pca else list(self.ranges.values())
         for _ in range(sweeps):
             for j, (lo, hi) in enumerate(bounds):
                 a, b = np.full(n, lo), np.full(n, hi)
@@ -245,10 +323,7 @@ class Proposer:
                 for _ in range(self.opts.max_rounds):
                     z = y[open_].copy()
                     z[:, j] = a[open_] + self.rng.random(len(open_)) * (b[open_] - a[open_])
-                    rows = self.spark.createDataFrame(pd.DataFrame({**{c: z[:, k] for k, c in enumerate(self.names)}, "_i": np.arange(len(z))}))
-                    d = self.accepted(rows, cutoff).select("_i").toPandas()["_i"].to_numpy()
-                    ok = np.zeros(len(z), bool)
-                    ok[d] = True
+                    ok = self.passes(there(z), cutoff)
                     y[open_[ok], j] = z[ok, j]
                     bad = open_[~ok]
                     below = z[~ok, j] < y[bad, j]
@@ -256,7 +331,7 @@ class Proposer:
                     open_ = bad
                     if not len(open_):
                         break
-        return y
+        return there(y)
 
     def cluster_stage(self, n: int, cutoff: float) -> tuple[np.ndarray, float]:
         """Emulators in two groups by their active inputs: a design for each group, combined and scored again."""
@@ -290,12 +365,27 @@ def active_clusters(s: EmulatorSet) -> list[tuple[list[str], list[str]]]:
     return [(sorted(o), sorted(a)) for o, a in groups][:2] if len(groups) == 2 else [(s.outputs, list(s.ranges()))]
 
 
-def line_points(spark: SparkSession, x: np.ndarray, names: list[str], n_lines: int, ppl: int, rng: np.random.Generator) -> DataFrame:
-    """(line, step, inputs): the longest of ten times as many random pairs, walked past both ends by a half."""
+def _pca(names: list[str], x: np.ndarray) -> Pca:
+    """Principal axes of an array of points."""
+    sd = x.std(0, ddof=1)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
+    c = z.T @ z / max(1, len(x) - 1)
+    np.fill_diagonal(c, 1.0)
+    return Pca(names, x.mean(0), sd, c)
+
+
+def longest_pairs(x: np.ndarray, n_lines: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the longest of ten times as many random pairs."""
     k = 10 * n_lines
     a, b = x[rng.integers(0, len(x), k)], x[rng.integers(0, len(x), k)]
     far = np.argsort(-((a - b) ** 2).sum(1), kind="stable")[:n_lines]
-    rows = [(i, *map(float, a[j]), *map(float, b[j])) for i, j in enumerate(far)]
+    return a[far], b[far]
+
+
+def line_points(spark: SparkSession, x: np.ndarray, names: list[str], n_lines: int, ppl: int, rng: np.random.Generator) -> DataFrame:
+    """(line, step, inputs): the longest of ten times as many random pairs, walked past both ends by a half."""
+    a, b = longest_pairs(x, n_lines, rng)
+    rows = [(i, *map(float, a[i]), *map(float, b[i])) for i in range(len(a))]
     ends = spark.createDataFrame(rows, "line int, " + ", ".join(f"`{p}{n}` double" for p in ("a_", "b_") for n in names))
     s = (F.col("step") - F.lit(ppl / 4)) / F.lit(ppl / 2)
     walk = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(ppl))))
@@ -309,17 +399,34 @@ def boundary(df: DataFrame) -> DataFrame:
     return df.withColumn("_edge", edge).filter(F.col("ok") & F.col("_edge")).drop("_edge", "ok")
 
 
-def seek_good(ems, x: np.ndarray, z: dict, n: int) -> np.ndarray:
-    """The points with the largest product over targets of the probability to hit, thinned greedily by distance."""
-    s = EmulatorSet.of(ems)
-    p = np.ones(len(x))
-    for m in s.members:
+#: Distribution functions with mean 0 and deviation 1 (the Cauchy one has neither).
+DISTROS: dict[str, Callable] = {
+    "norm": normal_cdf,
+    "logis": lambda v: 1 / (1 + np.exp(-np.clip(v * math.pi / math.sqrt(3), -700, 700))),
+    "cauchy": lambda v: 0.5 + np.arctan(v) / math.pi,
+    "t": lambda v: _t_cdf(np.asarray(v) * math.sqrt(1.5), 6),
+}
+
+
+def hit_probability(ems, x: np.ndarray, z: dict, distro: str = "norm") -> np.ndarray:
+    """For each point the product over outputs of the probability to hit the target (the least over waves)."""
+    if distro not in DISTROS:
+        raise ValueError(f"seek_distro is one of {', '.join(DISTROS)}")
+    cdf, by = DISTROS[distro], {}
+    for m in EmulatorSet.of(ems).members:
         t = targets(z).get(m.output)
         if t is None or m.surface != "expectation":
             continue
         lo, hi = t.bounds(3.0)
         e, sd = m.em.get_exp(x), np.sqrt(np.maximum(m.em.get_var(x), 1e-12))
-        p *= normal_cdf((hi - e) / sd) - normal_cdf((lo - e) / sd)
+        p = cdf((hi - e) / sd) - cdf((lo - e) / sd)
+        by[m.output] = np.minimum(by[m.output], p) if m.output in by else p
+    return np.prod(list(by.values()), axis=0) if by else np.ones(len(x))
+
+
+def seek_good(ems, x: np.ndarray, z: dict, n: int, distro: str = "norm") -> np.ndarray:
+    """The points with the largest product over targets of the probability to hit, thinned greedily by distance."""
+    p = hit_probability(ems, x, z, distro)
     top = x[np.argsort(-p, kind="stable")[: 5 * n]]
     sd = np.where(x.std(0) > 0, x.std(0), 1.0)
     chosen = [0] if len(top) else []
@@ -369,7 +476,10 @@ def generate_new_design(spark: SparkSession, ems, n_points: int, z: dict, method
         x = _unique(x)
         if at <= cutoff + opts.cutoff_tolerance or opts.accept is not None:
             break
-        s = p.scored(p.frame(x)).select(*p.names, "I").toPandas()
+        if p.here and len(x) <= DRIVER_POINTS:
+            s = pd.DataFrame(x, columns=p.names).assign(I=p.implausibilities(x))
+        else:
+            s = p.scored(p.frame(x)).select(*p.names, "I").toPandas()
         low = float(np.sort(s["I"].to_numpy())[min(len(s) - 1, max(5 * d, len(s) // 5))])
         if at - low < opts.ladder_tolerance and low > cutoff:
             p.log.append(f"the ladder ends at {at:.3f}")
@@ -380,7 +490,7 @@ def generate_new_design(spark: SparkSession, ems, n_points: int, z: dict, method
     for _ in range(opts.resample if at <= cutoff + opts.cutoff_tolerance and "importance" in method else 0):
         base = x[maximin(_scaled(x), max(2, n_points // 2), 50, opts.seed)]
         x = _unique(np.concatenate([base, p.line_stage(base, at), p.importance_stage(base, n_points, at)]))
-    good = seek_good(p.ems, x, z, opts.seek) if opts.seek else np.empty((0, d))
+    good = seek_good(p.ems, x, z, opts.seek, opts.seek_distro) if opts.seek else np.empty((0, d))
     if thin and len(x) > n_points - len(good):
         x = x[maximin(_scaled(x), n_points - len(good), 1000, opts.seed)]
     x = np.concatenate([good, x])[:n_points]

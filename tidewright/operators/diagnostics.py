@@ -15,7 +15,7 @@ from ..plans.emulator import Emulator, HierarchicalEmulator, ProtoEmulator
 from ..plans.targets import Target, targets
 from ..sources.generators import grid_or_uniform
 from .score import implausibility_column, nth_implausible, score
-from .stats import clean_data, clean_data_variance, structured_error
+from .stats import clean_data, clean_data_variance, structured_error, structured_error_all
 
 
 def _real(em, what: str) -> None:
@@ -256,8 +256,10 @@ def binomial_diagnostic_test(n_failed: int, n: int) -> bool:
     return n_failed <= n * p + 3 * math.sqrt(n * p * (1 - p))
 
 
-def structured_error_check(df: DataFrame, failed: Column, predictors: list[str], limit: float = 0.3) -> list[str]:
-    """Predictors that explain failures (adjusted R squared above ``limit``)."""
+def structured_error_check(df: DataFrame, failed: Column, predictors: list[str], limit: float = 0.3, together: bool = False) -> list[str]:
+    """Predictors that explain failures (adjusted R squared above ``limit``): each by itself, or all ``together``."""
+    if together:
+        return list(predictors) if structured_error_all(df, failed, predictors)[2] > limit else []
     found = []
     for p in predictors:
         r = structured_error(df, failed, p).first()

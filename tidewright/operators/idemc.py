@@ -6,6 +6,8 @@ hundred points; independent runs are dealt to tasks by ``idemc_runs``.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -106,8 +108,12 @@ def step(state: list[np.ndarray], rungs: list[float], imp, ranges, clusters, rng
     return state
 
 
-def idemc(ems, n: int, z: dict, cutoff: float = 3.0, s: int | None = None, nth: int | None = None, share: float = 0.4, thin: int = 1, mutations: int = 10, pm: float = 0.9, w: float = 0.8, seed: int = 0, max_rungs: int = 12, detailed: bool = False):
-    """``n`` points below ``cutoff``: rungs are added until the last one is at it, each reached from the ``share`` quantile of the one before."""
+def idemc(ems, n: int, z: dict, cutoff: float = 3.0, s: int | None = None, nth: int | None = None, share: float = 0.4, thin: int = 1, mutations: int = 10, pm: float = 0.9, w: float = 0.8, seed: int = 0, max_rungs: int = 12, detailed: bool = False, get_burnt: bool = False, burnt: dict | None = None):
+    """``n`` points below ``cutoff``: rungs are added until the last one is at it, each reached from the ``share`` quantile of the one before.
+
+    Where the ladder ends above the cutoff, a warning says at what the points
+    are. ``get_burnt`` returns the ladder alone, for later calls as ``burnt``.
+    """
     es = EmulatorSet.of(ems)
     ranges = es.ranges()
     names = list(ranges)
@@ -120,7 +126,9 @@ def idemc(ems, n: int, z: dict, cutoff: float = 3.0, s: int | None = None, nth:
     vals = imp(sample)
     rungs, history = [float("inf")], [sample]
     pools = [sample]
-    for _ in range(max_rungs):
+    if burnt is not None:
+        rungs, pools, history = list(burnt["rungs"]), list(burnt["pools"]), list(burnt["pools"])
+    for _ in range(max_rungs if burnt is None else 0):
         new = max(cutoff, float(np.quantile(vals, share)))
         keep = sample[vals <= new]
         if len(keep) < 2:
@@ -133,10 +141,14 @@ def idemc(ems, n: int, z: dict, cutoff: float = 3.0, s: int | None = None, nth:
         clusters = [obtain_clusters(p, seed=seed) for p in pools]
         state, got = [p[rng.integers(len(p))].copy() for p in pools], []
         for _ in range(s):
-            state = step(state, rungs, imp, (lo, hi), clusters, rng, pm, w, max(1, mutations // 5))
+            state = step(state, rungs, imp, (lo, hi), clusters, rng, pm, w, mutations)
             got.append(state[-1].copy())
         sample = np.array(got)
         vals = imp(sample)
+    if rungs[-1] > cutoff:
+        warnings.warn(f"the cutoff {cutoff} is out of reach; points are at {rungs[-1]:.3f}", stacklevel=2)
+    if get_burnt:
+        return {"rungs": rungs, "pools": pools}
     clusters = [obtain_clusters(p, seed=seed) for p in pools]
     state, out = [p[rng.integers(len(p))].copy() for p in pools], []
     for i in range(n * thin):

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import kurtosis_column
 from ..plans.targets import Ranges, targets
 
 
@@ -79,21 +80,17 @@ def clean_data(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
     return df.groupBy(*inputs).agg(F.avg(output).alias("mean"), (F.var_samp(output) / F.count(output)).alias("var"), F.count(output).alias("n")).filter("n > 1")
 
 
-def clean_data_variance(df: DataFrame, inputs: list[str], output: str, boots: int = 200, seed: int = 0) -> DataFrame:
-    """Per point: the sample variance, and the variance of it over ``boots`` bootstrap samples.
+def clean_data_variance(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
+    """Per point with n > 1: the sample variance, the variance of it over bootstrap samples, and n.
 
-    A resample is drawn by Poisson weights, one aggregation for all of them.
+    Resamples draw n values from the point's own: the variance of their sample
+    variance is (m4 - (n - 3) / (n - 1) * m2^2) / n with m2 and m4 the point's
+    central moments, which is what ever more resamples tend to.
     """
-    r = df.select(*inputs, output).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(boots))))
-    u = F.pmod(F.xxhash64(*inputs, output, F.monotonically_increasing_id(), "_b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1), initial=1.0) for k in range(8)])
-    w = sum(((u >= F.lit(float(s))).cast("int") for s in steps), F.lit(0))
-    x = F.col(output)
-    s = r.withColumn("_w", w).groupBy(*inputs, "_b").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * x).alias("a"), F.sum(F.col("_w") * x * x).alias("b"))
-    v = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("b") - F.col("a") * F.col("a") / F.col("n")) / (F.col("n") - 1)))
-    spread = s.withColumn("v", v).groupBy(*inputs).agg(F.var_samp("v").alias("var"))
-    per = df.groupBy(*inputs).agg(F.var_samp(output).alias("mean"), F.count(output).alias("n")).filter("n > 1")
-    return per.join(spread, inputs).select(*inputs, "mean", "var", "n")
+    m2 = F.var_pop(output)
+    per = df.groupBy(*inputs).agg(F.var_samp(output).alias("mean"), m2.alias("m2"), (kurtosis_column(output) * m2 * m2).alias("m4"), F.count(output).alias("n")).filter("n > 1")
+    var = (F.coalesce(F.nanvl("m4", F.lit(0.0)), F.lit(0.0)) - (F.col("n") - 3) / (F.col("n") - 1) * F.col("m2") * F.col("m2")) / F.col("n")
+    return per.select(*inputs, "mean", F.greatest(var, F.lit(0.0)).alias("var"), "n")
 
 
 def covariances(df: DataFrame, inputs: list[str], outputs: list[str]) -> DataFrame:
@@ -171,22 +168,31 @@ def preflight(df: DataFrame, z: dict, threshold: float = 0.95) -> dict:
     d = hits(df.dropna(subset=list(ts)), ts)
     outs = list(ts)
     pairs = list(itertools.combinations(outs, 2))
-    h = lambda o: F.col(f"hit_{o}").cast("double")
     triples = [(a, b, c) for a, b in pairs for c in outs if c not in (a, b)]
-    aggs = [F.max(f"hit_{o}").alias(f"h_{o}") for o in outs] + [F.min(o).alias(f"lo_{o}") for o in outs] + [F.max(o).alias(f"hi_{o}") for o in outs]
-    aggs += [corr(h(a), h(b)).alias(f"c_{i}") for i, (a, b) in enumerate(pairs)] + [corr(h(a) * h(b), h(c)).alias(f"t_{i}") for i, (a, b, c) in enumerate(triples)]
-    r = d.agg(*aggs).first()
+    # indicators are 0 or 1: joint counts of up to three of them give every correlation
+    sets = [s for k in (1, 2, 3) for s in itertools.combinations(outs, k)]
+    together = lambda s: F.least(*(f"hit_{o}" for o in s)) if len(s) > 1 else F.col(f"hit_{s[0]}")
+    aggs = [F.count("*").alias("n")] + [F.max(f"hit_{o}").alias(f"h_{o}") for o in outs] + [F.min(o).alias(f"lo_{o}") for o in outs] + [F.max(o).alias(f"hi_{o}") for o in outs]
+    r = d.agg(*aggs, *(F.sum(together(s)).alias(f"s_{i}") for i, s in enumerate(sets))).first()
+    joint = {frozenset(s): r[f"s_{i}"] or 0 for i, s in enumerate(sets)}
+
+    def correlation(a: set, b: set) -> float | None:
+        n, x, y, both = r.n, joint[frozenset(a)], joint[frozenset(b)], joint[frozenset(a | b)]
+        spread = x * (n - x) * y * (n - y)
+        return (n * both - x * y) / spread**0.5 if spread else None
+
+    found = {"c": [correlation({a}, {b}) for a, b in pairs], "t": [correlation({a, b}, {c}) for a, b, c in triples]}
     missed = {}
     for o, t in ts.items():
         if not r[f"h_{o}"]:
             lo, hi = t.bounds(3.0)
             missed[o] = "under" if r[f"hi_{o}"] is not None and r[f"hi_{o}"] < lo else "over" if r[f"lo_{o}"] is not None and r[f"lo_{o}"] > hi else "straddles"
-    strong = lambda k, xs: [(*x, float(r[f"{k}_{i}"])) for i, x in enumerate(xs) if r[f"{k}_{i}"] is not None and abs(r[f"{k}_{i}"]) > threshold]
+    strong = lambda k, xs: [(*x, v) for x, v in zip(xs, found[k], strict=True) if v is not None and abs(v) > threshold]
     return {"missed": missed, "pairs": strong("c", pairs), "triples": strong("t", triples), "ok": not missed}
 
 
 def prin_vars(df: DataFrame, outputs: list[str], max_vars: int | None = None, var_cut: float = 0.95) -> list[tuple[str, float]]:
-    """Principal variables by largest sum of squared partial correlations; (name, cumulated share of variance)."""
+    """Principal variables by the largest sum of squares of what the chosen ones leave of the correlations; (name, cumulated share of variance)."""
     pairs = list(itertools.combinations(outputs, 2))
     r = df.agg(*(corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs))).first() if pairs else {}
     n = len(outputs)
@@ -197,9 +203,7 @@ def prin_vars(df: DataFrame, outputs: list[str], max_vars: int | None = None, va
     out, left, v = [], list(range(n)), c.copy()
     while left and len(out) < (max_vars or n):
         sub = v[np.ix_(left, left)]
-        d = np.sqrt(np.maximum(np.diag(sub), 1e-12))
-        # covariances that are left, on the scale of partial correlations
-        best = left[int(np.argmax(((sub / d[:, None]) ** 2).sum(1)))]
+        best = left[int(np.argmax((sub**2).sum(1)))]
         if v[best, best] < 1e-10:
             break
         v = v - np.outer(v[:, best], v[best, :]) / v[best, best]
@@ -259,6 +263,18 @@ def structured_error(df: DataFrame, failed: Column, predictor: str) -> DataFrame
     return df.agg(r2.alias("r2"), F.count("*").alias("n")).select("n", "r2", (1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2)).alias("adj_r2"))
 
 
+def structured_error_all(df: DataFrame, failed: Column, predictors: list[str]) -> tuple[int, float, float]:
+    """(n, R squared, adjusted R squared) of a failure indicator on all predictors together: one aggregation."""
+    g = gram(df.dropna(subset=predictors), [F.lit(1.0), *(F.col(p) for p in predictors), failed.cast("double")])
+    n, k = round(g[0, 0]), len(predictors)
+    total = g[-1, -1] - g[0, -1] ** 2 / max(n, 1)
+    if total <= 0 or n <= k + 1:
+        return n, float("nan"), float("nan")
+    rest = g[-1, -1] - g[:-1, -1] @ np.linalg.pinv(g[:-1, :-1]) @ g[:-1, -1]
+    r2 = 1 - rest / total
+    return n, r2, 1 - (1 - r2) * (n - 1) / (n - k - 1)
+
+
 def gram(df: DataFrame, columns: list[Column]) -> np.ndarray:
     """Sums of products of all pairs of columns: one aggregation, k (k + 1) / 2 numbers."""
     k = len(columns)

@@ -28,6 +28,8 @@ from .ship import Shipped
 
 #: Training points that may come to the driver; more are an error, not cut.
 MAX_POINTS = 20_000
+#: Sums of cubes of training points over the kernel grid that the driver does itself.
+DRIVER_WORK = 2_000_000_000
 SMALL_SHARE = 0.01  # non-linear terms with less of the explained sum of squares go
 
 
@@ -93,14 +95,23 @@ def stepwise(g: np.ndarray, terms: list[Term], start: list[int], fixed: set[int]
 def coefficient_model(df: DataFrame, ranges: Ranges, output: str, order: int = 2) -> Fit:
     """Regression terms for an output: first linear terms and powers choose the active inputs, then interactions join."""
     names = list(ranges)
-    d, n_in = df.select(*(c.alias(k) for k, c in scale_columns(ranges).items()), F.col(output).cast("double").alias("_y")).dropna(), len(names)
+    terms = candidate_terms(len(names), order)
+    d = df.select(*(c.alias(k) for k, c in scale_columns(ranges).items()), F.col(output).cast("double").alias("_y")).dropna()
+    g = stats.gram(d, [*Basis(tuple(names), tuple(terms)).columns([F.col(x) for x in names]), F.col("_y")])
+    return select_terms(g, names, order)
+
+
+def candidate_terms(n_in: int, order: int) -> list[Term]:
+    """The constant, pure powers by degree, then interactions."""
     pure = [unit(i, n_in, p) for p in range(1, order + 1) for i in range(n_in)]
-    cross = [t for t in Basis.full(names, order).terms if sum(1 for k in t if k) > 1]
-    terms = [(0,) * n_in, *pure, *cross]
-    xs = [F.col(x) for x in names]
-    g = stats.gram(d, [*Basis(tuple(names), tuple(terms)).columns(xs), F.col("_y")])
+    return [(0,) * n_in, *pure, *(t for t in Basis.full([str(i) for i in range(n_in)], order).terms if sum(1 for k in t if k) > 1)]
+
+
+def select_terms(g: np.ndarray, names: list[str], order: int) -> Fit:
+    """The terms that BIC chooses, from the Gram matrix of the candidate terms and the output."""
+    n_in, terms = len(names), candidate_terms(len(names), order)
+    n_pure = 1 + n_in * order
     n = round(g[0, 0])
-    n_pure = 1 + len(pure)
     big = math.comb(n_in + order, order) > 2 * n / 3
     first = stepwise(g[np.ix_([*range(n_pure), len(terms)], [*range(n_pure), len(terms)])], terms[:n_pure], [0] if big else [i for i in range(n_pure) if i < n - 2], {0}, n)
     active = {k for i in first for k, p in enumerate(terms[i]) if p}
@@ -172,8 +183,17 @@ def estimate_hyper(spark, jobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, n
         nug = nugget if nugget is not None else (1e-10 if active.all() else 0.05)
         for k, hp in enumerate(grid):
             rows.append((j, k, max(hp["theta"], gap) if corr_name in REGISTRY and not theta_ranges else hp["theta"], {a: b for a, b in hp.items() if a != "theta"}, nug))
-    shared = Shipped(spark, jobs)
     names = [p for p in REGISTRY[corr_name].params if p != "theta"]
+    if sum(len(jobs[j][0]) ** 3 for j, *_ in rows) <= DRIVER_WORK:  # sooner done than sent
+        best: dict[int, tuple] = {}
+        for j, _, th, more, nug in rows:
+            x, y, h, active = jobs[j]
+            c = Correlator.of(corr_name, nug, theta=float(th), **more)
+            ll, sigma = _profile(x, y, h, c, active)
+            if j not in best or ll > best[j][0]:
+                best[j] = (ll, c, sigma)
+        return [best[j][1:] for j in range(len(jobs))]
+    shared = Shipped(spark, jobs)
 
     def run(parts):
         for pdf in parts:
@@ -238,15 +258,17 @@ def train(
     if check_ranges:
         ranges = stats.shrink_ranges(df, ranges)
     priors, fits, frames = priors or {}, {}, {}
+    every = _points(df, [*names, *outputs])
     for o in outputs:
-        own = df.dropna(subset=[*names, o]) if na_rm else df
+        pdf = every[[*names, o]].dropna() if na_rm else every[[*names, o]]
         p = priors.get(o, Priors())
+        x, y = scale_array(pdf[names].to_numpy(float), ranges), pdf[o].to_numpy(float)
+        frames[o] = (x, y)
         if p.basis is not None and p.beta is not None:
             fits[o] = Fit(p.basis, np.asarray(p.beta, float), np.zeros((len(p.basis.terms),) * 2) if p.beta_sigma is None else np.asarray(p.beta_sigma, float), float("nan"), 0)
         else:
-            fits[o] = coefficient_model(own, ranges, o, order)
-        pdf = _points(own, [*names, o])
-        frames[o] = (scale_array(pdf[names].to_numpy(float), ranges), pdf[o].to_numpy(float))
+            m = np.column_stack([Basis(tuple(names), tuple(candidate_terms(len(names), order))).values(x), y])
+            fits[o] = select_terms(m.T @ m, names, order)
     jobs = []
     for o in outputs:
         x, y = frames[o]
@@ -473,22 +495,40 @@ def train_multistate(df: DataFrame, outputs: list[str], ranges, order: int = 2,
     return {"mode1": {s: list(v.values()) for s, v in out["mode1"].items()}, "mode2": {s: list(v.values()) for s, v in out["mode2"].items()}, "prop": out["prop"]}
 
 
-def emulator_from_data(df: DataFrame, outputs: list[str], ranges, emulator_type: str = "default", targets: dict | None = None, **options):
+def emulator_from_data(df: DataFrame | dict[str, DataFrame], outputs: list[str], ranges=None, emulator_type: str | None = "default", targets: dict | None = None, input_names: list[str] | None = None, **options):
     """The one entry point: type default, variance, covariance or multistate; types that the data cannot carry step down with a warning.
 
+    ``df`` is one table, or a table for each output. Without ranges the inputs
+    ``input_names`` are taken to be in [-1, 1]; an unknown type is the default.
     With ``targets`` a preflight runs first and warns of outputs that never hit.
     """
+    if ranges is None:
+        if not input_names:
+            raise ValueError("ranges or input_names are needed")
+        warnings.warn("no ranges: inputs are taken to be in [-1, 1]", stacklevel=2)
+        ranges = dict.fromkeys(input_names, (-1.0, 1.0))
+    if isinstance(df, dict):
+        if missing := [o for o in outputs if o not in df]:
+            raise ValueError(f"no table for the output {missing[0]!r}")
+        parts = [emulator_from_data(df[o], [o], ranges, emulator_type, None if targets is None else {k: t for k, t in targets.items() if k == o}, **options) for o in outputs]
+        if all("expectation" in p for p in parts):
+            return {s: {o: e for p in parts for o, e in p[s].items()} for s in ("expectation", "variance")}
+        return {o: p[o] if o in p else p for o, p in zip(outputs, parts, strict=True)}
+    if missing := [o for o in outputs if o not in df.columns]:
+        raise ValueError(f"no column {missing[0]!r}")
     if targets:
-        checked = stats.preflight(df, targets)
+        checked = stats.preflight(df, {o: t for o, t in targets.items() if o in df.columns})
         if checked["missed"]:
             warnings.warn("; ".join(f"{o}: never hit ({k})" for o, k in checked["missed"].items()), stacklevel=2)
+    kinds = {"default": train, "variance": train_variance, "covariance": train_covariance, "multistate": train_multistate}
+    if emulator_type not in kinds:
+        emulator_type = "default"
     names = list(convert_ranges(ranges))
     if emulator_type != "default":
         c = df.agg(F.count("*").alias("n"), F.countDistinct(*names).alias("k")).first()
         if c.n == c.k:
             warnings.warn("one run for each point: type default", stacklevel=2)
             emulator_type = "default"
-    kinds = {"default": train, "variance": train_variance, "covariance": train_covariance, "multistate": train_multistate}
     return kinds[emulator_type](df, outputs, ranges, **options)
 
 
