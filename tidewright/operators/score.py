@@ -8,6 +8,8 @@ and their size is checked before they are broadcast.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -289,4 +291,81 @@ def sequential_imp(df: DataFrame, ems, z: dict, n: int, cutoff, alias: str = "I"
     return _apply(df, names, [alias], [BooleanType()], f)
 
 
+# ------------------------------------------------------------------ further moments of a table of points
+
+#: Points that covariances are taken with, at most.
+MAX_OTHERS = 5_000
+
+
+def covariance_with(df: DataFrame, em: Emulator, others: np.ndarray, compat: bool = False) -> DataFrame:
+    """``df`` with ``<output>_cov_<k>``, the covariance of its points with the k-th of some other points (the design's size)."""
+    others = np.atleast_2d(np.asarray(others, float))
+    if len(others) > MAX_OTHERS:
+        raise ValueError(f"more than {MAX_OTHERS} points to take covariances with")
+    cols = [f"{em.name}_cov_{k}" for k in range(len(others))]
+    shared = Shipped(df.sparkSession, (em, others, compat))
+
+    def f(x):
+        em, others, compat = shared.value
+        got = [em.get_cov(part, others, compat=compat) for part in _batches(x, len(em.x) if em.x is not None else 1)]
+        return list(np.concatenate(got).T)
+
+    return _apply(df, em.inputs, cols, [DoubleType()] * len(cols), f)
+
+
+def derivative_covariance(df: DataFrame, em: Emulator, p1: str, p2: str | None = None, alias: str = "cov_d") -> DataFrame:
+    """``df`` with Cov[df/dx_p1, df/dx_p2] at each point; training data lower it."""
+    shared = Shipped(df.sparkSession, (em, p1, p2))
+
+    def f(x):
+        em, p1, p2 = shared.value
+        return [np.concatenate([np.array([em.get_cov_d(row[None], p1, p2=p2)[0] for row in part]) for part in _batches(x, 1)])]
+
+    return _apply(df, em.inputs, [alias], [DoubleType()], f)
+
+
+def gradient_columns(em: Emulator) -> dict[str, Column]:
+    """The expected gradient, ``d_<input>``, as expressions."""
+    return {f"d_{n}": mean_d_column(em, n) for n in em.inputs}
+
+
+def direction_column(em: Emulator, v: dict[str, float]) -> Column:
+    """The cosine of the expected gradient with a direction, as one expression."""
+    size = math.sqrt(sum(x * x for x in v.values()))
+    g = {n: mean_d_column(em, n) for n in em.inputs}
+    dot = sum((g[n] * F.lit(v.get(n, 0.0) / size) for n in em.inputs), F.lit(0.0))
+    return dot / F.greatest(F.sqrt(sum((c * c for c in g.values()), F.lit(0.0))), F.lit(1e-300))
+
+
+def score_matrix(df: DataFrame, matrix, mean_ems: list[Emulator] | None = None) -> DataFrame:
+    """``df`` with the entries ``m_<i>_<j>`` (i <= j) of an emulated matrix, or of the uncertainty that it gives to ``mean_ems``."""
+    k = matrix.size
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = next(e.inputs for row in matrix.entries for e in row if e is not None)
+    shared = Shipped(df.sparkSession, (matrix, mean_ems))
+
+    def f(x):
+        matrix, mean_ems = shared.value
+        got = [matrix.get_exp(p) if mean_ems is None else matrix.get_uncertainty(p, mean_ems) for p in _batches(x, 64)]
+        m = np.concatenate(got)
+        return [m[:, i, j] for i, j in pairs]
+
+    return _apply(df, names, [f"m_{i}_{j}" for i, j in pairs], [DoubleType()] * len(pairs), f)
+
+
+def hit_probabilities(df: DataFrame, ems, z: dict, distro: str = "norm", alias: str = "p_hit") -> DataFrame:
+    """``df`` with the product over outputs of the probability to hit the target."""
+    s = EmulatorSet.of(ems)
+    names = list(dict.fromkeys(n for m in s.members for n in m.em.inputs))
+    shared = Shipped(df.sparkSession, (s, z, distro))
+
+    def f(x):
+        from .design import hit_probability
+
+        s, z, distro = shared.value
+        return [np.concatenate([hit_probability(s, p, z, distro) for p in _batches(x, 64)])]
+
+    return _apply(df, names, [alias], [DoubleType()], f)
+
+
 __all__ = ["Emulator", "HierarchicalEmulator", "combine", "implausibilities", "implausibility_column", "mean_column", "nth_implausible", "prior_mean", "prior_var", "score", "sequential_imp"]

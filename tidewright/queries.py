@@ -27,6 +27,8 @@ from .streaming import waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: SQL that is made when it is asked for.
+LATE: dict[str, Callable[[], str]] = {}
 
 RANGES = {"l_discount": (0.0, 0.1), "l_tax": (0.0, 0.08)}
 INPUTS = list(RANGES)
@@ -276,22 +278,11 @@ def hit_pair_corr(spark, sf_dir):
     return d.agg(F.max("hit_l_quantity").alias("hit_q"), F.max("hit_l_extendedprice").alias("hit_p"), F.round(stats.corr("hit_l_quantity", "hit_l_extendedprice"), PLACES).alias("c"))
 
 
-@query()
-def preflight(spark, sf_dir):
-    r = stats.preflight(table(spark, sf_dir, "lineitem"), LT | {"l_linenumber": (90.0, 99.0)})
-    return spark.createDataFrame(list(r["missed"].items()), "output string, how string")
-
-
 @query("SELECT count(*) AS n, round(regr_r2(CAST(l_quantity > 40 AS INT), l_extendedprice), 6) AS r2, round(1 - (1 - regr_r2(CAST(l_quantity > 40 AS INT), l_extendedprice)) * (count(*) - 1) / (count(*) - 2), 6) AS adj_r2 FROM lineitem")
 def structured_error(spark, sf_dir):
     return rounded(stats.structured_error(table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 40, "l_extendedprice"), "r2", "adj_r2")
 
 
-@query()
-def principal_variables(spark, sf_dir):
-    return spark.createDataFrame(stats.prin_vars(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), "name string, share double")
-
-
 # ------------------------------------------------------------------ kernels
 
 _PAIRS = f"WITH pts AS (SELECT DISTINCT l_discount, l_tax, {_A} AS a, {_B} AS b FROM lineitem) SELECT p.l_discount AS d1, p.l_tax AS t1, q.l_discount AS d2, q.l_tax AS t2, {{k}} AS k FROM pts p, pts q"
@@ -517,11 +508,6 @@ def sig_dedupe(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.round(F.sum("k"), 2).alias("s"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
-def validation_split_anti(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey").join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
-
-
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def rows_semi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
@@ -565,21 +551,6 @@ def normalised_outputs(spark, sf_dir):
 # ------------------------------------------------------------------ not SQL
 
 
-@query()
-def implausibility_slice(spark, sf_dir):
-    return plotdata.emulator_plot(spark, list(EMS.values()), tuple(INPUTS), "nimp", Z, 30)
-
-
-@query()
-def lattice_all(spark, sf_dir):
-    return plotdata.plot_lattice(spark, list(EMS.values()), Z, 30)
-
-
-@query()
-def space_by_uncertainty(spark, sf_dir):
-    return diagnostics.space_removed(spark, list(EMS.values()), Z, 15, (0.8, 1.0, 1.2))
-
-
 def _runs(spark) -> DataFrame:
     x = generators.lhs_array(60, simulators.SIRS_RANGES, np.random.default_rng(3))
     y = simulators.sirs(x)
@@ -617,12 +588,6 @@ def stochastic_emulator(spark, sf_dir):
     return score.score(generators.grid(spark, RANGES, 30), train.emulator_set(ems))
 
 
-@query()
-def two_modes(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").select("l_tax", F.when(F.col("l_orderkey") % 3 == 0, F.col("l_quantity") + 500).otherwise(F.col("l_quantity")).alias("y"))
-    return train.detect_modes(d, ["l_tax"], ["y"])
-
-
 @query()
 def maximin(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
@@ -639,4 +604,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {k: f() for k, f in LATE.items()}
+
+
+from . import further  # noqa: E402, F401  registers its queries
