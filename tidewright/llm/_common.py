@@ -6,6 +6,7 @@ helper here keeps at most one batch, or one bounded chunk, in memory.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -65,10 +66,15 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, one process has a folder of its own; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/tidewright-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
+        base = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -94,16 +100,34 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
         spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
+    _SAVED.append(path)
     return out
 
 
+#: Paths of the tables that this process has saved and not deleted.
+_SAVED: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables saved since ``len(_SAVED)`` was ``since``; for when the results that read them are written."""
+    for path in _SAVED[since:]:
+        _delete(spark, path)
+    del _SAVED[since:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``saved`` that no later step reads."""
     path = getattr(df, "_tidewright_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        if path in _SAVED:
+            _SAVED.remove(path)
 
 
 # ------------------------------------------------------------------ hashing

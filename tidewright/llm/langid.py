@@ -5,8 +5,9 @@ falls back to character n-grams, at each position the longest that the model
 knows, from ``max_n`` letters down to one.
 
 Fitting takes a bounded sample of labelled rows: ``rows_per_lang`` of each
-language on average, by hash of the id; the model keeps at most ``max_words``
-words and ``max_grams`` n-grams. The score is the winner's share of the
+language on average, by hash of the id; of what that sample holds the model
+keeps the ``MAX_WORDS`` most frequent words and the ``MAX_GRAMS`` most frequent
+n-grams that occur at least twice. Every letter of a text counts. The score is the winner's share of the
 softmax over languages of the mean log probability of a word.
 
 Defined results: ``und`` with score 0 for null texts and texts without a

@@ -37,6 +37,7 @@ HOMOGLYPHS = dict(
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _CHARS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
+_GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]")
 _NOTHING = re.compile("[​‌‍⁠﻿­]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -56,6 +57,8 @@ _PIECES = re.compile(rf"{_ONE}|[0-9]+")
 _BRACKETED = re.compile(r"[\[({<]\s*((?ai:at|dot))\s*[\])}>]|&#64;|(?ai:&commat;)")
 _PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(\s+(?ai:at)\s+|@|\s+@\s+)(?=[A-Za-z0-9-]+(?:\s+(?ai:dot)\s+|\.)[A-Za-z0-9-])")
 _PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9-])\s+(?ai:dot)\s+(?=[A-Za-z0-9-])")
+#: What stands around every disguised at: white space or brackets.
+_AT = re.compile(r"[\s\[({<](?ai:at)[\s\])}>]")
 _PLUS = re.compile(r"(?<![^\W_])(?ai:plus)\s+(?=[0-9])")
 
 
@@ -168,7 +171,8 @@ def normalised(text: str, gated: bool = True) -> Tape | None:
     """
     tape = Tape(text)
     if not gated or not text.isascii():
-        tape.text = text.translate(_CHARS)  # one character for one: positions stay
+        if not gated or _GLYPH.search(text):
+            tape.text = text.translate(_CHARS)  # one character for one: positions stay
         tape.rewrite([(*m.span(), "") for m in _NOTHING.finditer(tape.text)])
     low = tape.text.lower() if gated else ""
     dot = not gated or "dot" in low
@@ -176,7 +180,7 @@ def normalised(text: str, gated: bool = True) -> Tape | None:
         tape.rewrite(_spelled(tape.text))
         if dot:
             tape.rewrite([(*m.span(), DIGITS[m.group().lower()]) for m in _SPELLED_DOTTED.finditer(tape.text)])
-    if dot or any(x in low for x in ("@", "at", "&#64;")):
+    if dot or any(x in low for x in ("@", "&#64;", "&commat;")) or _AT.search(tape.text):
         tape.rewrite(_bracketed(tape.text))
         tape.rewrite([(*m.span(1), "@") for m in _PLAIN_AT.finditer(tape.text)])
     if dot:

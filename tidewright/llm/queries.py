@@ -64,9 +64,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+# Columns of these operators that SQL can state by itself.
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_ngram_lm(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pii(spark, sf_dir).select("doc_id", "n_base")
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {f.__name__: f for f in (mixing_targets, lm_base, pii_base, media_payload)}
 
 
 #: What the archives must give back.
@@ -109,5 +128,44 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree D
 SELECT doc_id, item_id, agree, n AS window, doc_start FROM r WHERE best = 1"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a column ``id`` as text, by the table of its bytes.
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab)"
+_CRC = "xor(list_reduce(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+_LM_SQL = f"""WITH {_CRC_TABLE},
+d AS (SELECT doc_id, row_number() OVER () AS rid, {_CRC} % 7 AS fold, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents, tab),
+t AS (SELECT rid, fold, unnest(list_append(w, chr(10))) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM t WHERE fold <> 2 GROUP BY t),
+s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c),
+r AS (SELECT rid, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1.0) / (n + v + 1))) AS base FROM t LEFT JOIN c USING (t), s GROUP BY rid)
+SELECT doc_id, fold = 2 AS held_out, n_tokens, n_known, (SELECT n FROM s) AS train_tokens, round(base, 4) AS base_score FROM d JOIN r USING (rid)"""
+
+
+def _targets_sql(rounds: int = 12) -> str:
+    """Water-filling, a round at a time: open sources above twice their size are filled and closed."""
+    out = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+g AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+r0 AS (SELECT source, n, [5.0, 2.0, 1.0][i % 3 + 1] AS w, false AS shut FROM g)"""
+    for k in range(rounds):
+        out += f""",
+a{k} AS (SELECT 1.5 * sum(n) - sum(CASE WHEN shut THEN 2 * n ELSE 0 END) AS have, sum(CASE WHEN shut THEN 0 ELSE w END) AS w FROM r{k}),
+r{k + 1} AS (SELECT source, n, r.w, shut OR a.have * r.w / a.w > 2 * n AS shut FROM r{k} r, a{k} a)"""
+    return out + f""",
+z AS (SELECT source, n, CASE WHEN shut THEN 2.0 * n ELSE a.have * r.w / a.w END AS target FROM r{rounds} r, (SELECT 1.5 * sum(n) - sum(CASE WHEN shut THEN 2 * n ELSE 0 END) AS have, sum(CASE WHEN shut THEN 0 ELSE w END) AS w FROM r{rounds}) a)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(CAST(target AS DOUBLE), 4) AS target FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source"""
+
+
+_PII_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+){3}') AS i,
+  list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS p FROM t)
+SELECT doc_id, len(e) + len(list_filter(i, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda k: coalesce(TRY_CAST(k AS BIGINT) <= 255, false)))))
+  + len(list_filter(c, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(x)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(x[len(x) - k] AS INT) ELSE CAST(x[len(x) - k] AS INT) * 2 - 9 * CAST(CAST(x[len(x) - k] AS INT) > 4 AS INT) END)) % 10 = 0))
+  + len(list_filter(p, lambda x: len(x) BETWEEN 9 AND 15)) AS n_base FROM m"""
+
+_MEDIA_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents), p AS (SELECT *, CAST(greatest(1, ceil(n / 192.0)) * 192 AS BIGINT) AS m FROM t)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', m - n)) AS payload_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": _LEAKS_SQL, "op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
+    return {"mixing_targets": _targets_sql(), "lm_base": _LM_SQL, "pii_base": _PII_SQL, "media_payload": _MEDIA_SQL, "op10_decontaminate": _LEAKS_SQL, "op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
