@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, jaccard, mixing, pii, toxicity
+from tidewright.llm import _common, decontaminate, jaccard, mixing, pii, toxicity
 from tidewright.llm._common import read, shared_dir
 
 
@@ -64,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/tidewright/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        before = len(_common._SAVED)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        _common.sweep(spark, before)
         docs = spark.read.parquet(f"{at}/{name}")
     return docs
 
