@@ -7,11 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions.basis import Basis
 from tidewright.functions.kernels import Kernel, register
 from tidewright.functions.scalar import Pca, ball_columns, logged
-from tidewright.operators import design, diagnostics, plotdata, score, stats, train
+from tidewright.operators import design, diagnostics, idemc, plotdata, score, stats, train
 from tidewright.plans.collections import EmulatorSet
-from tidewright.plans.emulator import ProtoEmulator
+from tidewright.plans.emulator import Emulator, ProtoEmulator
 from tidewright.queries import EMS, INPUTS, RANGES, Z
 from tidewright.sources import generators, models, simulators
 
@@ -185,3 +186,102 @@ def test_clusters_are_of_all_rows():
     x = np.concatenate([rng.normal(0, 0.1, (600, 2)), rng.normal(5, 0.1, (600, 2))])
     centres = sorted(c["centre"][0] for c in obtain_clusters(x, most=2))
     assert len(centres) == 2 and abs(centres[0]) < 0.1 and abs(centres[1] - 5) < 0.1
+
+
+def test_design_options_take_effect(spark):
+    """Each option changes what it is for."""
+    x = np.linspace(0.005, 0.095, 30)
+    pts = np.column_stack([x, 0.8 * x + np.random.default_rng(0).normal(0, 0.002, 30)])
+    em = EMS["q"].set_sigma(2.0).adjust(pts, 25 + 40 * x)
+    p = {k: design.Proposer(spark, [em], {"q": (20.0, 32.0)}, design.Options(pca_lhs=k)) for k in (False, True)}
+    got = {k: v.lhs_stage(40, 3.0)[0] for k, v in p.items()}
+    assert abs(np.corrcoef(got[False].T)[0, 1]) < 0.2 < 0.8 < np.corrcoef(got[True].T)[0, 1]
+    seeds = got[True][:60]
+    slices = {k: design.Proposer(spark, [em], {"q": (20.0, 32.0)}, design.Options(pca_slice=k)).slice_stage(seeds, 400, 3.0) for k in (False, True)}
+    assert all(len(v) == 400 for v in slices.values())
+    assert np.corrcoef(slices[True].T)[0, 1] > np.corrcoef(slices[False].T)[0, 1] + 0.2
+    order = [EMS["r"], EMS["q"], EMS["p"]]
+    assert design.Proposer(spark, order, Z, design.Options(use_collect=False)).ems.outputs == ["r", "q", "p"]
+    at = np.array([[0.03, 0.02], [0.08, 0.07]])
+    probs = {k: design.hit_probability([EMS["q"]], at, {"q": Z["q"]}, k) for k in design.DISTROS}
+    assert len({tuple(np.round(v, 6)) for v in probs.values()}) == len(probs)
+    with pytest.raises(ValueError):
+        design.hit_probability([EMS["q"]], at, {"q": Z["q"]}, "none")
+    wide = {f"x{i}": (0.0, 1.0) for i in range(30)}
+    many = Emulator(basis=Basis.constant(wide), beta_mu=np.zeros(1), sigma=1.0, ranges=wide, name="q")
+    c = design.Proposer(spark, [many], {"q": (-1.0, 1.0)}, design.Options(points_factor=2)).corners()
+    assert c.shape == (200, 30) and set(np.unique(c)) == {0.0, 1.0} and c.mean() > 0.4
+
+
+def test_normal_proposals_weigh_all_seeds(spark):
+    """Seeds beyond the first hundreds count: a second cluster of them is not proposed from more often."""
+    rng = np.random.default_rng(0)
+    seeds = np.concatenate([rng.normal(0, 0.1, (600, 2)), rng.normal(8, 0.1, (600, 2))])
+    p = design.Proposer(spark, [EMS["q"]], {"q": Z["q"]}, design.Options(imp_distro="normal"))
+    y = np.concatenate([p.propose(seeds, 20_000, 1.0) for _ in range(3)])
+    assert 0.3 < (y[:, 0] > 4).mean() < 0.7
+
+
+def test_ladder_ends_honestly():
+    far = {"q": {"val": 60.0, "sigma": 0.1}}
+    with pytest.warns(UserWarning, match="out of reach"):
+        idemc.idemc([EMS["q"]], 10, far, s=60, mutations=2, max_rungs=2)
+    burnt = idemc.idemc([EMS["q"]], 10, {"q": Z["q"]}, s=80, mutations=2, get_burnt=True)
+    again = idemc.idemc([EMS["q"]], 10, {"q": Z["q"]}, s=80, mutations=2, burnt=burnt)
+    assert burnt["rungs"][-1] <= 3.0 and len(again) == 10
+    assert (EMS["q"].implausibility(again.to_numpy(), Z["q"]) <= 3.0).all()
+
+
+def test_refined_length_scale_is_likelier(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (40, 2))
+    job = (x, np.sin(3 * x[:, 0]) + x[:, 1], np.ones((40, 1)), np.array([True, True]))
+    ((c, _),) = train.estimate_hyper(spark, [job], "exp_sq", 1, 8)
+    best, _ = train.refine_theta(job, c, (c.params["theta"] * 0.7, c.params["theta"] * 1.3))
+    assert train._profile(*job[:3], best, job[3])[0] >= train._profile(*job[:3], c, job[3])[0]
+
+
+def test_driver_and_tasks_choose_the_same_kernel(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (30, 2))
+    job = (x, np.sin(3 * x[:, 0]) + x[:, 1], np.ones((30, 1)), np.array([True, True]))
+    here = train.estimate_hyper(spark, [job], "matern", 1, 5)
+    monkeypatch.setattr(train, "DRIVER_WORK", 0)
+    there = train.estimate_hyper(spark, [job], "matern", 1, 5)
+    assert here[0][0] == there[0][0] and np.isclose(here[0][1], there[0][1])
+
+
+def test_modes_of_many_replicates(spark):
+    """Folded replicates give the modes and shares of the replicates themselves."""
+    rng = np.random.default_rng(1)
+    rows = [(float(k), float(v), float(v * 2 + rng.normal())) for k in range(3) for v in np.concatenate([rng.normal(0, 1, 3000), rng.normal(40 if k else 0, 1, 1500)])]
+    d = spark.createDataFrame(rows, "x double, y double, w double")
+    got = {(r.x, r.output): r for r in train.detect_modes(d, ["x"], ["y", "w"]).collect()}
+    assert {k: r.bimodal for k, r in got.items()} == {(x, o): x > 0 for x in (0.0, 1.0, 2.0) for o in ("y", "w")}
+    assert all(np.isclose(r.prop, 2 / 3) for k, r in got.items() if k[0]) and all(r.n == 4500 for r in got.values())
+    split = train.split_modes(d, ["x"], ["y", "w"])
+    n = {(r.x, r.mode): r["count"] for r in split.groupBy("x", "mode").count().collect()}
+    assert n == {(0.0, 1): 4500, (0.0, 2): 4500, (1.0, 1): 3000, (1.0, 2): 1500, (2.0, 1): 3000, (2.0, 2): 1500}
+
+
+def test_poor_emulators_are_trained_anew(spark):
+    rng = np.random.default_rng(0)
+    x = np.column_stack([rng.uniform(0, 0.1, 60), rng.uniform(0, 0.08, 60)])
+    y = 25 + 300 * (x[:, 0] - 0.05) + 400 * x[:, 1] * x[:, 0]
+    bad = EMS["q"].set_sigma(0.01).adjust(x[:6], y[:6] + 3)
+    runs = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(x, y, strict=True)], "l_discount double, l_tax double, q double")
+    calls = []
+
+    def retrain(o, rows):
+        calls.append(rows.count())
+        t = rows.toPandas()
+        return EMS["q"].set_sigma(5.0).adjust(t[["l_discount", "l_tax"]].to_numpy(), t[o].to_numpy())
+
+    out = diagnostics.diagnostic_pass({"q": bad}, {"q": (20.0, 40.0)}, runs, retrain=retrain, resamples=2)
+    assert 1 <= len(calls) <= 2 and out["q"].sigma == 5.0
+
+
+def test_large_table_for_maximin(spark, monkeypatch):
+    monkeypatch.setattr(design, "MAX_KEPT", 400)
+    d = spark.range(5000).select((F.col("id") / 5000.0).alias("a"), F.rand(1).alias("b"))
+    assert design.maximin_sample(d, 12, ["a", "b"], 20).count() == 12

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -292,8 +293,16 @@ def validation_pairs(ems, points: DataFrame, z: dict, nth: int = 1) -> DataFrame
     return nth_implausible(d, s, z, nth).drop(*(f"{m.output}_{k}" for m in s.members for k in ("exp", "var")))
 
 
-def diagnostic_pass(ems: dict[str, Emulator], z: dict, validation: DataFrame, max_rounds: int = 20, share: float = 0.05) -> dict[str, Emulator]:
-    """Repair: outputs that never come near their target go; theta shrinks to a third at most; sigma grows until ce and cd are clear."""
+def diagnostic_pass(ems: dict[str, Emulator], z: dict, validation: DataFrame, max_rounds: int = 20, share: float = 0.05, retrain: Callable | None = None, resamples: int = 5, seed: int = 0) -> dict[str, Emulator]:
+    """Repair: outputs that never come near their target go; theta shrinks to a third at most; sigma grows until ce and cd are clear.
+
+    Where too many points still fail with the least theta, an emulator is
+    trained anew by ``retrain(output, training rows)`` on other halves of all
+    runs, its own and those for validation, ``resamples`` times at most.
+    """
+    from ..functions.scalar import scale_array
+    from ..sources.generators import halves
+
     ts, out = targets(z), {}
     validation = validation.cache()
     n = validation.count()
@@ -302,11 +311,30 @@ def diagnostic_pass(ems: dict[str, Emulator], z: dict, validation: DataFrame, ma
         if not seen:
             warnings.warn(f"{o} never comes near its target and is left out", stacklevel=2)
             continue
-        theta0 = em.corr.params["theta"]
-        while comparison_diag(em, ts[o], validation).count() > share * n and np.min(em.corr.params["theta"]) > np.min(theta0) / 3 * 1.05:
-            em = em.set_hyperparams(**(em.corr.params | {"theta": em.corr.params["theta"] * 0.9}))
+        held, m = validation, n
+
+        def poor(e, held=held, o=o):
+            return comparison_diag(e, ts[o], held).count()
+
+        def shrunk(e, poor=poor, m=m):
+            theta0 = e.corr.params["theta"]
+            while poor(e) > share * m and np.min(e.corr.params["theta"]) > np.min(theta0) / 3 * 1.05:
+                e = e.set_hyperparams(**(e.corr.params | {"theta": e.corr.params["theta"] * 0.9}))
+            return e
+
+        em = shrunk(em)
+        if retrain is not None and em.x is not None and poor(em) > share * n:
+            own = scale_array(em.x, em.ranges, forward=False)
+            rows = validation.sparkSession.createDataFrame(pd.DataFrame({**{c: own[:, i] for i, c in enumerate(em.inputs)}, o: em.y}))
+            every = validation.select(*em.inputs, o).unionByName(rows)
+            for k in range(resamples):
+                a, held = halves(every, len(em.x) / (len(em.x) + n), seed + k + 1)
+                m = max(1, held.count())
+                em = shrunk(retrain(o, a), lambda e, held=held, o=o: comparison_diag(e, ts[o], held).count(), m)
+                if comparison_diag(em, ts[o], held).count() <= share * m:
+                    break
         for _ in range(max_rounds):
-            if classification_diag(em, ts[o], validation).isEmpty() and binomial_diagnostic_test(comparison_diag(em, ts[o], validation).count(), n):
+            if classification_diag(em, ts[o], held).isEmpty() and binomial_diagnostic_test(comparison_diag(em, ts[o], held).count(), m):
                 break
             em = em.mult_sigma(1.1)
         out[o] = em

@@ -214,6 +214,28 @@ def estimate_hyper(spark, jobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, n
     return [out[j] for j in range(len(jobs))]
 
 
+def refine_theta(job: tuple, c: Correlator, bounds: tuple[float, float], steps: int = 40) -> tuple[Correlator, float]:
+    """The length scale that maximises the profile likelihood between ``bounds``, by golden section from the grid's best."""
+    x, y, h, active = job
+    at = lambda t: _profile(x, y, h, c.set_hyper_p(**(c.params | {"theta": float(t)})), active)[0]
+    (a, b), g = bounds, (math.sqrt(5) - 1) / 2
+    p, q = b - g * (b - a), a + g * (b - a)
+    fp, fq = at(p), at(q)
+    for _ in range(steps):
+        if fp >= fq:
+            b, q, fq = q, p, fp
+            p = b - g * (b - a)
+            fp = at(p)
+        else:
+            a, p, fp = p, q, fq
+            q = a + g * (b - a)
+            fq = at(q)
+    best = c.set_hyper_p(**(c.params | {"theta": float((a + b) / 2)}))
+    if at(best.params["theta"]) < at(c.params["theta"]):
+        best = c
+    return best, _profile(x, y, h, best, active)[1]
+
+
 def _points(df: DataFrame, cols: list[str]) -> pd.DataFrame:
     n = df.limit(MAX_POINTS + 1)
     pdf = n.select(*(F.col(c).cast("double").alias(c) for c in cols)).toPandas()
@@ -238,8 +260,12 @@ def train(
     extra: dict[str, tuple[list[str], str]] | None = None,
     nsteps: int = 30,
     make: Callable | None = None,
+    refine: bool = False,
 ) -> dict[str, Emulator]:
-    """Emulators of deterministic outputs; replicated points are trained on their means, with the replicate variance in the internal discrepancy."""
+    """Emulators of deterministic outputs; replicated points are trained on their means, with the replicate variance in the internal discrepancy.
+
+    With ``refine`` the grid's best length scale is refined between its neighbours.
+    """
     ranges = convert_ranges(ranges)
     names, spark = list(ranges), df.sparkSession
     if corr_name not in REGISTRY:
@@ -277,6 +303,10 @@ def train(
     open_ = [k for k, o in enumerate(outputs) if not ("theta" in priors.get(o, Priors()).hyper and priors[o].sigma is not None)]
     if open_:
         got = estimate_hyper(spark, [jobs[k] for k in open_], corr_name, order, nsteps, None, theta_ranges)
+        if refine and not theta_ranges:
+            lo, hi = theta_range(order)
+            gap = (hi - lo) / max(1, nsteps - 1)
+            got = [refine_theta(jobs[k], c, (max(lo / 2, c.params["theta"] - gap), c.params["theta"] + gap)) for k, (c, _) in zip(open_, got, strict=True)]
         found = dict(zip((outputs[k] for k in open_), got, strict=True))
     out = {}
     for k, o in enumerate(outputs):
@@ -374,10 +404,12 @@ def emulator_set(trained: dict) -> EmulatorSet:
     return EmulatorSet.of(list(trained.values()))
 
 
-def train_covariance(df: DataFrame, outputs: list[str], ranges, order: int = 2, corr_name: str = "exp_sq", logged: bool = False, matrix: np.ndarray | None = None, **options):
+def train_covariance(df: DataFrame, outputs: list[str], ranges, order: int = 2, corr_name: str = "exp_sq", logged: bool = False, matrix: np.ndarray | None = None, rho: np.ndarray | None = None, theta: float | None = None, **options):
     """Mean emulators, and an EmulatedMatrix of the replicate covariances (or of their matrix logarithms).
 
     ``matrix``: truth values of the pairs to emulate; with one output the variance emulation is used.
+    ``rho``: correlations of outputs at one time, by label pair; ``theta``: the correlation length in time.
+    What is not given is estimated from the replicate variances (theta where outputs have times).
     """
     from ..plans.emulator import EmulatedMatrix
 
@@ -407,24 +439,58 @@ def train_covariance(df: DataFrame, outputs: list[str], ranges, order: int = 2,
     entries = [[None] * k for _ in range(k)]
     for (i, j), c in zip(pairs, cols, strict=True):
         entries[i][j] = entries[j][i] = ems.get(c)
-    return {"expectation": base["expectation"], "variance": EmulatedMatrix(tuple(map(tuple, entries)), logged)}
+    parts = [stats.split_name(o) for o in outputs]
+    if rho is None:
+        rho = np.eye(k)
+        by = {frozenset((r.a, r.b)): r.rho for r in stats.rho_estimate(df, names, outputs).collect() if r.rho is not None}
+        for i, j in itertools.combinations(range(k), 2):
+            rho[i, j] = rho[j, i] = by.get(frozenset((parts[i][0], parts[j][0])), 1.0 if parts[i][0] == parts[j][0] else 0.0)
+    if theta is None:
+        label = next((lab for lab, t in parts if t is not None and sum(p[0] == lab for p in parts) > 1), None)
+        own = [o for o, p in zip(outputs, parts, strict=True) if p[0] == label]
+        if label is not None:
+            r = per_variances(df, names, own).agg(*(stats.corr(a, b).alias(f"{a}_{b}") for a, b in itertools.combinations(own, 2))).first()
+            c = np.eye(len(own))
+            for (i, a), (j, b) in itertools.combinations(enumerate(own), 2):
+                c[i, j] = c[j, i] = r[f"{a}_{b}"] or 0.0
+            theta = stats.theta_estimate(c, [float(stats.split_name(o)[1]) for o in own])
+    return {"expectation": base["expectation"], "variance": EmulatedMatrix(tuple(map(tuple, entries)), logged, theta, np.asarray(rho))}
+
+
+def per_variances(df: DataFrame, names: list[str], outputs: list[str]) -> DataFrame:
+    """The replicate variance of each output at each point."""
+    return df.groupBy(*names).agg(*(F.var_samp(o).alias(o) for o in outputs))
 
 
 # ------------------------------------------------------------------ multistate
 
 
-def fuzzy_two_means(y: np.ndarray, m: float = 2.0, steps: int = 50) -> tuple[np.ndarray, float, float]:
-    """(labels 0/1, sum of squares with one cluster, with two times a margin) for fuzzy c-means; labels follow the order of the centres."""
+#: Bins of a point's replicates, and replicates that its centres are found from.
+MODE_BINS, MODE_ROWS = 1024, 2_000
+
+
+def fuzzy_two_means(y: np.ndarray, m: float = 2.0, steps: int = 50, weight: np.ndarray | None = None, inner: float | np.ndarray = 0.0) -> tuple[np.ndarray, float, float]:
+    """(labels 0/1, sum of squares with one cluster, with two times a margin) for fuzzy c-means; labels follow the order of the centres.
+
+    Rows may stand for ``weight`` values each, with sums of squares ``inner`` about them.
+    """
     y = np.atleast_2d(np.asarray(y, float).T).T
-    one = float(((y - y.mean(0)) ** 2).sum())
-    if len(y) < 4 or one == 0:
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    inner = np.broadcast_to(np.asarray(inner, float), len(y))
+    centre = lambda k: (weight[k, None] * y[k]).sum(0) / weight[k].sum()
+    spread = lambda k: float((weight[k, None] * (y[k] - centre(k)) ** 2).sum() + inner[k].sum())
+    total, every = weight.sum(), np.ones(len(y), bool)
+    one = spread(every) if len(y) else 0.0
+    if total < 4 or len(y) < 2 or one == 0:
         return np.zeros(len(y), int), one, one
     order = np.argsort(y[:, 0], kind="stable")
-    c = np.stack([y[order[: len(y) // 2]].mean(0), y[order[len(y) // 2 :]].mean(0)])
+    low = np.zeros(len(y), bool)
+    low[order[: max(1, min(len(y) - 1, int(np.searchsorted(np.cumsum(weight[order]), total / 2, "right"))))]] = True
+    c = np.stack([centre(low), centre(~low)])
     for _ in range(steps):
         d = np.maximum(((y[:, None, :] - c[None]) ** 2).sum(-1), 1e-18)
         u = 1 / (d ** (1 / (m - 1)) * (1 / d ** (1 / (m - 1))).sum(1, keepdims=True))
-        w = u**m
+        w = u**m * weight[:, None]
         new = (w.T @ y) / w.sum(0)[:, None]
         if np.abs(new - c).max() < 1e-10:
             break
@@ -432,42 +498,58 @@ def fuzzy_two_means(y: np.ndarray, m: float = 2.0, steps: int = 50) -> tuple[np.
     labels = np.argmax(u, axis=1)
     if c[0, 0] > c[1, 0]:
         labels = 1 - labels
-    within = sum(float(((y[labels == k] - y[labels == k].mean(0)) ** 2).sum()) for k in (0, 1) if (labels == k).any())
+    within = sum(spread(labels == k) for k in (0, 1) if (labels == k).any())
     # two clusters must explain far more than halving one blob would, the more so in small samples
-    return labels, one, within * 5 * (1 + 6 / len(y))
+    return labels, one, within * 5 * (1 + 6 / total)
 
 
 def detect_modes(df: DataFrame, inputs: list[str], outputs: list[str]) -> DataFrame:
-    """Per point and output: whether its replicates form two clusters, and the share of the lower one."""
+    """Per point and output: whether its replicates form two clusters, and the share of the lower one.
+
+    Replicates are folded to at most MODE_BINS bins between the least and the
+    largest before a worker sees them, so no group grows with their number.
+    """
+    keys = [*inputs, "output"]
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in [*inputs, *outputs])).unpivot(inputs, outputs, "output", "_y").dropna()
+    span = long.groupBy(*keys).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+    bins = long.join(span, keys).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(MODE_BINS - 1), F.floor((F.col("_y") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * MODE_BINS))).otherwise(0))
+    y = F.col("_y") - F.col("_lo")
+    folded = bins.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q"))
     schema = ", ".join(f"`{c}` double" for c in inputs) + ", output string, bimodal boolean, prop double, n long"
-    d = df.select(*(F.col(c).cast("double").alias(c) for c in [*inputs, *outputs]))
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for o in outputs:
-            y = pdf[o].dropna().to_numpy()
-            lab, one, two = fuzzy_two_means(y)
-            both = one >= two and 0 < lab.sum() < len(lab)
-            rows.append((*(pdf[c].iloc[0] for c in inputs), o, bool(both), float(np.mean(lab == 0)) if both else 1.0, len(y)))
-        return pd.DataFrame(rows, columns=[*inputs, "output", "bimodal", "prop", "n"])
+        n, s = pdf["_n"].to_numpy(float), pdf["_s"].to_numpy(float)
+        lab, one, two = fuzzy_two_means(s / n, weight=n, inner=np.maximum(pdf["_q"].to_numpy(float) - s * s / n, 0.0))
+        both = one >= two and 0 < lab.sum() < len(lab)
+        return pd.DataFrame([(*(pdf[c].iloc[0] for c in keys), bool(both), float(n[lab == 0].sum() / n.sum()) if both else 1.0, int(n.sum()))], columns=[*keys, "bimodal", "prop", "n"])
 
-    return d.groupBy(*inputs).applyInPandas(f, schema)
+    return folded.groupBy(*keys).applyInPandas(f, schema)
 
 
 def split_modes(df: DataFrame, inputs: list[str], outputs: list[str]) -> DataFrame:
-    """The runs with ``mode`` 1 and 2; runs of points with one mode are in both."""
+    """The runs with ``mode`` 1 and 2; runs of points with one mode are in both.
+
+    A point's centres are found from about MODE_ROWS of its runs (all, if it
+    has fewer), by hash; every run goes to the nearer one.
+    """
     d = df.select(*(F.col(c).cast("double").alias(c) for c in [*inputs, *outputs]))
-    schema = ", ".join(f"`{c}` double" for c in [*inputs, *outputs]) + ", mode int"
+    sizes = d.groupBy(*inputs).agg(F.count("*").alias("_n"))
+    some = d.withColumn("_h", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *outputs), F.lit(1 << 30))).join(sizes, inputs).filter(F.col("_h") < F.lit(float(1 << 30)) * MODE_ROWS / F.col("_n"))
+    schema = ", ".join(f"`{c}` double" for c in inputs) + ", _two boolean, _sd array<double>, _c1 array<double>, _c2 array<double>"
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[outputs].to_numpy(float)
         sd = np.where(np.nanstd(x, axis=0) > 0, np.nanstd(x, axis=0), 1.0)
-        lab, one, two = fuzzy_two_means(np.nan_to_num(x / sd))
-        if one >= two and 0 < lab.sum() < len(lab):
-            return pdf.assign(mode=lab + 1)
-        return pd.concat([pdf.assign(mode=1), pdf.assign(mode=2)])
-
-    return d.groupBy(*inputs).applyInPandas(f, schema)
+        z = np.nan_to_num(x / sd)
+        lab, one, two = fuzzy_two_means(z)
+        both = bool(one >= two and 0 < lab.sum() < len(lab))
+        c = [z[lab == k].mean(0).tolist() if both else [0.0] * len(outputs) for k in (0, 1)]
+        return pd.DataFrame([(*(pdf[n].iloc[0] for n in inputs), both, sd.tolist(), *c)], columns=[*inputs, "_two", "_sd", "_c1", "_c2"])
+
+    centres = some.groupBy(*inputs).applyInPandas(f, schema)
+    away = lambda c: sum(((F.coalesce(F.nanvl(F.col(o), F.lit(0.0)), F.lit(0.0)) / F.col("_sd")[i] - F.col(c)[i]) ** 2 for i, o in enumerate(outputs)), F.lit(0.0))
+    mode = F.when(~F.col("_two"), F.array(F.lit(1), F.lit(2))).when(away("_c1") <= away("_c2"), F.array(F.lit(1))).otherwise(F.array(F.lit(2)))
+    return d.join(centres, inputs).select(*inputs, *outputs, F.explode(mode).alias("mode"))
 
 
 def train_multistate(df: DataFrame, outputs: list[str], ranges, order: int = 2, corr_name: str = "exp_sq", share: float = 0.1, **options):
