@@ -199,13 +199,14 @@ def _delta_pairs(done: DataFrame, num: int, den: int) -> DataFrame:
     least = F.when(F.col("linked"), F.ceil(F.lit(num) * F.col("k") / s)).otherwise(F.ceil((F.lit(s) * F.col("k") - F.lit(den - num) * (F.col("m") + F.col("m_b"))) / (2 * den)))
     d = d.withColumn("cut", F.col("k") - F.greatest(F.lit(1), least) + 1).filter("cut > 0")
     post = d.select("b", "a", "m", "k", "linked", F.posexplode(F.slice("delta", 1, F.col("cut").cast("int"))).alias("pos", "t"))
-    x = post.select("b", "t", *(F.col(c).alias(f"{c}1") for c in ("a", "m", "k", "linked", "pos")))
+    # of each pair one at least is not linked to the hub, so only those look for partners
+    x = post.filter(~F.col("linked")).select("b", "t", *(F.col(c).alias(f"{c}1") for c in ("a", "m", "k", "linked", "pos")))
     y = post.select("b", "t", *(F.col(c).alias(f"{c}2") for c in ("a", "m", "k", "linked", "pos")))
     need = (F.col("k1") + F.col("k2") - F.lit(den - num) * (F.col("m1") + F.col("m2")) / s) / 2
     # holds for the first token that a linked pair shares: all others come after it in both
     able = F.least(F.col("k1") - F.col("pos1"), F.col("k2") - F.col("pos2"))
-    both = x.join(y, ["b", "t"]).filter((F.col("a1") < F.col("a2")) & ~(F.col("linked1") & F.col("linked2")) & (able >= need - 1e-6))
-    return both.select(F.col("a1").alias("a"), F.col("a2").alias("b"))
+    both = x.join(y, ["b", "t"]).filter((F.col("a1") != F.col("a2")) & (F.col("linked2") | (F.col("a1") < F.col("a2"))) & (able >= need - 1e-6))
+    return both.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
 
 
 def _small_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
