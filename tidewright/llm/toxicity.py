@@ -357,11 +357,13 @@ def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, fl
     Whole words are sought misspelled; those under a chosen stem stay beside it for that (``most`` of them).
     """
     found = []
+    # g is chi-squared by chance: over all candidates together one exceeds this in about fifty samples
+    surplus = 8 + 2 * math.log(max(1, len(rows)))
     for term, stem, a, b in rows:
         lift = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         expected = max(1e-9, (a + b) * n1 / max(1, n1 + n0))
         g = 2 * (a * math.log(a / expected) - (a - expected))
-        if lift > 1.0 and g > 8:
+        if lift > 1.0 and g > surplus:
             found.append((a * lift, len(term), term, stem, lift))
     found.sort(key=lambda x: (-x[0], -x[1], x[2]))
     chosen: dict[str, tuple[bool, float, bool]] = {}
