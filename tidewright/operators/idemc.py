@@ -69,7 +69,8 @@ def obtain_clusters(x: np.ndarray, most: int = 6, seed: int = 0) -> list[dict]:
         own = x[best[1] == k]
         cov = np.cov(own.T).reshape(x.shape[1], -1) if len(own) > x.shape[1] + 1 else np.cov(x.T).reshape(x.shape[1], -1)
         cov = cov + 1e-10 * np.eye(len(cov))
-        out.append({"centre": own.mean(0), "cov": cov, "inv": np.linalg.pinv(cov)})
+        val, vec = np.linalg.eigh(cov)
+        out.append({"centre": own.mean(0), "cov": cov, "inv": np.linalg.pinv(cov), "root": vec * np.sqrt(np.maximum(val, 0.0))})
     return out
 
 
@@ -87,13 +88,16 @@ def step(state: list[np.ndarray], rungs: list[float], imp, ranges, clusters, rng
     lo, hi = ranges
     k = len(state)
     if k == 1 or rng.random() < pm:
-        for i in range(k):
-            for _ in range(mutations):
+        for _ in range(mutations):  # the rungs do not look at each other: one evaluation for all
+            y = np.empty((k, len(lo)))
+            for i in range(k):
                 c = clusters[i][predict_cluster(state[i][None], clusters[i])[0]]
-                jump = rng.multivariate_normal(np.zeros(len(lo)), c["cov"], check_valid="ignore") if rng.random() < w else rng.standard_normal(len(lo)) * (hi - lo) * 0.05
-                y = state[i] + jump
-                if ((y >= lo) & (y <= hi)).all() and imp(y[None])[0] <= rungs[i]:
-                    state[i] = y
+                jump = c["root"] @ rng.standard_normal(len(lo)) if rng.random() < w else rng.standard_normal(len(lo)) * (hi - lo) * 0.05
+                y[i] = state[i] + jump
+            inside = np.flatnonzero(((y >= lo) & (y <= hi)).all(1))
+            for i, v in zip(inside, imp(y[inside]) if len(inside) else (), strict=True):
+                if v <= rungs[i]:
+                    state[i] = y[i]
     else:
         i, j = rng.choice(k, 2, replace=False)
         cut = rng.integers(1, len(lo)) if len(lo) > 1 else 0
