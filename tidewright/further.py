@@ -108,9 +108,9 @@ def validation_split(spark, sf_dir):
     return both.crossJoin(shared).select("n", "shared", "share")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_linenumber <= 3")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
 def rows_by_uid(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_quantity")
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     ids = d.filter("l_quantity > 45").select(models.uid(*d.columns).alias("uid"))
     return models.rows_by_uid(d, d.columns, ids).drop("uid")
 
@@ -499,7 +499,7 @@ def type_demotion(spark, sf_dir):
 def rows_without_output(spark, sf_dir):
     """Rows with no value of an output are left out of its training, and only of its."""
     p = _points(spark, sf_dir).withColumn("y", F.col("l_discount") * 3 + F.col("l_tax"))
-    holes = p.unionByName(p.limit(1).withColumns({"l_discount": F.lit(0.0333), "y": F.lit(None).cast("double")}))
+    holes = p.unionByName(spark.createDataFrame([(0.0333, 0.04, None)], "l_discount double, l_tax double, y double"))
     em = train.train(holes, ["y"], RANGES, order=1)["y"]
     return p.agg(F.count("*").alias("rows")).withColumn("used", F.lit(len(em.x)).cast("long"))
 
@@ -570,11 +570,12 @@ def residuals(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('chol', true), ('cholpivot', true), ('eigen', true), ('normal', true)) AS t(errtype, meets)")
 def error_types(spark, sf_dir):
     """Uncorrelated errors keep the Mahalanobis distance; plain ones the sum over deviations."""
-    v = _validation(spark, sf_dir).orderBy(*INPUTS).limit(8).toPandas()
-    s = diagnostics.summary_diag(EMS["q"], v)
+    v = _validation(spark, sf_dir).withColumnRenamed("q", "r").toPandas()
+    em = _em("r", lambda a, b: 0.0, [25.0, 0.0, 0.5], 1.0, Correlator.of("rat_quad", nugget=0.05, theta=0.7, alpha=1.5), trained=False)
+    s = diagnostics.summary_diag(em, v)
     rows = []
     for k in ("normal", "eigen", "chol", "cholpivot"):
-        total = float((diagnostics.individual_errors(EMS["q"], v, k)["error"] ** 2).sum())
+        total = float((diagnostics.individual_errors(em, v, k)["error"] ** 2).sum())
         rows.append((k, bool(abs(total - (s["chi"] if k == "normal" else s["mahalanobis"])) <= 1e-3 * abs(total))))
     return spark.createDataFrame(rows, "errtype string, meets boolean")
 
@@ -674,24 +675,24 @@ def wrapped_points(spark, sf_dir):
     return plotdata.plot_wrap(_points(spark, sf_dir), RANGES)
 
 
-@query("SELECT CAST(l_linenumber - 1 AS INT) AS wave, l_discount, l_tax FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT CAST(l_linenumber % 3 AS INT) AS wave, l_discount, l_tax FROM lineitem")
 def points_by_wave(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    return plotdata.wave_points([d.filter(f"l_linenumber = {k}") for k in (1, 2)], INPUTS)
+    return plotdata.wave_points([d.filter(f"l_linenumber % 3 = {k}") for k in range(3)], INPUTS)
 
 
-@query(f"WITH {_POINTS_SQL},\n{_scored_sql('q')} SELECT CAST(l_linenumber - 1 AS INT) AS wave, l_orderkey, l_quantity AS q, round(q_e, 5) AS q_exp, round(sqrt(q_v), 4) AS q_sd, true AS apart FROM lineitem JOIN q USING (l_discount, l_tax) WHERE l_linenumber <= 2")
+@query(f"WITH {_POINTS_SQL},\n{_scored_sql('q')} SELECT CAST(l_linenumber % 2 AS INT) AS wave, l_orderkey, l_quantity AS q, round(q_e, 5) AS q_exp, round(sqrt(q_v), 4) AS q_sd, true AS apart FROM lineitem JOIN q USING (l_discount, l_tax)")
 def values_by_wave(spark, sf_dir):
     """Outputs of the waves with the emulator's prediction; the pair that is never hit together is kept."""
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *INPUTS, F.col("l_quantity").cast("double").alias("q"), F.col("l_quantity").cast("double").alias("s"))
-    got, pairs = plotdata.wave_values([d.filter(f"l_linenumber = {k}") for k in (1, 2)], {"q": (0.0, 10.0), "s": (20.0, 30.0)}, [EMS["q"]], restrict=True)
+    got, pairs = plotdata.wave_values([d.filter(f"l_linenumber % 2 = {k}") for k in (0, 1)], {"q": (0.0, 10.0), "s": (20.0, 30.0)}, [EMS["q"]], restrict=True)
     return got.select("wave", "l_orderkey", "q", F.round("q_exp", 5).alias("q_exp"), F.round("q_sd", 4).alias("q_sd"), F.lit(pairs == [("q", "s")]).alias("apart"))
 
 
-@query("WITH w AS (SELECT count(*) AS n FROM lineitem WHERE l_linenumber <= 2) SELECT 'points' AS name, n FROM w UNION ALL SELECT 'values', n FROM w UNION ALL SELECT 'dependencies', 4 * n FROM w UNION ALL SELECT 'simulator', 2 * n FROM w UNION ALL SELECT 'hits', (SELECT count(*) FROM (SELECT DISTINCT l_linenumber, CAST(l_quantity BETWEEN 13 AND 37 AS INT) + CAST(l_extendedprice BETWEEN 20000 AND 60000 AS INT) FROM lineitem WHERE l_linenumber <= 2))")
+@query("WITH w AS (SELECT count(*) AS n FROM lineitem) SELECT 'points' AS name, n FROM w UNION ALL SELECT 'values', n FROM w UNION ALL SELECT 'dependencies', 4 * n FROM w UNION ALL SELECT 'simulator', 2 * n FROM w UNION ALL SELECT 'hits', (SELECT count(*) FROM (SELECT DISTINCT l_linenumber % 2, CAST(l_quantity BETWEEN 13 AND 37 AS INT) + CAST(l_extendedprice BETWEEN 20000 AND 60000 AS INT) FROM lineitem))")
 def wrapped_diagnostics(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select(*INPUTS, *OUTPUTS, "l_linenumber")
-    frames = plotdata.diagnostic_wrap([d.filter(f"l_linenumber = {k}").drop("l_linenumber") for k in (1, 2)], LT, INPUTS)
+    frames = plotdata.diagnostic_wrap([d.filter(f"l_linenumber % 2 = {k}").drop("l_linenumber") for k in (0, 1)], LT, INPUTS)
     out = None
     for k, f in frames.items():
         r = f.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n")

@@ -530,10 +530,10 @@ def behaviour(spark, sf_dir):
     return plotdata.behaviour_plot(table(spark, sf_dir, "lineitem"), INPUTS, OUTPUTS, LT)
 
 
-@query("SELECT wave, CAST(l_discount AS DOUBLE) AS x, 'l_discount' AS input, 'l_quantity' AS output, CAST(l_quantity AS DOUBLE) AS y FROM (SELECT 0 AS wave, * FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 1, * FROM lineitem WHERE l_linenumber = 2)")
+@query("SELECT wave, CAST(l_discount AS DOUBLE) AS x, 'l_discount' AS input, 'l_quantity' AS output, CAST(l_quantity AS DOUBLE) AS y FROM (SELECT CAST(l_linenumber % 2 AS INT) AS wave, * FROM lineitem)")
 def wave_dependencies(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    return plotdata.wave_dependencies([d.filter("l_linenumber = 1"), d.filter("l_linenumber = 2")], ["l_discount"], ["l_quantity"])
+    return plotdata.wave_dependencies([d.filter("l_linenumber % 2 = 0"), d.filter("l_linenumber % 2 = 1")], ["l_discount"], ["l_quantity"])
 
 
 @query("SELECT wave, o AS output, round(sum(v), 3) AS total, count(*) AS n FROM (SELECT CAST(l_linenumber % 2 AS INT) AS wave, 'l_quantity' AS o, (2 * l_quantity - 50.0) / 24.0 AS v FROM lineitem UNION ALL SELECT CAST(l_linenumber % 2 AS INT), 'l_extendedprice', (2 * l_extendedprice - 80000.0) / 40000.0 FROM lineitem) GROUP BY ALL")
