@@ -285,3 +285,21 @@ def test_large_table_for_maximin(spark, monkeypatch):
     monkeypatch.setattr(design, "MAX_KEPT", 400)
     d = spark.range(5000).select((F.col("id") / 5000.0).alias("a"), F.rand(1).alias("b"))
     assert design.maximin_sample(d, 12, ["a", "b"], 20).count() == 12
+
+
+def test_emulators_cluster_by_active_inputs(spark):
+    """Groups that share an input, found by fuzzy clusters; a design for each, combined."""
+    box = {k: (-1.0, 1.0) for k in "abcde"}
+
+    def em(name, act):
+        terms = ((0,) * 5, *(tuple(int(i == "abcde".index(a)) for i in range(5)) for a in act))
+        return Emulator(basis=Basis(tuple("abcde"), terms), beta_mu=np.array([0.0, *[1.0] * len(act)]), sigma=0.3, ranges=box, name=name)
+
+    ems = [em("u", "abc"), em("v", "abc"), em("w", "cde"), em("x", "cde")]
+    groups = design.active_clusters(EmulatorSet.of(ems))
+    assert sorted(groups) == [(["u", "v"], ["a", "b", "c"]), (["w", "x"], ["c", "d", "e"])]
+    assert len(design.active_clusters(EmulatorSet.of([em("u", "abc"), em("v", "abd"), em("w", "bcd")]))) == 1
+    z = {k: (-1.0, 1.0) for k in "uvwx"}
+    d = design.generate_new_design(spark, ems, 20, z, ("lhs",), opts=design.Options(cluster=True))
+    assert len(d.points) == 20
+    assert (idemc.implausibility_nth(EmulatorSet.of(ems), z, d.points[list("abcde")].to_numpy(), 1) <= 3).all()

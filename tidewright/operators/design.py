@@ -22,7 +22,7 @@ from ..plans.collections import EmulatorSet, collect_emulators
 from ..plans.emulator import Emulator
 from ..plans.targets import Ranges, targets
 from ..sources.generators import lhs, lhs_array
-from .idemc import implausibility_nth
+from .idemc import fuzzy_clusters, implausibility_nth, silhouette
 from .score import default_n, nth_implausible
 from .stats import in_range
 
@@ -334,7 +334,10 @@ class Proposer:
         return there(y)
 
     def cluster_stage(self, n: int, cutoff: float) -> tuple[np.ndarray, float]:
-        """Emulators in two groups by their active inputs: a design for each group, combined and scored again."""
+        """Emulators in two groups by their active inputs: a design for each group, combined and scored again.
+
+        Inputs that both groups use come from the first group's design.
+        """
         groups = active_clusters(self.ems)
         if len(groups) < 2:
             return self.lhs_stage(n, cutoff)
@@ -342,7 +345,10 @@ class Proposer:
         for outs, names in groups:
             own = Proposer(self.spark, self.ems.subset(outs), self.z, replace(self.opts, cluster=False))
             x, _ = own.lhs_stage(n, cutoff)
+            names = [k for k in names if not parts or k not in parts[0][0]]
             parts.append((names, x[:, [self.names.index(k) for k in names]]))
+        if any(not len(x) for _, x in parts):
+            return self.lhs_stage(n, cutoff)
         m = max(1, math.isqrt(n * self.opts.points_factor))
         a, b = (self.spark.createDataFrame(pd.DataFrame(x[self.rng.permutation(len(x))[:m]], columns=names)) for names, x in parts)
         both = a.crossJoin(b)  # at most m x m rows, both sides cut to m
@@ -355,14 +361,26 @@ class Proposer:
 
 
 def active_clusters(s: EmulatorSet) -> list[tuple[list[str], list[str]]]:
-    """Outputs split by disjoint sets of active inputs (connected through shared ones)."""
+    """Outputs in two groups by their active inputs, or in one: (outputs, inputs).
+
+    Where inputs part the outputs, those are the groups; else fuzzy clusters of
+    the sets of active inputs, if they stand clearly apart and each has inputs of its own.
+    """
     groups: list[tuple[set, set]] = []
     for m in s.members:
         act = {n for n, a in zip(m.em.inputs, m.em.active, strict=True) if a}
         hit = [g for g in groups if g[1] & act]
         new = ({m.output}.union(*(g[0] for g in hit)), act.union(*(g[1] for g in hit)))
         groups = [g for g in groups if g not in hit] + [new]
-    return [(sorted(o), sorted(a)) for o, a in groups][:2] if len(groups) == 2 else [(s.outputs, list(s.ranges()))]
+    names, outs = list(s.ranges()), s.outputs
+    if len(groups) == 1 and len(outs) > 2:
+        act = np.array([[any(n in m.em.inputs and m.em.active[m.em.inputs.index(n)] for m in s.members if m.output == o) for n in names] for o in outs], float)
+        tries = [fuzzy_clusters(act, 2, seed=k)[0] for k in range(8)]
+        lab = max(tries, key=lambda v: silhouette(act, v) if len(np.unique(v)) == 2 else -1.0)
+        sets = [{n for n, a in zip(names, act[lab == k].any(0), strict=True) if a} for k in (0, 1)]
+        if len(np.unique(lab)) == 2 and silhouette(act, lab) > 0.5 and sets[0] - sets[1] and sets[1] - sets[0]:
+            groups = [({o for o, v in zip(outs, lab, strict=True) if v == k}, sets[k]) for k in (0, 1)]
+    return [(sorted(o), sorted(a)) for o, a in groups] if len(groups) == 2 else [(outs, names)]
 
 
 def _pca(names: list[str], x: np.ndarray) -> Pca:
