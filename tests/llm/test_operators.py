@@ -415,6 +415,22 @@ def test_automaton_is_edit_distance(noise, term, at, c):
             assert trie.near(w)
 
 
+def test_logistic_does_not_run_away():
+    """Labels that are nearly separated, rare and with wrong ones among them: the likelihood's gradient vanishes."""
+    from tidewright.llm._common import logistic
+
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        y = (r.random(4000) < 0.1).astype(float)
+        hits = np.where((y == 1) & (r.random(4000) > 0.07), r.integers(1, 60, 4000), 0) + (r.random(4000) < 0.002) * 3
+        x = np.column_stack([np.ones(4000), np.log1p(8.8 * hits), np.zeros(4000), np.log1p(100 * hits / (hits + 200.0)), np.log1p(np.minimum(hits, 10)), np.log1p(hits) ** 2])
+        b = logistic(x, y, 1.0)
+        p = 1 / (1 + np.exp(-(x @ b)))
+        penalty = np.array([1e-3, 1, 1, 1, 1, 1])
+        assert np.abs(x.T @ (y - p) - penalty * b).max() < 0.05 and np.abs(b).max() < 100
+        assert ((p >= 0.5) == (hits > 0)).mean() > 0.99
+
+
 def test_toxicity_learns(spark):
     r = np.random.default_rng(0)
     filler = [f"w{i}" for i in range(300)]

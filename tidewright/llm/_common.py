@@ -208,3 +208,32 @@ def doc_word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndar
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 100) -> np.ndarray:
+    """Coefficients of a logistic model, the first column its constant, by Newton steps that are halved until the penalised likelihood rises.
+
+    Whole steps can run away where the labels are nearly separated.
+    """
+    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], float(ridge))
+    penalty[0] = 1e-3
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((np.logaddexp(0.0, z) - y * z).sum() + 0.5 * (penalty * b * b).sum())
+
+    now = loss(beta)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        step = np.linalg.solve((x * w[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
+        size = 1.0
+        while size > 1e-6 and not loss(beta + size * step) < now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        beta = beta + size * step
+        before, now = now, loss(beta)
+        if before - now < 1e-9 * (1 + abs(now)):
+            break
+    return beta

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows
+from ._common import logistic, map_rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)", re.S)
 _REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
@@ -285,15 +285,7 @@ def _logistic(rows: list[tuple], y: np.ndarray, ridge: float = 2.0) -> dict[str,
     for i, r in enumerate(rows):
         for f in r:
             x[i, at[f]] = 1
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-3
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * w[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-6:
-            break
+    beta = logistic(x, y, ridge)
     return {"": float(beta[0]), **{f: float(beta[i]) for f, i in at.items()}}
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dropped, map_rows, mix, powers, saved, small_batches
+from ._common import dropped, logistic, map_rows, mix, powers, saved, small_batches
 
 MAX_ROWS = 12_000
 MAX_TERMS = 2_000
@@ -385,20 +385,6 @@ def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, fl
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        penalty = np.full(len(beta), ridge)
-        penalty[0] = 1e-3
-        step = np.linalg.solve((x * w[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Learn from rows with a 0/1 label; rows without one are left out.
 
@@ -435,7 +421,7 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: st
     got = map_rows(sample.select("_y", "_t"), "y int, x array<double>", make).collect()
     dropped(sample)
     x, y = np.array([r.x for r in got]), np.array([float(r.y) for r in got])
-    return Model(terms, known, _logistic(x, y))
+    return Model(terms, known, logistic(x, y, 1.0))
 
 
 
