@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, media, mixing, ngram_lm, pii, toxicity, warc
+from . import decontaminate, html, jaccard, langid, media, merkle, mixing, ngram_lm, periodic, pii, toxicity, urls, warc
 from ._common import crc_mod, read
 
 
@@ -64,6 +65,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: The fixed rules of the URL filter.
+URL_RULES = "block net/, allow example.net/en/, block example.com/de/, allow org/fr/"
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from pages whose path names a document with a label: of low quality or toxic (block), or neither."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
+    named = F.regexp_extract(urls.path(F.col("url")), "/([0-9]+)", 1).try_cast("bigint")
+    known = pages.select("url", named.alias("doc_id")).join(bad, "doc_id").select("url", F.when(F.col("bad"), urls.BLOCK).otherwise(urls.ALLOW).alias("label"))
+    return urls.judge(pages, urls.parse(URL_RULES), urls.mine(known))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, changed={"text": merkle.tampered(F.col("text"), F.col("doc_id"))})
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(read(spark, sf_dir, "documents"), plant=True)
+
+
 # Columns of these operators that SQL can state by itself.
 
 
@@ -167,5 +190,74 @@ _MEDIA_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(
 SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', m - n)) AS payload_sha256 FROM p"""
 
 
+#: Every token combination of every labelled URL, then the surest that fits.
+_URLS_SQL = r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, P, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, P, 2), '') AS path, coalesce(regexp_extract(url, P, 3), '') AS rest
+  FROM (SELECT *, row_number() OVER () AS rid FROM pages)),
+f AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule, row_number() OVER () AS rid,
+  string_split(regexp_replace(host, '[0-9]+', '#', 'g'), '.') AS h, string_split(PLAIN(path), '/') AS p, string_split(PLAIN(rest), '&') AS q FROM u),
+k AS (SELECT *, list_distinct(list_concat(list_transform(list_filter(h[-1:], lambda x: x <> ''), lambda x: 't:' || x), list_transform(list_filter(flatten(list_transform(h, lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(p, lambda x: x <> ''), lambda x: 'p:' || x), list_transform(list_filter(list_transform(q, lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'q:' || x))) AS t FROM f),
+lab AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+tr AS (SELECT list_sort(t) AS t, CASE WHEN bad THEN 'block' ELSE 'allow' END AS label FROM k JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)),
+pick AS (SELECT label, t, unnest(range(1, CAST(pow(2, len(t)) AS BIGINT))) AS m FROM tr),
+sub AS (SELECT label, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM pick),
+sets AS (SELECT s, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY s) AS among FROM sub GROUP BY s, label),
+rules AS (SELECT row_number() OVER (ORDER BY n / among DESC, n DESC, len(s), s, label = 'allow') AS rank, s, label, n / among AS confidence FROM sets WHERE n >= (SELECT greatest(5, ceil(0.005 * count(*))) FROM tr) AND n / among >= 0.5),
+hit AS (SELECT rid, min(rank) AS rank FROM k JOIN rules ON list_has_all(t, s) WHERE rule IS NULL GROUP BY rid)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END ELSE coalesce(label, 'allow') END AS verdict, array_to_string(s, ' ') AS mined, CAST(confidence AS DOUBLE) AS confidence
+FROM k LEFT JOIN hit USING (rid) LEFT JOIN rules USING (rank)"""
+_URLS_SQL = re.sub(r"PLAIN\((\w+)\)", r"regexp_replace(translate(\1, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '#', 'g')", _URLS_SQL).replace("url, P,", r"url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?',")
+
+
+def _merkle_sql(depth: int = 5) -> str:
+    """Trees as lists of lists, level by level; ``depth`` levels reach 16^5 rows a source."""
+
+    def tree(name: str, k: int) -> str:  # the next level, unless there is one node
+        return f"CASE WHEN len({name}{k}) <= 1 THEN {name}{k} ELSE list_transform(range(0, len({name}{k}), 16), lambda i: sha256(array_to_string({name}{k}[i + 1 : i + 16], ''))) END AS {name}{k + 1}"
+
+    def path(name: str, at: str, k: int, side: str) -> str:  # siblings of place ``at`` at level k
+        a = f"({at} >> {4 * k})"
+        cut = f"{name}{k}[({a} // 16) * 16 + 1 : {a}]" if side == "l" else f"{name}{k}[{a} + 2 : ({a} // 16) * 16 + 16]"
+        return f"CASE WHEN len({name}{k}) <= 1 THEN '' ELSE array_to_string({cut}, '') END"
+
+    fields = lambda t: "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", t)) + "))"
+    out = f"""WITH {_CRC_TABLE},
+d AS (SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents, tab),
+l AS (SELECT doc_id, source, {fields("text")} AS leaf, {fields("other")} AS now FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+s0 AS (SELECT source, list(leaf ORDER BY place) AS a0 FROM p GROUP BY source)"""
+    for k in range(depth):
+        out += f",\ns{k + 1} AS (SELECT *, {tree('a', k)} FROM s{k})"
+    out += f",\nr AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS no FROM s{depth}),\nt0 AS (SELECT list(a{depth}[1] ORDER BY no) AS b0 FROM r)"
+    for k in range(depth):
+        out += f",\nt{k + 1} AS (SELECT *, {tree('b', k)} FROM t{k})"
+    steps = [("a", "place", k) for k in range(depth)] + [("b", "no", k) for k in range(depth)]
+    out += f",\nz0 AS (SELECT p.*, r.* EXCLUDE (source), t{depth}.* FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source, t{depth})"
+    for i, (name, at, k) in enumerate(steps):
+        out += f",\nz{i + 1} AS (SELECT * EXCLUDE (now{', proof' if i else ''}), {'proof ||' if i else ''} {path(name, at, k, 'l')} || {path(name, at, k, 'r')} AS proof, CASE WHEN len({name}{k}) <= 1 THEN now ELSE sha256({path(name, at, k, 'l')} || now || {path(name, at, k, 'r')}) END AS now FROM z{i})"
+    return out + f"\nSELECT doc_id, leaf, a{depth}[1] AS subroot, b{depth}[1] AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = b{depth}[1] AS verified FROM z{len(steps)}"
+
+
+#: Lags with probes that match in a row at every third place or more, then islands of matches at those lags.
+_PERIODIC_SQL = f"""WITH {_CRC_TABLE},
+d0 AS (SELECT doc_id, row_number() OVER () AS rid, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o FROM documents, tab),
+d1 AS (SELECT *, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a, 3 + (h // 10) % 8 AS m FROM d0),
+d AS MATERIALIZED (SELECT doc_id, rid, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END + 1]) END AS w FROM d1),
+lag AS (SELECT rid, n, w, unnest(range(1, n // 4 + 1)) AS q FROM d WHERE n >= 6),
+probe AS (SELECT rid, q, len(list_filter(range(0, n - 3 * q, q), lambda i: w[i + 1] = w[i + q + 1] AND w[i + q + 1] = w[i + 2 * q + 1] AND w[i + 2 * q + 1] = w[i + 3 * q + 1])) AS hits FROM lag),
+same AS (SELECT d.rid, q, unnest(list_filter(range(n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM probe JOIN d USING (rid) WHERE hits > 0),
+island AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM same) GROUP BY rid, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT rid, start, length, min(q) AS period FROM island GROUP BY rid, start, length),
+best AS (SELECT rid, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS said FROM run GROUP BY rid),
+top AS (SELECT rid, start, length, period FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM run) WHERE k = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM run),
+cut AS (SELECT rid, list(i) AS gone FROM gone GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(said, sha256('')) AS runs_sha256,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)), ' ') END) AS collapsed_sha256
+FROM d LEFT JOIN best USING (rid) LEFT JOIN top USING (rid) LEFT JOIN cut USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"mixing_targets": _targets_sql(), "lm_base": _LM_SQL, "pii_base": _PII_SQL, "media_payload": _MEDIA_SQL, "op10_decontaminate": _LEAKS_SQL, "op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
+    return {"op11_urls": _URLS_SQL, "op12_merkle": _merkle_sql(), "op13_periodic": _PERIODIC_SQL, "mixing_targets": _targets_sql(), "lm_base": _LM_SQL, "pii_base": _PII_SQL, "media_payload": _MEDIA_SQL, "op10_decontaminate": _LEAKS_SQL, "op2_warc": _WARC_SQL, "op7_jaccard": _JACCARD_SQL}
