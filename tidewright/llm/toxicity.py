@@ -9,8 +9,9 @@ stands for the word; words known from clean documents are never misspellings.
 A window of words around a hit separates quotation (quote marks, reporting
 verbs) from abuse. A logistic model over the sums gives the score.
 
-Fitting uses a bounded sample: the share of labelled rows, by hash of the id,
-that makes ``max_rows`` of them on average; the lexicon holds at most ``max_terms``
+Fitting uses a bounded sample: the share of labelled rows, by hash of
+the text, that makes ``max_rows`` of them on average (equal texts with one
+label count once, as copies are no further evidence); the lexicon holds at most ``max_terms``
 terms, and as many whole words beside its stems, from at most
 ``MAX_CANDIDATES`` terms that three toxic texts of the sample have.
 
@@ -35,6 +36,8 @@ MAX_ROWS = 12_000
 MAX_TERMS = 2_000
 #: Terms of toxic texts, the most frequent first, that the others are searched for.
 MAX_CANDIDATES = 200_000
+#: The share of chosen terms that may be there by chance.
+FALSE_TERMS = 0.05
 WINDOW = 6
 STEM = range(3, 9)
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…"
@@ -351,20 +354,44 @@ def _like_terms(terms: dict):
     return terms_of
 
 
-def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, float, bool]]:
+def _chance(a: int, b: int, n1: int, n0: int) -> float:
+    """How likely at least ``a`` of a term's ``a + b`` texts are toxic, were they dealt at random (Fisher's exact test)."""
+    size = a + b
+    whole = _choices(n1 + n0, size)
+    one = math.exp(_choices(n1, a) + _choices(n0, b) - whole)
+    total = 0.0
+    for k in range(a, min(size, n1) + 1):
+        total += one
+        if one < 1e-12 * total:
+            break
+        one *= (n1 - k) * (size - k) / ((k + 1) * (n0 - size + k + 1))
+    return min(1.0, total)
+
+
+def _choices(n: int, k: int) -> float:
+    """log of n over k."""
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def _choose(rows: list, n1: int, n0: int, most: int, tests: int = 0) -> dict[str, tuple[bool, float, bool]]:
     """Terms by falling gain; a stem of a chosen term goes, and so does a stem under a chosen stem.
 
+    Of ``rows`` (term, stem, toxic texts, other texts) those are terms whose
+    surplus among toxic texts is no chance: at most ``FALSE_TERMS`` of the
+    chosen are expected to be (Benjamini and Hochberg's step), so that the bar
+    does not outgrow what few labels can show. ``tests`` counts the terms that
+    two toxic texts share, of which ``rows`` are those that three do.
+
     Whole words are sought misspelled; those under a chosen stem stay beside it for that (``most`` of them).
     """
-    found = []
-    # g is chi-squared by chance: over all candidates together one exceeds this in about fifty samples
-    surplus = 8 + 2 * math.log(max(1, len(rows)))
+    tested = []
     for term, stem, a, b in rows:
         lift = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        expected = max(1e-9, (a + b) * n1 / max(1, n1 + n0))
-        g = 2 * (a * math.log(a / expected) - (a - expected))
-        if lift > 1.0 and g > surplus:
-            found.append((a * lift, len(term), term, stem, lift))
+        if lift > 1.0:
+            tested.append((_chance(a, b, n1, n0), a * lift, len(term), term, stem, lift))
+    tested.sort(key=lambda x: (x[0], -x[1], -x[2], x[3]))
+    passed = max((k for k, x in enumerate(tested, 1) if x[0] <= FALSE_TERMS * k / max(tests, len(rows))), default=0)
+    found = [x[1:] for x in tested[:passed]]
     found.sort(key=lambda x: (-x[0], -x[1], x[2]))
     chosen: dict[str, tuple[bool, float, bool]] = {}
     covered: set[str] = set()
@@ -385,15 +412,15 @@ def _choose(rows: list, n1: int, n0: int, most: int) -> dict[str, tuple[bool, fl
     return chosen
 
 
-def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Learn from rows with a 0/1 label; rows without one are left out.
 
     One sample chooses the lexicon and calibrates the score.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
-    total = rows.select("_k").count()
-    share = F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total))))
-    sample = saved(rows.filter(share).select("_y", "_t"), "toxic-sample")
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(text).alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
+    total = rows.select("_k", "_y").distinct().count()
+    share = F.pmod("_k", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total))))
+    sample = saved(rows.filter(share).dropDuplicates(["_k", "_y"]).select("_y", "_t"), "toxic-sample")
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -402,10 +429,13 @@ def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: st
     spark = rows.sparkSession
     # terms of toxic texts first; among the other texts only those are counted
     toxic, clean = sample.filter("_y = 1"), sample.filter("_y = 0")
-    seen = {(r.term, r.stem): r.n for r in _counted(toxic, lambda: _all_terms).filter("n >= 3").orderBy(F.desc("n"), "term", "stem").limit(MAX_CANDIDATES).collect()}
+    shared = saved(_counted(toxic, lambda: _all_terms).filter("n >= 2"), "toxic-terms")
+    tests = shared.count()
+    seen = {(r.term, r.stem): r.n for r in shared.filter("n >= 3").orderBy(F.desc("n"), "term", "stem").limit(MAX_CANDIDATES).collect()}
     able = spark.sparkContext.broadcast((frozenset(w for w, stem in seen if not stem), frozenset(w for w, stem in seen if stem)))
     other = {(r.term, r.stem): r.n for r in _counted(clean, lambda: _some_terms(*able.value)).collect()}
-    terms = _choose([(*k, n, other.get(k, 0)) for k, n in seen.items()], n1, n0, max_terms)
+    terms = _choose([(*k, n, other.get(k, 0)) for k, n in seen.items()], n1, n0, max_terms, tests)
+    dropped(shared)
     held = spark.sparkContext.broadcast(terms)
     known = frozenset(r.term for r in _counted(clean, lambda: _like_terms(held.value)).filter("n >= 2").collect())
     shared = spark.sparkContext.broadcast((terms, known))
