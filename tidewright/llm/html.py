@@ -64,17 +64,23 @@ HINTS = {
     "comment": "comment comments disqus reply replies discussion respond reader readers".split(),
     "notice": "cookie cookies consent gdpr notice alert modal popup overlay newsletter subscribe signup login share social toast paywall".split(),
 }
+#: Words that make a class say how its element is shown, not what it is.
+STATES = {
+    "before": "has no is not with without hide hides hidden show shows sticky fixed enable disable without can js".split(),
+    "after": "open opened closed enabled disabled fixed sticky underlined active inactive set unset on off in out visible hidden shown collapsed expanded page ready loaded left right layout".split(),
+}
 _HINT = {w: k for k, ws in HINTS.items() for w in ws}
 _STRONG = ("comment", "ad", "notice", "nav", "side", "foot", "head", "content")
 
 
 class Node:
-    __slots__ = ("children", "hint", "link", "marks", "own", "parent", "tag", "text", "under")
+    __slots__ = ("children", "hint", "lead", "link", "marks", "own", "parent", "tag", "text", "under")
 
     def __init__(self, tag: str, hint: str, parent: Node | None):
         self.tag, self.hint, self.parent = tag, hint, parent
         self.children: list[Node] = []
         self.text = self.link = self.marks = self.own = 0
+        self.lead = tag in ("h1", "article", "main") or hint == "content"
         self.under = "-" if parent is None else _kind(parent) or parent.under
 
 
@@ -85,16 +91,43 @@ def _kind(n: Node) -> str:
     return n.hint or _UNDER.get(n.tag, "")
 
 
+def _said(word: str) -> set[str]:
+    """What a class word says; nothing where it tells a state (``has-sidebar``, ``comments-open``)."""
+    pieces = [p.lower() for p in PIECES.findall(word)]
+    if len(pieces) > 1 and (pieces[0] in STATES["before"] or pieces[-1] in STATES["after"]):
+        return set()
+    return {_HINT[p] for p in pieces if p in _HINT}
+
+
 def _hint(attrs: str) -> str:
+    """What class, id and role say an element is; nothing where one word says content and another something else."""
     if "=" not in attrs:
         return ""
-    found = set()
+    words = []
     for m in ATTR.finditer(attrs):
         if m.group(1).lower() in ("class", "id", "role", "itemprop", "aria-label"):
-            found.update(_HINT[w] for w in map(str.lower, PIECES.findall(m.group(2))) if w in _HINT)
+            words += [_said(w) for w in m.group(2).strip("\"'").split()]
+    found = set().union(*words) if words else set()
+    if {"content"} in words and any(w and "content" not in w for w in words):
+        return ""
     return next((k for k in _STRONG if k in found), "")
 
 
+def settle(nodes: list[Node]) -> None:
+    """Take back what classes say against elements that hold the article.
+
+    Those are html and body, and elements with at least half of the page's
+    text outside links that have its h1, an article or the like in them.
+    """
+    for n in reversed(nodes[1:]):
+        n.parent.lead |= n.lead
+    half = (nodes[0].text - nodes[0].link) / 2
+    for n in nodes[1:]:
+        if n.hint not in ("", "content") and (n.tag in ("html", "body") or (n.lead and n.text and n.text - n.link >= half)):
+            n.hint = ""
+        n.under = _kind(n.parent) or n.parent.under
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node | None, str, bool]]]:
     """(elements, parents first; runs in page order: (element, text, in a link), or (None, "", False) at a block boundary)."""
     root = Node("#root", "", None)
@@ -196,6 +229,7 @@ def measure(nodes: list[Node], runs: list[tuple[Node | None, str, bool]]) -> Non
         p.text += n.text
         p.link += n.link
         p.marks += n.marks
+    settle(nodes)
 
 
 _INLINE = "inline"
