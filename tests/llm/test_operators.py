@@ -548,7 +548,7 @@ def test_damaged_media_raise_only_value_errors(at, new, cut):
 
 def test_media_boxes_and_damage():
     f = media.write(b"x" * 1000)
-    names = [p[-1] for p, _, _ in media.walk(f)]
+    names = [p[-1] for p, *_ in media.walk(f)]
     assert names[:2] == [b"ftyp", b"moov"] and names[-1] == b"mdat" and b"stsz" in names
     with pytest.raises(ValueError):
         media.read(f[:-10])

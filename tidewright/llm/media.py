@@ -29,6 +29,8 @@ PER_CHUNK = 16
 TIMESCALE = 8000
 #: Boxes whose payload is other boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"udta", b"edts", b"mvex", b"moof", b"traf"))
+#: Boxes within boxes; files nest about ten.
+MAX_DEPTH = 64
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -86,11 +88,17 @@ def write(data: bytes) -> bytes:
     return ftyp + moov(len(ftyp) + size + head) + _box(b"mdat", payload)
 
 
-def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, first byte of the body, byte after it) of every box, parents first."""
-    end = len(data) if end is None else end
-    at = start
-    while at < end:
+def walk(data: bytes | memoryview):
+    """(path, first byte of the box, first byte of its body, byte after it) of every box, parents first.
+
+    Boxes nested deeper than ``MAX_DEPTH`` are damage.
+    """
+    at, open_boxes = 0, [((), len(data))]  # paths and ends
+    while open_boxes:
+        path, end = open_boxes[-1]
+        if at == end:
+            open_boxes.pop()
+            continue
         if end - at < 8:
             raise ValueError(f"a box header at byte {at} is cut short")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -102,10 +110,14 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         stop = end if size == 0 else at + size
         if stop < body or stop > end:
             raise ValueError(f"the box {kind!r} at byte {at} has a wrong size")
-        yield (*path, kind), body, stop
+        yield (*path, kind), at, body, stop
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        at = stop
+            if len(open_boxes) > MAX_DEPTH:
+                raise ValueError(f"the box {kind!r} at byte {at} is nested too deep")
+            open_boxes.append(((*path, kind), stop))
+            at = body
+        else:
+            at = stop
 
 
 def _ints(data, at: int, end: int, fmt: str) -> tuple:
@@ -223,7 +235,7 @@ def tracks(data: bytes) -> list[dict]:
     found: list[_Track] = []
     fragments: list[tuple[int, list[dict]]] = []  # (start of the moof, its trafs)
     extends = []
-    for path, a, b in walk(data):
+    for path, begun, a, b in walk(data):
         kind = path[-1]
         if kind == b"trak":
             found.append(_Track())
@@ -232,7 +244,7 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"trex":
             extends.append(_ints(data, a + 4, b, ">IIIII"))
         elif kind == b"moof":
-            fragments.append((a - 8, []))
+            fragments.append((begun, []))
         elif kind == b"traf":
             fragments[-1][1].append({"runs": []})
         elif path[-2:-1] == (b"traf",) and kind == b"tfhd":
