@@ -1,9 +1,14 @@
 """Personal data with offset-preserving deobfuscation.
 
-Texts are normalised by a chain of transducers - homoglyphs and full-width
-forms to ASCII, zero-width characters removed, spelled digits to digits, at/dot
-disguises to ``@`` and ``.`` - that carry, for every character they write, the
-source span it stands for. Identifiers found in the normalised text map back to
+Texts are normalised by a chain of transducers - character references, homoglyphs
+and compatibility forms to ASCII, zero-width characters removed, spelled digits
+to digits, letters for digits and full stops in card numbers, at/dot disguises
+to ``@`` and ``.`` - that carry, for every character they write, the source span
+it stands for. A bare ``at`` before a domain that is written out is a word in
+most texts: it becomes ``@`` only where the top domain is a known one and a cue
+("mail", "write to") stands before it in the sentence, or the local part has a
+digit or a dot, or it is written AT. A card number with letters or full stops
+is taken where its check digit is right. Identifiers found in the normalised text map back to
 source characters. Spans that the plain patterns find in the source always stay,
 also beside a wider one of the normalised text; the mask takes the wider.
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -36,8 +42,15 @@ HOMOGLYPHS = dict(
 # The spelled digits.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_CHARS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-_GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _CHARS))) + "]")
+# Top domains of addresses after a bare "at".
+TOP = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu ch at be se no dk fi pl pt ie us ca au nz jp in br mx".split())
+# Letters that stand for digits in card numbers.
+LOOKS = {"l": "1", "I": "1", "|": "1", "O": "0", "o": "0"}
+#: Mathematical and circled letters and digits, and what else normal form KC makes one ASCII letter or digit.
+_COMPATIBLE = {c: n for a, b in ((0x2102, 0x2140), (0x24B6, 0x24EA), (0x1D400, 0x1D800)) for c in range(a, b) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and n.isalnum()}
+_CHARS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | _COMPATIBLE
+#: The ranges that hold them, and others that stay as they are.
+_GLYPH = re.compile("[\u0370-\u04ff\u0660-\u0669\u06f0-\u06f9\u2102-\u213f\u24b6-\u24e9\uff01-\uff5e\U0001d400-\U0001d7ff]")
 _NOTHING = re.compile("[​‌‍⁠﻿­]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -54,11 +67,28 @@ _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_ONE}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{_
 _SPELLED_DOTTED = re.compile(rf"(?<![^\W_]){_ONE}(?=\s+(?ai:dot)\s)|(?<=\b(?ai:dot)\s){_ONE}(?![^\W_])")
 _PIECE = re.compile(_ONE)
 _PIECES = re.compile(rf"{_ONE}|[0-9]+")
-_BRACKETED = re.compile(r"[\[({<]\s*((?ai:at|dot))\s*[\])}>]|&#64;|(?ai:&commat;)")
-_PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(\s+(?ai:at)\s+|@|\s+@\s+)(?=[A-Za-z0-9-]+(?:\s+(?ai:dot)\s+|\.)[A-Za-z0-9-])")
+_BRACKETED = re.compile(r"[\[({<]\s*((?ai:at|dot)|[@.])\s*[\])}>]|&#(?:0*64|[xX]0*40);|(?ai:&commat;)|&#(?:0*46|[xX]0*2[eE]);|(?ai:&period;)")
+_REFERENCE = re.compile(r"&#(?:([0-9]{2,7})|[xX]([0-9a-fA-F]{2,6}));")
+#: ``-at-`` and ``_at_``, parted from the words or before a ``-dot-``.
+_SIGNED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+([-_])(?ai:at)\1\s+(?=[A-Za-z0-9-]+(?:\s*[-_](?ai:dot)[-_]\s*|\.)[A-Za-z0-9])|\s*([-_])(?ai:at)\2\s*(?=[A-Za-z0-9]+\s*\2(?ai:dot)\2\s*[A-Za-z0-9]))")
+_SIGNED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s*([-_])(?ai:dot)\1\s*(?=[A-Za-z0-9])")
+_BARE_AT = re.compile(r"\s(?ai:at)\s+(?=[A-Za-z0-9-])")
+_SPACED_AT = re.compile(r"\s?@\s*(?=[A-Za-z0-9-]+(?:\s+(?ai:dot)\s+|\s*\.\s*)[A-Za-z0-9-])")
 _PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9-])\s+(?ai:dot)\s+(?=[A-Za-z0-9-])")
-#: What stands around every disguised at: white space or brackets.
-_AT = re.compile(r"[\s\[({<](?ai:at)[\s\])}>]")
+#: A domain after an ``@`` with white space at its full stops.
+_SPACED = re.compile(r"@[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+")
+_AFTER = re.compile(r"[A-Za-z0-9-]+(?:(\s+(?ai:dot)\s+|\.)[A-Za-z0-9-]+)+")
+# Words that come before an address.
+_CUE = re.compile(r"(?ai:\b(?:e-?mail|mail|mailto|write|contact|reach|address|send|ping|schreib\w*|kontakt|adresse|correo|escrib\w*|contacto|courriel|contactez)\b)")
+# Words that are no first part of a domain.
+_NOT_DOMAIN = frozenset("the a an this that these those each every some any its his her their our your my".split())
+#: What stands around every disguised at: white space, brackets or signs.
+_AT = re.compile(r"[\s\[({<_-](?ai:at)[\s\])}>_-]")
+_SIGN = re.compile(r"[\[({<]\s*\.\s*[\])}>]")
+_LOOKS = re.compile(r"[0-9lIOo|]{4}(?:[\x20-]?[0-9lIOo|]{4}){3}(?![A-Za-z0-9|])")
+_DOTTED_CARD = re.compile(r"[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])")
+#: How far back a cue is looked for.
+CUE_CHARS = 60
 _PLUS = re.compile(r"(?<![^\W_])(?ai:plus)\s+(?=[0-9])")
 
 
@@ -150,6 +180,31 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """Numeric references to ASCII letters, digits and signs, but for at and full stop."""
+    edits = []
+    for m in _REFERENCE.finditer(text):
+        c = int(m.group(1)) if m.group(1) else int(m.group(2), 16)
+        if 0x21 <= c <= 0x7E and c not in (0x2E, 0x40):
+            edits.append((*m.span(), chr(c)))
+    return edits
+
+
+def _cards(text: str) -> list[tuple[int, int, str]]:
+    """Letters for digits, and full stops, in card numbers whose check digit is right."""
+    edits = []
+    for m in _LOOKS.finditer(text):
+        new = "".join(LOOKS.get(c, c) for c in m.group())
+        digits = _NOT_DIGIT.sub("", new)
+        alone = not m.start() or not (text[m.start() - 1].isascii() and text[m.start() - 1].isalnum() or text[m.start() - 1] == "|")
+        if alone and sum(c.isdigit() for c in m.group()) >= 6 and luhn(digits):
+            edits += [(m.start() + i, m.start() + i + 1, b) for i, (a, b) in enumerate(zip(m.group(), new, strict=True)) if a != b]
+    for m in _DOTTED_CARD.finditer(text):
+        if luhn(m.group().replace(".", "")) and (not m.start() or text[m.start() - 1] not in "0123456789."):
+            edits += [(m.start() + i, m.start() + i + 1, "-") for i in (4, 9, 14)]
+    return sorted(edits)
+
+
 def _bracketed(text: str) -> list[tuple[int, int, str]]:
     """Bracketed and encoded at and dot, with the white space around them."""
     edits, done = [], 0
@@ -159,20 +214,74 @@ def _bracketed(text: str) -> list[tuple[int, int, str]]:
             a -= 1
         while b < len(text) and text[b].isspace():
             b += 1
-        edits.append((a, b, "." if (m.group(1) or "at").lower() == "dot" else "@"))
+        said = (m.group(1) or m.group()).lower()
+        edits.append((a, b, "." if said in ("dot", ".", "&period;") or said.lstrip("&#x0") in ("46;", "2e;") else "@"))
         done = b
     return edits
 
 
+def _plain_at(text: str) -> list[tuple[int, int, str]]:
+    """A spaced ``@``, and a bare ``at`` that something speaks for."""
+    edits, done = [], 0
+
+    def taken(a: int, b: int) -> None:
+        nonlocal done
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        if a > done and text[a - 1] in _LOCAL:
+            edits.append((a, b, "@"))
+            done = b
+
+    for m in _BARE_AT.finditer(text):
+        after = _AFTER.match(text, m.end())
+        if after is None or m.start() < done:
+            continue
+        labels = re.split(r"\s+(?ai:dot)\s+|\.", after.group().lower())
+        a = m.start()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        local = _LOCAL_END.search(text, max(0, a - 64), a).group()
+        if after.group(1).strip() != ".":
+            ok = labels[0] not in _NOT_DOMAIN
+        else:
+            ok = labels[-1] in TOP and (m.group().strip() == "AT" or any(c in "0123456789._+" for c in local) or _cued(text, a - len(local)))
+        if ok:
+            taken(a, m.end())
+    bare, edits, done = edits, [], 0
+    if "@" in text:
+        for m in _SPACED_AT.finditer(text):
+            if m.group() != "@" and m.start() >= done:
+                taken(m.start(), m.end())
+    return sorted(bare + edits)
+
+
+def _cued(text: str, at: int) -> bool:
+    """Whether a cue stands before ``at`` in the sentence."""
+    before = text[max(0, at - CUE_CHARS) : at]
+    return bool(_CUE.search(before, max(before.rfind(". "), before.rfind("\n"), before.rfind("? "), before.rfind("! "), 0)))
+
+
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    """White space at the full stops of a domain that ends in a known top domain."""
+    edits = []
+    for m in _SPACED.finditer(text):
+        ends = [p.end() for p in re.finditer(r"\.\s?([A-Za-z]+)(?![A-Za-z0-9-])", m.group()) if p.group(1) in TOP]
+        if ends:
+            edits += [(m.start() + p.start(), m.start() + p.end(), ".") for p in re.finditer(r"\s\.\s?|\.\s", m.group()[: ends[-1]])]
+    return edits
+
+
 def normalised(text: str, gated: bool = True) -> Tape | None:
     """The text through all transducers; None where none of them has anything to do.
 
     Gates skip a transducer where what all its patterns hold is missing; the result is the same without them.
     """
     tape = Tape(text)
+    if not gated or "&#" in text:
+        tape.rewrite(_references(text))
     if not gated or not text.isascii():
-        if not gated or _GLYPH.search(text):
-            tape.text = text.translate(_CHARS)  # one character for one: positions stay
+        if not gated or _GLYPH.search(tape.text):
+            tape.text = tape.text.translate(_CHARS)  # one character for one: positions stay
         tape.rewrite([(*m.span(), "") for m in _NOTHING.finditer(tape.text)])
     low = tape.text.lower() if gated else ""
     dot = not gated or "dot" in low
@@ -180,11 +289,19 @@ def normalised(text: str, gated: bool = True) -> Tape | None:
         tape.rewrite(_spelled(tape.text))
         if dot:
             tape.rewrite([(*m.span(), DIGITS[m.group().lower()]) for m in _SPELLED_DOTTED.finditer(tape.text)])
-    if dot or any(x in low for x in ("@", "&#64;", "&commat;")) or _AT.search(tape.text):
+    if not gated or _DIGIT.search(tape.text):
+        tape.rewrite(_cards(tape.text))
+    if dot or any(x in low for x in ("@", "&#", "&commat;", "&period;")) or _AT.search(tape.text) or _SIGN.search(tape.text):
         tape.rewrite(_bracketed(tape.text))
-        tape.rewrite([(*m.span(1), "@") for m in _PLAIN_AT.finditer(tape.text)])
+        if not gated or "-at-" in low or "_at_" in low:
+            tape.rewrite([(*m.span(), "@") for m in _SIGNED_AT.finditer(tape.text)])
+        if (not gated or "-dot-" in low or "_dot_" in low) and "@" in tape.text:
+            tape.rewrite([(*m.span(), ".") for m in _SIGNED_DOT.finditer(tape.text)])
+        tape.rewrite(_plain_at(tape.text))
     if dot:
         tape.rewrite([(*m.span(), ".") for m in _PLAIN_DOT.finditer(tape.text)])
+    if "@" in tape.text:
+        tape.rewrite(_spaced(tape.text))
     if not gated or "plus" in low:
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     return tape if tape.text != text else None
