@@ -21,7 +21,8 @@ from tidewright.llm._common import read, shared_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; labels are learned from all labelled documents."""
     y = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "toxic").filter("toxic is not null").groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).join(y, F.col("doc_id") == F.col("_id"))
+    model = toxicity.fit(known.select("text", "_h", "toxic"), same="_h")
     return toxicity.keep_clean(docs, model)
 
 

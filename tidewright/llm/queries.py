@@ -33,14 +33,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(_labelled(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fit(_labelled(docs, read(spark, sf_dir, "labels")), same="_h")
     return toxicity.score(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training rows: documents with a label whose fold is not 0."""
     y = labels.select(F.col("doc_id").alias("_id"), "toxic").filter(F.col("toxic").isNotNull() & (crc_mod(F.col("_id"), 5) != 0)).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_h", "toxic")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,12 +412,15 @@ def _choose(rows: list, n1: int, n0: int, most: int, tests: int = 0) -> dict[str
     return chosen
 
 
-def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, same: str | None = None) -> Model:
     """Learn from rows with a 0/1 label; rows without one are left out.
 
+    ``same`` names a column with a hash of the text, where there is one: texts
+    that are not in the sample then need not pass a join with the labels.
+
     One sample chooses the lexicon and calibrates the score.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(text).alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
+    rows = labelled.filter(F.col(label).isNotNull()).select((F.col(same) if same else F.xxhash64(text)).alias("_k"), F.col(label).cast("int").alias("_y"), F.col(text).alias("_t"))
     total = rows.select("_k", "_y").distinct().count()
     share = F.pmod("_k", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total))))
     sample = saved(rows.filter(share).dropDuplicates(["_k", "_y"]).select("_y", "_t"), "toxic-sample")
