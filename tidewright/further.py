@@ -22,6 +22,7 @@ from .functions.basis import Basis, parse_term, term_text
 from .functions.kernels import Correlator
 from .functions.scalar import Pca, ball_columns, logged, scale_columns, truncated_t
 from .operators import design, diagnostics, idemc, plotdata, score, stats, train
+from .operators.saving import new_path
 from .plans.collections import EmulatorSet
 from .plans.emulator import EmulatedMatrix, Emulator, HierarchicalEmulator, ProtoEmulator
 from .plans.targets import Target, convert_ranges
@@ -53,10 +54,6 @@ def quiet(f):
 # ------------------------------------------------------------------ sources and sinks
 
 
-def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-
-
 @query(f"WITH {_POINTS_SQL},\n{_scored_sql('q', 'p')}\nSELECT l_discount, l_tax, round(q_e, 6) AS q_exp, round(q_v, 6) AS q_var, round(p_e, 6) AS p_exp, round(p_v, 6) AS p_var FROM q JOIN p USING (l_discount, l_tax)")
 def model_json(spark, sf_dir):
     """Emulators written as JSON and read again."""
@@ -71,7 +68,7 @@ def model_json(spark, sf_dir):
 @query("SELECT DISTINCT l_discount, l_tax FROM lineitem")
 def points_checkpoint(spark, sf_dir):
     """Points written as CSV and read again."""
-    path = f"{_folder(spark)}/tidewright-points.csv"
+    path = f"{new_path(spark, 'points')}.csv"
     models.checkpoint_points(_points(spark, sf_dir), path)
     return spark.read.option("header", True).schema("l_discount double, l_tax double").csv(path)
 
@@ -433,20 +430,19 @@ def _own_fit() -> list[tuple]:
         _, act, beta, h = best
         cols = list(act) or [0, 1, 2]
         d = np.sqrt(((u[:, None, cols] - u[None, :, cols]) ** 2).sum(-1))
-        far = d + np.where(np.eye(60) > 0, np.inf, 0)
-        nug, top = (1e-10 if len(cols) == 3 else 0.05), None
-        for th in np.linspace(1 / 3, 2.0, 30):
-            th = max(th, far.min(1).max())
+        far = np.sqrt(((u[:, None] - u[None]) ** 2).sum(-1)) + np.where(np.eye(60) > 0, np.inf, 0)
+
+        def likelihood(th, nug, d=d, h=h, y=y):
             a = (1 - nug) * np.exp(-((d / th) ** 2)) + nug * np.eye(60)
-            sign, logdet = np.linalg.slogdet(a)
-            if sign <= 0:
-                continue
             inv = np.linalg.inv(a)
             b = np.linalg.solve(h.T @ inv @ h, h.T @ inv @ y)
             s2 = (y - h @ b) @ inv @ (y - h @ b) / 60
-            ll = -30 * math.log(s2) - logdet / 2
-            if top is None or ll > top[0]:
-                top = (ll, th, math.sqrt(s2))
+            return -30 * math.log(s2) - np.linalg.slogdet(a)[1] / 2, math.sqrt(s2)
+
+        # the best of the grid at the nugget 0.01; then the gap, if it is within the range, and the nugget that stays
+        th = max(np.linspace(1 / 3, 2.0, 30), key=lambda t: likelihood(t, 0.01)[0])
+        th = max(th, far.min(1).max()) if far.min(1).max() < 2.0 else th
+        top = (None, th, likelihood(th, 1e-10 if len(cols) == 3 else 0.05)[1])
         names = ["(Intercept)", *(list(ranges)[i] for i in act)]
         rows.append((name, " ".join(names), round(float(beta[0]), 4), round(float(top[1]), 6), round(max(top[2], 1e-3 * float(y.max() - y.min())) / float(y.std()), 2)))
     return rows

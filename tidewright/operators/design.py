@@ -23,6 +23,7 @@ from ..plans.emulator import Emulator
 from ..plans.targets import Ranges, targets
 from ..sources.generators import lhs, lhs_array
 from .idemc import fuzzy_clusters, implausibility_nth, silhouette
+from .saving import saved
 from .score import default_n, nth_implausible
 from .stats import in_range
 
@@ -88,34 +89,94 @@ def _least_distance(x: np.ndarray) -> float:
     return math.sqrt(max(0.0, float(d.min())))
 
 
+#: Points that one task, or the driver, spreads at once.
+GROUP_ROWS = 100_000
+
+
+def farthest(x: np.ndarray, n: int) -> np.ndarray:
+    """Rows of greedily farthest points: first the one farthest from the origin, then ever the one farthest from those; ties go to the first row."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    pick = [int(np.argmax(np.round((x**2).sum(1), 9)))]
+    near = ((x - x[pick[0]]) ** 2).sum(1)
+    while len(pick) < min(n, len(x)):
+        k = int(np.argmax(np.round(near, 9)))
+        pick.append(k)
+        near = np.minimum(near, ((x - x[k]) ** 2).sum(1))
+    return np.array(pick)
+
+
+def exchanged(x: np.ndarray, pick: np.ndarray, reps: int) -> np.ndarray:
+    """The picked rows after up to ``reps`` exchanges: one of the closest two goes for the row that is farthest from the rest, while the least distance grows."""
+    pick = pick.copy()
+    for _ in range(reps if len(pick) > 1 else 0):
+        d = ((x[pick][:, None] - x[pick][None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        now, best = d.min(), None
+        for out in np.unravel_index(int(np.argmin(d)), d.shape):
+            near = np.full(len(x), np.inf)
+            for k in np.delete(pick, out):
+                near = np.minimum(near, ((x - x[k]) ** 2).sum(1))
+            others = np.delete(np.delete(d, out, 0), out, 1).min() if len(pick) > 2 else np.inf
+            k = int(np.argmax(near))
+            got = min(float(near[k]), others)
+            if got > now * (1 + 1e-12) and (best is None or got > best[0]):
+                best = (got, out, k)
+        if best is None:
+            # pairs as close as the closest remain: exchanges that only lower their number are not sought
+            break
+        pick[best[1]] = best[2]
+    return pick
+
+
+def _spread_out(df: DataFrame, n: int, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(points, scaled points) that hold a good spread of all rows of the table.
+
+    All rows are read: distinct points are dealt by their hash to groups of
+    some ``GROUP_ROWS``, each of which gives 4 n farthest points, until the
+    driver can hold what is left.
+    """
+    d = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna().distinct()
+    d = saved(d, "points")
+    r = d.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    rows = r["n"]
+    mean = np.array([r[f"m{i}"] or 0.0 for i in range(len(names))])
+    scale = np.array([r[f"s{i}"] or 1.0 for i in range(len(names))])
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[names].sort_values(names)
+        return pdf.iloc[np.sort(farthest((pdf.to_numpy(float) - mean) / scale, 4 * n))]
+
+    schema = ", ".join(f"`{c}` double" for c in names)
+    while rows > GROUP_ROWS:
+        groups = math.ceil(rows / GROUP_ROWS)
+        d = saved(d.groupBy(F.pmod(F.xxhash64(F.lit(rows), *names), F.lit(groups)).alias("_g")).applyInPandas(some, schema), "points")
+        before, rows = rows, d.count()
+        if rows > before // 2:
+            raise ValueError(f"{n} points are too many to spread over groups of {GROUP_ROWS}")
+    x = d.toPandas().sort_values(names).to_numpy(float)
+    return x, (x - mean) / scale
+
+
+def farthest_points(df: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """(step, inputs): ``n`` points, each the farthest (over scaled inputs) from those before, the first from the mean; of all rows where there are up to GROUP_ROWS points."""
+    x, scaled = _spread_out(df, n, names)
+    pick = farthest(scaled, n)
+    rows = [(k, *map(float, x[i])) for k, i in enumerate(pick)]
+    return df.sparkSession.createDataFrame(rows, "step int, " + ", ".join(f"`{c}` double" for c in names))
+
+
 def maximin_sample(df: DataFrame, n: int, names: list[str], reps: int = 1000, seed: int = 0) -> DataFrame:
-    """The same with the repetitions dealt to tasks.
+    """``n`` rows of the table whose least distance (over scaled inputs) is large: farthest points of all rows, then up to ``reps`` exchanges.
 
-    Subsets are random, so of a table with more than MAX_KEPT rows they are
-    drawn from a random share of it that has about half as many.
+    ``seed`` deals the random subsets that the result is at least as good as.
     """
-    spark = df.sparkSession
-    rows = df.count()
-    if rows > MAX_KEPT:
-        df = df.filter(F.pmod(F.xxhash64(F.lit(seed), *names, F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(int((1 << 30) * MAX_KEPT / 2 / rows)))
-    x = _kept(df, names)
-    scaled = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
-    shared = spark.sparkContext.broadcast(scaled)
-
-    def run(parts):
-        for pdf in parts:
-            best = []
-            for r in pdf["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                pick = rng.choice(len(shared.value), min(n, len(shared.value)), replace=False)
-                best.append((_least_distance(shared.value[pick]), int(r)))
-            if best:
-                d, r = max(best)
-                yield pd.DataFrame({"d": [d], "rep": [r]})
-
-    r = spark.range(reps).mapInPandas(run, "d double, rep long").agg(F.max(F.struct("d", (-F.col("rep")).alias("rep"))).alias("b")).first().b
-    pick = np.random.default_rng([seed, -r.rep]).choice(len(x), min(n, len(x)), replace=False)
-    return spark.createDataFrame(pd.DataFrame(x[np.sort(pick)], columns=names))
+    x, scaled = _spread_out(df, n, names)
+    pick = exchanged(scaled, farthest(scaled, n), reps)
+    other = maximin(scaled, n, min(reps, 200), seed)
+    if _least_distance(scaled[other]) > _least_distance(scaled[pick]):
+        pick = exchanged(scaled, other, reps)
+    return df.sparkSession.createDataFrame(pd.DataFrame(x[np.sort(pick)], columns=names), ", ".join(f"`{c}` double" for c in names))
 
 
 def _kept(df: DataFrame, names: list[str]) -> np.ndarray:

@@ -159,36 +159,74 @@ def overlap_hits(df: DataFrame, inputs: list[str], z: dict, n_sigma: float = 3.0
     return per.select(*inputs, *cols)
 
 
+#: Indicators in one packed word.
+WORD_BITS = 62
+
+
+def joint_counts(df: DataFrame, indicators: list[str], most: int = 3) -> tuple[int, dict[frozenset, int]]:
+    """(rows, counts): in how many rows all of a set of 0/1 columns are 1, for every set of up to ``most`` (at most three).
+
+    Rows are folded to packed words of their indicators and counted; each task
+    adds up the sets of its words by matrix products, so that what is shuffled
+    is a number for each set and task.
+    """
+    k = len(indicators)
+    words = []
+    for at in range(0, k, WORD_BITS):
+        part = [F.shiftleft(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), i) for i, c in enumerate(indicators[at : at + WORD_BITS])]
+        word = part[0]
+        for p in part[1:]:
+            word = word.bitwiseOR(p)
+        words.append(word.alias(f"w{at // WORD_BITS}"))
+    packed = df.select(*words)
+    packed = packed.groupBy(*packed.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(parts):
+        import pandas as pd
+
+        total = np.zeros((k + 1, k + 1, k + 1))  # index k: no column
+        for pdf in parts:
+            w = pdf.iloc[:, :-1].to_numpy(np.int64)
+            bits = np.ones((len(pdf), k + 1))
+            for i in range(k):
+                bits[:, i] = (w[:, i // WORD_BITS] >> (i % WORD_BITS)) & 1
+            n = pdf["n"].to_numpy(float)
+            for c in range(k + 1) if most > 2 else [k]:
+                total[c] += (bits * (n * bits[:, c])[:, None]).T @ bits
+        rows = [(a, b, c, int(total[c, a, b])) for c in (range(k + 1) if most > 2 else [k]) for a in range(k + 1) for b in range(k + 1) if (a < b or a == b == k) and (b < c or c == b == k or c == k) and total[c, a, b]]
+        yield pd.DataFrame(rows, columns=["a", "b", "c", "n"])
+
+    got = packed.mapInPandas(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    by = {frozenset(indicators[i] for i in (r.a, r.b, r.c) if i < k): r.n for r in got}
+    return by.pop(frozenset(), 0), by
+
+
 def preflight(df: DataFrame, z: dict, threshold: float = 0.95) -> dict:
     """Which outputs never hit (and whether from below or above), and strongly correlated hit indicators.
 
-    One aggregation; rows with a null output are left out.
+    Two aggregations, whatever the number of outputs; rows with a null output are left out.
     """
     ts = targets(z)
     d = hits(df.dropna(subset=list(ts)), ts)
     outs = list(ts)
     pairs = list(itertools.combinations(outs, 2))
     triples = [(a, b, c) for a, b in pairs for c in outs if c not in (a, b)]
-    # indicators are 0 or 1: joint counts of up to three of them give every correlation
-    sets = [s for k in (1, 2, 3) for s in itertools.combinations(outs, k)]
-    together = lambda s: F.least(*(f"hit_{o}" for o in s)) if len(s) > 1 else F.col(f"hit_{s[0]}")
-    aggs = [F.count("*").alias("n")] + [F.max(f"hit_{o}").alias(f"h_{o}") for o in outs] + [F.min(o).alias(f"lo_{o}") for o in outs] + [F.max(o).alias(f"hi_{o}") for o in outs]
-    r = d.agg(*aggs, *(F.sum(together(s)).alias(f"s_{i}") for i, s in enumerate(sets))).first()
-    joint = {frozenset(s): r[f"s_{i}"] or 0 for i, s in enumerate(sets)}
+    r = d.agg(*(F.min(o).alias(f"lo_{o}") for o in outs), *(F.max(o).alias(f"hi_{o}") for o in outs)).first()
+    n, found = joint_counts(d, [f"hit_{o}" for o in outs])
+    joint = lambda s: found.get(frozenset(f"hit_{o}" for o in s), 0)
 
     def correlation(a: set, b: set) -> float | None:
-        n, x, y, both = r.n, joint[frozenset(a)], joint[frozenset(b)], joint[frozenset(a | b)]
+        x, y, both = joint(a), joint(b), joint(a | b)
         spread = x * (n - x) * y * (n - y)
         return (n * both - x * y) / spread**0.5 if spread else None
 
-    found = {"c": [correlation({a}, {b}) for a, b in pairs], "t": [correlation({a, b}, {c}) for a, b, c in triples]}
     missed = {}
     for o, t in ts.items():
-        if not r[f"h_{o}"]:
+        if not joint({o}):
             lo, hi = t.bounds(3.0)
             missed[o] = "under" if r[f"hi_{o}"] is not None and r[f"hi_{o}"] < lo else "over" if r[f"lo_{o}"] is not None and r[f"lo_{o}"] > hi else "straddles"
-    strong = lambda k, xs: [(*x, v) for x, v in zip(xs, found[k], strict=True) if v is not None and abs(v) > threshold]
-    return {"missed": missed, "pairs": strong("c", pairs), "triples": strong("t", triples), "ok": not missed}
+    strong = lambda xs: [(*x, v) for x in xs if (v := correlation(set(x[:-1]), {x[-1]})) is not None and abs(v) > threshold]
+    return {"missed": missed, "pairs": strong(pairs), "triples": strong(triples), "ok": not missed}
 
 
 def prin_vars(df: DataFrame, outputs: list[str], max_vars: int | None = None, var_cut: float = 0.95) -> list[tuple[str, float]]:

@@ -168,50 +168,150 @@ def hyper_grid(corr_name: str, order: int, nsteps: int, theta_ranges: dict | Non
     raise ValueError(f"{corr_name} needs theta_ranges")
 
 
+#: The nugget that grid points are compared with where none is given.
+GRID_NUGGET = 0.01
+#: The largest nugget that refinement may choose.
+MAX_NUGGET = 0.2
+
+
 def estimate_hyper(spark, jobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], corr_name: str, order: int, nsteps: int = 30, nugget: float | None = None, theta_ranges: dict | None = None) -> list[tuple[Correlator, float]]:
     """For each (x, y, h, active) the correlator with the best profile likelihood, and sigma.
 
     The grid points of all outputs are rows of a table, scored in parallel and
-    folded by the best of each output.
+    folded by the best of each output. Then its length scale is raised to the
+    largest gap between neighbouring points, where that is below the range's
+    top, and the nugget is set: next to none where all inputs are active.
     """
     grid = hyper_grid(corr_name, order, nsteps, theta_ranges)
-    rows = []
-    for j, (x, _, _, active) in enumerate(jobs):
-        d = np.sqrt(((x[:, None, active] - x[None, :, active]) ** 2).sum(-1))
-        np.fill_diagonal(d, np.inf)
-        gap = float(d.min(axis=1).max()) if len(x) > 1 else 0.0
-        nug = nugget if nugget is not None else (1e-10 if active.all() else 0.05)
-        for k, hp in enumerate(grid):
-            rows.append((j, k, max(hp["theta"], gap) if corr_name in REGISTRY and not theta_ranges else hp["theta"], {a: b for a, b in hp.items() if a != "theta"}, nug))
-    names = [p for p in REGISTRY[corr_name].params if p != "theta"]
+    names = [p for p in REGISTRY[corr_name].params if p != "theta"] if corr_name in REGISTRY else [p for p in grid[0] if p != "theta"]
+    nug = GRID_NUGGET if nugget is None else max(nugget, 1e-10)
+    rows = [(j, k, hp["theta"], {a: b for a, b in hp.items() if a != "theta"}, nug) for j in range(len(jobs)) for k, hp in enumerate(grid)]
     if sum(len(jobs[j][0]) ** 3 for j, *_ in rows) <= DRIVER_WORK:  # sooner done than sent
         best: dict[int, tuple] = {}
         for j, _, th, more, nug in rows:
             x, y, h, active = jobs[j]
             c = Correlator.of(corr_name, nug, theta=float(th), **more)
-            ll, sigma = _profile(x, y, h, c, active)
+            ll, _ = _profile(x, y, h, c, active)
             if j not in best or ll > best[j][0]:
-                best[j] = (ll, c, sigma)
-        return [best[j][1:] for j in range(len(jobs))]
-    shared = Shipped(spark, jobs)
+                best[j] = (ll, c)
+        chosen = [best[j][1] for j in range(len(jobs))]
+    else:
+        shared = Shipped(spark, jobs)
+
+        def run(parts):
+            for pdf in parts:
+                out, jobs = [], shared.value
+                for j, th, nug, *more in pdf[["job", "theta", "nugget", *names]].itertuples(index=False):
+                    x, y, h, active = jobs[int(j)]
+                    c = Correlator.of(corr_name, nug, theta=float(th), **dict(zip(names, map(float, more), strict=True)))
+                    out.append(_profile(x, y, h, c, active)[0])
+                yield pdf.assign(loglik=out)
+
+        fields = "job int, step int, theta double, nugget double" + "".join(f", {p} double" for p in names)
+        table = spark.createDataFrame([(j, k, th, nug, *(more[p] for p in names)) for j, k, th, more, nug in rows], fields).repartition(min(len(rows), max(2, spark.sparkContext.defaultParallelism)))
+        top = table.mapInPandas(run, fields + ", loglik double").groupBy("job").agg(F.max(F.struct("loglik", (-F.col("step")).alias("_s"), "theta", "nugget", *names)).alias("b")).collect()
+        by = {r.job: Correlator.of(corr_name, r.b.nugget, theta=r.b.theta, **{p: r.b[p] for p in names}) for r in top}
+        chosen = [by[j] for j in range(len(jobs))]
+    limit = max(hp["theta"] for hp in grid)
+    return [_settled(job, c, limit, nugget) for job, c in zip(jobs, chosen, strict=True)]
+
+
+def _settled(job: tuple, c: Correlator, limit: float, nugget: float | None) -> tuple[Correlator, float]:
+    x, y, h, active = job
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    gap = float(d.min(axis=1).max()) if len(x) > 1 else 0.0
+    theta = float(c.params["theta"])
+    theta = max(theta, gap) if gap < limit else theta
+    nug = (1e-10 if active.all() else 0.05) if nugget is None else max(nugget, 1e-10)
+    c = replace(c.set_hyper_p(**(c.params | {"theta": theta})), nugget=nug)
+    return c, _profile(x, y, h, c, active)[1]
+
+
+def climb(f: Callable, at: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float]:
+    """A maximum of ``f`` within bounds, uphill from ``at``: quasi-Newton steps on the parameters that no bound holds, cut back until ``f`` rises."""
+    width = high - low
+    z, top = (np.clip(at, low, high) - low) / width, None  # parameters on 0..1
+    value = lambda z: f(low + z * width)
+    top = value(z)
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        g = np.empty(len(z))
+        for i in range(len(z)):
+            a, b = z.copy(), z.copy()
+            a[i], b[i] = max(0.0, z[i] - 1e-5), min(1.0, z[i] + 1e-5)
+            g[i] = (value(b) - value(a)) / (b[i] - a[i])
+        return np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0)
+
+    g, curve = slope(z), None
+    for _ in range(steps):
+        free = ~(((z <= 0) & (g <= 0)) | ((z >= 1) & (g >= 0)))
+        if not free.any() or np.abs(g[free]).max() < 1e-7 * max(1.0, abs(top)):
+            break
+        inverse = np.eye(len(z)) * (0.1 / max(np.abs(g[free]).max(), 1e-300)) if curve is None else curve
+        step = np.zeros(len(z))
+        step[free] = inverse[np.ix_(free, free)] @ g[free]
+        if step @ g <= 0:
+            step, curve = np.where(free, g, 0.0) * (0.1 / max(np.abs(g[free]).max(), 1e-300)), None
+            inverse = np.eye(len(z)) * (0.1 / max(np.abs(g[free]).max(), 1e-300))
+        size, new, got = 1.0, z, top
+        while size > 1e-10:
+            new = np.clip(z + size * step, 0.0, 1.0)
+            got = value(new)
+            if got > top:
+                break
+            size /= 2
+        if not got > top:
+            if curve is None:
+                break
+            curve = None  # once more, straight uphill
+            continue
+        after = slope(new)
+        s, y = new - z, g - after
+        if s @ y > 1e-14:
+            rho, one = 1 / (s @ y), np.eye(len(z))
+            curve = (one - rho * np.outer(s, y)) @ inverse @ (one - rho * np.outer(y, s)) + rho * np.outer(s, s)
+        gain, z, top, g = got - top, new, got, after
+        if gain < 1e-12 * max(1.0, abs(top)):
+            break
+    return low + z * width, top
+
+
+def refine_hyper(spark, jobs: list[tuple], starts: list[Correlator], order: int) -> list[tuple[Correlator, float]]:
+    """Length scale, further scale parameters and nugget together, uphill in the profile likelihood from each start; never below it.
+
+    Each output's climb is a row of one job.
+    """
+    bounds = {"theta": theta_range(order), "alpha": (0.1, 2.0), "gamma": (0.1, 2.0)}
+
+    def refined(job: tuple, c: Correlator) -> tuple[Correlator, float]:
+        x, y, h, active = job
+        names = [n for n in c.params if n in bounds and np.ndim(c.params[n]) == 0]
+        low, high = (np.array([*(bounds[n][i] for n in names), (1e-10, MAX_NUGGET)[i]]) for i in (0, 1))
+        at = np.array([*(float(c.params[n]) for n in names), c.nugget])
+        low, high = np.minimum(low, at), np.maximum(high, at)
+        made = lambda v: replace(c.set_hyper_p(**(c.params | dict(zip(names, map(float, v[:-1]), strict=True)))), nugget=float(v[-1]))
+        # the likelihood may have several tops: climbs start from the grid's best and from a few other scales and nuggets
+        first = [at, *(np.array([t, *at[1:-1], g]) for t in np.linspace(low[0], high[0], 4) for g in (0.001, 0.03, 0.12))] if names[:1] == ["theta"] else [at]
+        best, _ = max((climb(lambda v: _profile(x, y, h, made(v), active)[0], v, low, high) for v in first), key=lambda b: b[1])
+        return made(best), _profile(x, y, h, made(best), active)[1]
+
+    if sum(len(j[0]) ** 3 for j in jobs) * 3000 <= DRIVER_WORK:
+        return [refined(j, c) for j, c in zip(jobs, starts, strict=True)]
+    shared = Shipped(spark, (jobs, starts))
 
     def run(parts):
         for pdf in parts:
-            out, jobs = [], shared.value
-            for j, th, nug, *more in pdf[["job", "theta", "nugget", *names]].itertuples(index=False):
-                x, y, h, active = jobs[int(j)]
-                c = Correlator.of(corr_name, nug, theta=float(th), **dict(zip(names, map(float, more), strict=True)))
-                out.append(_profile(x, y, h, c, active))
-            yield pdf.assign(loglik=[v[0] for v in out], sigma=[v[1] for v in out])
-
-    fields = "job int, step int, theta double, nugget double" + "".join(f", {p} double" for p in names)
-    table = spark.createDataFrame([(j, k, th, nug, *(more[p] for p in names)) for j, k, th, more, nug in rows], fields).repartition(min(len(rows), max(2, spark.sparkContext.defaultParallelism)))
-    best = table.mapInPandas(run, fields + ", loglik double, sigma double").groupBy("job").agg(F.max(F.struct("loglik", (-F.col("step")).alias("_s"), "theta", "nugget", "sigma", *names)).alias("b")).collect()
-    out = {}
-    for r in best:
-        b = r.b
-        out[r.job] = (Correlator.of(corr_name, b.nugget, theta=b.theta, **{p: b[p] for p in names}), b.sigma)
-    return [out[j] for j in range(len(jobs))]
+            jobs, starts = shared.value
+            out = []
+            for k in pdf["job"]:
+                c, sigma = refined(jobs[int(k)], starts[int(k)])
+                out.append((int(k), c.nugget, sigma, {n: float(v) for n, v in c.params.items()}))
+            yield pd.DataFrame(out, columns=["job", "nugget", "sigma", "params"])
+
+    rows = spark.range(len(jobs)).withColumnRenamed("id", "job").repartition(len(jobs)).mapInPandas(run, "job long, nugget double, sigma double, params map<string, double>").collect()
+    by = {r.job: (replace(starts[r.job].set_hyper_p(**r.params), nugget=r.nugget), r.sigma) for r in rows}
+    return [by[k] for k in range(len(jobs))]
 
 
 def refine_theta(job: tuple, c: Correlator, bounds: tuple[float, float], steps: int = 40) -> tuple[Correlator, float]:
@@ -264,7 +364,7 @@ def train(
 ) -> dict[str, Emulator]:
     """Emulators of deterministic outputs; replicated points are trained on their means, with the replicate variance in the internal discrepancy.
 
-    With ``refine`` the grid's best length scale is refined between its neighbours.
+    With ``refine`` the kernel's parameters and the nugget are refined together, uphill from the grid's best.
     """
     ranges = convert_ranges(ranges)
     names, spark = list(ranges), df.sparkSession
@@ -304,9 +404,7 @@ def train(
     if open_:
         got = estimate_hyper(spark, [jobs[k] for k in open_], corr_name, order, nsteps, None, theta_ranges)
         if refine and not theta_ranges:
-            lo, hi = theta_range(order)
-            gap = (hi - lo) / max(1, nsteps - 1)
-            got = [refine_theta(jobs[k], c, (max(lo / 2, c.params["theta"] - gap), c.params["theta"] + gap)) for k, (c, _) in zip(open_, got, strict=True)]
+            got = refine_hyper(spark, [jobs[k] for k in open_], [c for c, _ in got], order)
         found = dict(zip((outputs[k] for k in open_), got, strict=True))
     out = {}
     for k, o in enumerate(outputs):

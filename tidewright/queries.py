@@ -607,4 +607,4 @@ def oracle_sql() -> dict[str, str]:
     return ORACLE | {k: f() for k, f in LATE.items()}
 
 
-from . import further  # noqa: E402, F401  registers its queries
+from . import further, spaces  # noqa: E402, F401  register their queries
