@@ -15,6 +15,15 @@ scan; the rest are joined with the test seeds, and the hits fold to diagonals
 (text, item, shift). Around each the tokens of both are compared, once for each
 distinct text.
 
+Seeds that more than ``HOT_ITEMS`` items share (stock phrases) would give a
+candidate for every such item and every text with the phrase. They are not
+joined: around each, whole windows of item and text are hashed instead, with
+every choice of two positions left out, so that equal hashes are windows that
+agree as asked for. Windows of ``WINDOW`` tokens serve where the two overlap by
+so many; shorter overlaps (a text's edge against an item's, a whole short item,
+a whole short text) have windows of their own. So candidates follow the items
+found, not the square of a phrase's spread, and nothing is missed.
+
 Defined results: null and empty texts hold nothing, null and empty items match
 nothing; repeated rows and repeated ids fold to one row for each (doc_id,
 item_id); extra columns are ignored.
@@ -32,6 +41,8 @@ SPAN = 10
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 5, 6))
 WINDOW = 13
 MATCH = 0.8
+#: Items that may share a seed that is joined as it is.
+HOT_ITEMS = 8
 #: Rows of a table that is broadcast.
 MAX_BROADCAST = 500_000
 #: Bits of the bitmap for each test seed, and at most: 2^28 are 32 MB.
@@ -76,21 +87,83 @@ def _hits(d: DataFrame, bench: DataFrame) -> DataFrame:
     masks = (*MASKS, *(tuple(range(n)) for n in short))
     own = [*(F.when(F.size("ih") >= SPAN, F.col(f"s{i}")) for i in range(len(MASKS))), *(F.when(F.size("ih") == n, F.col(f"s{i}")) for i, n in enumerate(short, len(MASKS)))]
     some = lambda cols: F.explode(F.filter(F.array(*cols), lambda s: s.isNotNull())).alias("k")
-    test = saved(seeds(bench, "ih", masks, "item_id", "ih").select("item_id", F.col("p").alias("ip"), some(own)), "seeds")
+    whole = F.when(F.size("ih") < SPAN, True).alias("whole")
+    test = saved(seeds(bench, "ih", masks, "item_id", "ih").select("item_id", F.col("p").alias("ip"), whole, some(own)), "seeds")
     total = test.count()
+    hot = saved(test.filter("whole is null").groupBy("k").agg(F.countDistinct("item_id").alias("n")).filter(F.col("n") > HOT_ITEMS).select("k"), "hot-seeds")
+    many = hot.limit(1).count() > 0
     bits, power = _bitmap(test.select("k"), total)
-    inside = lambda s: F.getbit(F.get(bits.scalar(), F.shiftrightunsigned(s, 64 - power + 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
+    inside = _inside(bits, power)
     w = seeds(d.select("th", _once(tokens(F.col("text")), "dh")), "dh", masks, "th")
     w = w.select("th", "p", *(F.when(inside(F.col(f"s{i}")), F.col(f"s{i}")).alias(f"s{i}") for i in range(len(masks))))
     w = w.filter(F.coalesce(*(f"s{i}" for i in range(len(masks)))).isNotNull()).select("th", "p", some([f"s{i}" for i in range(len(masks))]))
-    met = w.join(F.broadcast(test) if total <= MAX_BROADCAST else test, "k")
-    fold = met.groupBy("th", "item_id", (F.col("p") - F.col("ip")).alias("shift")).agg(F.min("ip").alias("lo"), F.max("ip").alias("hi"))
+    w = saved(w, "seen") if many else w
+    cold = test.join(F.broadcast(hot) if total <= MAX_BROADCAST else hot, "k", "left_anti") if many else test
+    met = w.join(F.broadcast(cold) if total <= MAX_BROADCAST else cold, "k").select("th", "item_id", (F.col("p") - F.col("ip")).alias("shift"), "ip")
+    if many:
+        met = met.unionByName(_window_hits(d, bench, w, test, hot))
+    fold = met.groupBy("th", "item_id", "shift").agg(F.min("ip").alias("lo"), F.max("ip").alias("hi"))
     out = saved(fold, "hits")
-    for t in (test, bits):
+    for t in (test, bits, hot, *([w] if many else [])):
         dropped(t)
     return out
 
 
+def _inside(bits: DataFrame, power: int):
+    """Whether a seed's bit is set."""
+    return lambda s: F.getbit(F.get(bits.scalar(), F.shiftrightunsigned(s, 64 - power + 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
+
+
+def _starts(p: str, n: Column, size: int) -> Column:
+    """The first positions of windows of ``size`` of ``n`` tokens that may hold a seed at one of the positions ``p``."""
+    least = max(0, size - min(m[-1] for m in MASKS) - 1)
+    near = F.flatten(F.transform(p, lambda x: F.sequence(x - least, x)))
+    return F.array_distinct(F.filter(near, lambda s: (s >= 0) & (s <= n - size)))
+
+
+def _windows(h: str, plans: list[tuple[str, int, Column, Column]], *keep: str):
+    """For each plan (tag, size, starts, condition) the windows of ``h``: ``keep``, the position ``p``, and ``k``, a hash for each choice of two positions left out."""
+
+    def some(tag: str, size: int, starts: Column, ok: Column) -> Column:
+        return F.when(ok, F.transform(starts, lambda s: F.struct(s.cast("int").alias("p"), F.lit(tag).alias("tag"), F.slice(h, s + 1, size).alias("t")))).otherwise(F.array())
+
+    parts = [some(*plan) for plan in plans]
+
+    def of(df: DataFrame) -> DataFrame:
+        w = df.select(*keep, F.explode(F.concat(*parts)).alias("w")).select(*keep, "w.p", "w.tag", F.transform("w.t", lambda t, i: F.xxhash64(i, t)).alias("m"))
+        w = w.select(*keep, "p", "tag", _once(F.col("m"), "m")).withColumn("all", F.aggregate("m", F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(x)))
+        place = F.sequence(F.lit(0), F.size("m") - 1)
+        pairs = F.flatten(F.transform(place, lambda i: F.transform(F.filter(place, lambda j: j > i), lambda j: F.xxhash64(F.col("all").bitwiseXOR(F.get("m", i)).bitwiseXOR(F.get("m", j)), i, j, F.col("tag")))))
+        return w.select(*keep, "p", F.explode(pairs).alias("k"))
+
+    return of
+
+
+def _window_hits(d: DataFrame, bench: DataFrame, seen: DataFrame, test: DataFrame, hot: DataFrame) -> DataFrame:
+    """th, item_id, shift, ip: windows around hot seeds in which item and text agree but for two tokens."""
+    sizes = range(SPAN, WINDOW)  # of shorter overlaps; all of them, and WINDOW, allow two tokens to differ
+    mine = test.join(hot, "k", "left_semi").groupBy("item_id").agg(F.collect_set("ip").alias("ps"))
+    items = bench.join(mine, "item_id").select("item_id", "ih", "ps", F.size("ih").alias("n"))
+    n, always = F.col("n"), F.lit(True)
+    one = lambda c: F.array(c.cast("int"))
+    plans = [("F", WINDOW, _starts("ps", n, WINDOW), n >= WINDOW)]
+    for size in sizes:
+        plans += [(f"S{size}", size, one(n - size), n >= size), (f"E{size}", size, one(F.lit(0)), n >= size), (f"W{size}", size, one(F.lit(0)), n == size), (f"D{size}", size, _starts("ps", n, size), always)]
+    keys = saved(_windows("ih", plans, "item_id")(items).withColumnRenamed("p", "ip"), "window-keys")
+    total = keys.count()
+    bits, power = _bitmap(keys.select("k"), total)
+    at = saved(seen.join(F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot, "k", "left_semi").groupBy("th").agg(F.collect_set("p").alias("ps")), "hot-texts")
+    few = at.count() <= MAX_BROADCAST
+    text = d.join(F.broadcast(at.select("th")) if few else at.select("th"), "th", "left_semi").groupBy("th").agg(F.max("text").alias("text"))
+    texts = text.join(at, "th").select("th", "ps", _once(tokens(F.col("text")), "dh")).withColumn("n", F.size("dh"))
+    plans = [("F", WINDOW, _starts("ps", n, WINDOW), n >= WINDOW)]
+    for size in sizes:
+        plans += [(f"S{size}", size, one(F.lit(0)), n >= size), (f"E{size}", size, one(n - size), n >= size), (f"W{size}", size, _starts("ps", n, size), always), (f"D{size}", size, one(F.lit(0)), n == size)]
+    seen_keys = _windows("dh", plans, "th")(texts).filter(_inside(bits, power)(F.col("k")))
+    met = seen_keys.join(F.broadcast(keys) if total <= MAX_BROADCAST else keys, "k")
+    return met.select("th", "item_id", (F.col("p") - F.col("ip")).alias("shift"), "ip").distinct()
+
+
 def _some(df: DataFrame) -> DataFrame:
     """A table of distinct rows without texts, broadcast where it is small."""
     t = saved(df.distinct(), "keys")
