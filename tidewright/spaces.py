@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .functions.kernels import Correlator
-from .operators import cells, design, stats, tiles
+from .operators import cells, design, score, stats, tiles, train
 from .queries import _GRID, _POINTS_SQL, _VAL, EMS, INPUTS, LATE, _em, _kernel_sql, _points, _validation, query, table
 
 # ------------------------------------------------------------------ cells
@@ -162,3 +162,40 @@ def joint_hits(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select(*(F.expr(f"CASE WHEN {v} THEN 1 ELSE 0 END").alias(k) for k, v in _HITS.items()))
     _, n = stats.joint_counts(d, list(_HITS))
     return spark.createDataFrame([(" ".join(s), n.get(frozenset(s), 0)) for s in _SETS], "hits string, n long")
+
+
+# ------------------------------------------------------------------ a trained emulator, on a table
+
+
+def _trained_sql() -> str:
+    """Least squares for the line; for each length scale of the grid a Cholesky factor, row by row, and the profile likelihood; then the mean between the points."""
+    forward = lambda v: f"list_reduce(range(1, CAST(len(rows) AS BIGINT) + 1), lambda w, j: list_append(w, ({v}[j] - coalesce(list_sum(list_transform(list_zip(w, rows[j][1 : j - 1]), lambda x: x[1] * x[2])), 0)) / rows[j][j]), CAST([] AS DOUBLE[]))"
+    dot = lambda a, b: f"coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2])), 0)"
+
+    def factor(name: str, grid: str, nugget: float, y: str) -> str:
+        return f"""{name}c AS MATERIALIZED (SELECT t, q.i, list({1 - nugget!r} * exp(-(p.u - q.u) * (p.u - q.u) / (t * t)) + CASE WHEN p.i = q.i THEN {nugget!r} ELSE 0 END ORDER BY p.i) AS v FROM {grid}, n p, n q WHERE p.i <= q.i GROUP BY t, q.i),
+{name} AS (SELECT t, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[][]) AS rows, CAST([] AS DOUBLE[]) AS zy, CAST([] AS DOUBLE[]) AS z1, CAST([] AS DOUBLE[]) AS zu, CAST(0 AS DOUBLE) AS half FROM {grid}
+  UNION ALL SELECT t, i, list_append(rows, list_append(w, d)), list_append(zy, (y - {dot('w', 'zy')}) / d), list_append(z1, (1 - {dot('w', 'z1')}) / d), list_append(zu, (u - {dot('w', 'zu')}) / d), half + ln(d)
+  FROM (SELECT t, i, y, u, rows, zy, z1, zu, half, w, sqrt(v[i] - {dot('w', 'w')}) AS d FROM (
+    SELECT f.t, n.i, {y} AS y, n.u, rows, zy, z1, zu, half, c.v, {forward('c.v')} AS w FROM {name} f JOIN n ON n.i = f.i + 1 JOIN {name}c c ON c.i = n.i AND c.t = f.t, line)))"""
+
+    return f"""WITH RECURSIVE n AS (SELECT (s - 25.5) / 24.5 AS u, y, row_number() OVER (ORDER BY s) AS i FROM (SELECT CAST(p_size AS DOUBLE) AS s, avg(p_retailprice) + 10 * p_size AS y FROM part GROUP BY p_size)),
+line AS (SELECT regr_intercept(y, u) AS b0, regr_slope(y, u) AS b1, count(*) AS m FROM n), grid AS (SELECT 1.0 / 3 + (2.0 - 1.0 / 3) * k / 29 AS t FROM range(30) AS r(k)),
+{factor('f', 'grid', 0.01, 'n.y')},
+l AS (SELECT t, -(m / 2.0) * ln((yy - (y1 * (y1 * uu - yu * u1) + yu * (yu * ii - y1 * u1)) / (ii * uu - u1 * u1)) / m) - half AS ll FROM (
+  SELECT t, m, half, {dot('zy', 'zy')} AS yy, {dot('zy', 'z1')} AS y1, {dot('zy', 'zu')} AS yu, {dot('z1', 'z1')} AS ii, {dot('zu', 'zu')} AS uu, {dot('z1', 'zu')} AS u1 FROM f JOIN line ON f.i = m)),
+one AS (SELECT t FROM l ORDER BY ll DESC LIMIT 1),
+{factor('g', 'one', 0.05, 'n.y - b0 - b1 * n.u')},
+k AS (SELECT x.i, x.u + 0.5 / 24.5 AS u, list(0.95 * exp(-(x.u + 0.5 / 24.5 - n.u) * (x.u + 0.5 / 24.5 - n.u) / (t * t)) ORDER BY n.i) AS v FROM n x, n, one GROUP BY x.i, x.u)
+SELECT '(Intercept) p_size' AS terms, round(b0, 4) AS intercept, round(b1, 4) AS slope, round(t, 6) AS theta, CAST(round(u * 24.5 + 25.5, 1) AS DOUBLE) AS p_size, round(b0 + b1 * u + {dot('w', 'zy')}, 3) AS e
+FROM (SELECT k.u, t, b0, b1, zy, {forward('k.v')} AS w FROM k, g JOIN line ON g.i = m)"""
+
+
+@query(_trained_sql())
+def trained_on_parts(spark, sf_dir):
+    """An emulator of mean prices by size, trained on the table: its terms, line, length scale, and its mean half-way between the sizes."""
+    d = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("double").alias("p_size")).agg((F.avg("p_retailprice") + 10 * F.first("p_size")).alias("y"))
+    em = train.emulator_from_data(d, ["y"], {"p_size": (1.0, 50.0)}, order=1, check_ranges=False, priors={"y": train.Priors(nugget=0.05)})["y"]
+    got = score.score(d.select((F.col("p_size") + 0.5).alias("p_size")), [em])
+    fixed = {"terms": " ".join(em.basis.text()), "intercept": round(float(em.beta_mu[0]), 4), "slope": round(float(em.beta_mu[1]), 4), "theta": round(float(em.corr.params["theta"]), 6)}
+    return got.select(*(F.lit(v).alias(k) for k, v in fixed.items()), "p_size", F.round("y_exp", 3).alias("e"))
