@@ -912,8 +912,9 @@ def test_sql(spark, sf, name):
     want, got = c.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, sf).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    a, b = (d[cols].sort_values(cols).reset_index(drop=True).astype(str).replace({"<NA>": "nan", "None": "nan"}) for d in (got, want))
-    assert (a == b).all().all()
+    a, b = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
+    for c in cols:  # a null long is a float in one of them
+        assert len(a) == len(b) and ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
 def test_registered():
