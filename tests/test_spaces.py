@@ -141,6 +141,13 @@ def test_tiles_take_empty_tables_and_nulls(spark, runs):
     assert tiles.uncorrelated_errors(more, em, "id", 16).count() == 70
 
 
+def test_driver_takes_few_points(runs, monkeypatch):
+    monkeypatch.setattr(diagnostics, "MAX_WHOLE", 50)
+    for f in (diagnostics.summary_diag, diagnostics.individual_errors):
+        with pytest.raises(ValueError, match="tiles"):
+            f(engine.EMS["r"], runs.toPandas())
+
+
 # ------------------------------------------------------------------ joint hits
 
 

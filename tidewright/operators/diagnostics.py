@@ -108,9 +108,19 @@ def standard_errors(em, z, validation):
     return failing(get_diagnostic(em, validation, "se"), "se", z)
 
 
+#: Points whose whole covariance the driver holds; ``tiles`` has errors and distances of more.
+MAX_WHOLE = 5_000
+
+
+def _few(validation: pd.DataFrame) -> None:
+    if len(validation) > MAX_WHOLE:
+        raise ValueError(f"more than {MAX_WHOLE} points: tiles.uncorrelated_errors and tiles.mahalanobis take tables of any size")
+
+
 def summary_diag(em: Emulator, validation: pd.DataFrame) -> dict:
     """Whether the sum of squared standardised errors and the Mahalanobis distance are within three deviations of their mean."""
     _real(em, "summary_diag")
+    _few(validation)
     x, y = validation[em.inputs].to_numpy(float), validation[em.name].to_numpy(float)
     e, c = em.get_exp(x), em.get_cov(x)
     m, n, q = len(x), 0 if em.x is None else len(em.x), len(em.basis.terms)
@@ -151,6 +161,7 @@ def pivoted_cholesky(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def individual_errors(em: Emulator, validation: pd.DataFrame, errtype: str = "normal") -> pd.DataFrame:
     """Standardised errors: normal, eigen, chol or cholpivot."""
     _real(em, "individual_errors")
+    _few(validation)
     x, y = validation[em.inputs].to_numpy(float), validation[em.name].to_numpy(float)
     c = em.get_cov(x) + 1e-12 * np.eye(len(x))
     r = y - em.get_exp(x)
