@@ -23,6 +23,7 @@ from ..plans.emulator import Emulator
 from ..plans.targets import Ranges, targets
 from ..sources.generators import lhs, lhs_array
 from .idemc import fuzzy_clusters, implausibility_nth, silhouette
+from .lines import walked
 from .saving import saved
 from .score import default_n, nth_implausible
 from .stats import in_range
@@ -466,9 +467,7 @@ def line_points(spark: SparkSession, x: np.ndarray, names: list[str], n_lines: i
     a, b = longest_pairs(x, n_lines, rng)
     rows = [(i, *map(float, a[i]), *map(float, b[i])) for i in range(len(a))]
     ends = spark.createDataFrame(rows, "line int, " + ", ".join(f"`{p}{n}` double" for p in ("a_", "b_") for n in names))
-    s = (F.col("step") - F.lit(ppl / 4)) / F.lit(ppl / 2)
-    walk = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(ppl))))
-    return walk.select("line", "step", *((F.col(f"a_{n}") + (F.col(f"b_{n}") - F.col(f"a_{n}")) * s).alias(n) for n in names))
+    return walked(ends, names, ppl)
 
 
 def boundary(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .functions.kernels import Correlator
-from .operators import cells, design, score, stats, tiles, train
+from .operators import cells, clusters, design, lines, score, stats, tiles, train
 from .queries import _GRID, _POINTS_SQL, _VAL, EMS, INPUTS, LATE, _em, _kernel_sql, _points, _validation, query, table
 
 # ------------------------------------------------------------------ cells
@@ -88,6 +88,58 @@ def farthest_parts(spark, sf_dir):
     return design.farthest_points(p, 12, ["p_size", "p_retailprice"])
 
 
+# ------------------------------------------------------------------ long lines
+
+_LINES_SQL = f"{_PART_SQL}, f AS (SELECT x, y, min(k) AS k FROM q GROUP BY x, y), l AS (SELECT a.k AS p1, b.k AS p2, {{d}} AS d, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM f a JOIN f b ON a.k < b.k ORDER BY d DESC, p1, p2 LIMIT {{k}})"
+_D_XY = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+
+
+@query(f"WITH {_LINES_SQL.format(d=_D_XY, k=50)} SELECT p1, p2, round(d, 6) AS d FROM l")
+def longest_lines(spark, sf_dir):
+    """The fifty longest lines between parts, by pairs of boxes whose bounds reach them."""
+    d = lines.longest(_parts(spark, sf_dir), _PARTS, 50, "p_partkey")
+    return d.select(F.col("key").alias("p1"), F.col("other").alias("p2"), F.round("dist", 6).alias("d"))
+
+
+@query(f"WITH {_LINES_SQL.format(d=_D_XY, k=20)}, s AS (SELECT step, (step - 12.5) / 25.0 AS w FROM range(51) AS r(step)) SELECT p1 || ' ' || p2 AS line, CAST(step AS INTEGER) AS step, round(x1 + (x2 - x1) * w, 6) + 0.0 AS size, round(y1 + (y2 - y1) * w, 6) + 0.0 AS price FROM l, s")
+def line_walks(spark, sf_dir):
+    """Points along the twenty longest lines between parts, past both ends."""
+    d = lines.along_longest(_parts(spark, sf_dir), _PARTS, 20, 50, "p_partkey")
+    return d.select("line", "step", *((F.round(c, 6) + 0.0).alias(c) for c in _PARTS))
+
+
+# ------------------------------------------------------------------ fuzzy groups
+
+
+def _groups_sql(k: int, steps: int) -> str:
+    """Starting rows, then steps of memberships and centres, one common table each."""
+    sq = lambda j, m: f"((p.z1 - {j}.z1) * (p.z1 - {j}.z1) + (p.z2 - {j}.z2) * (p.z2 - {j}.z2) + (1 + {m}.qb - 2 * coalesce(sb.s, 0)) / 2 + (1 + {m}.qt - 2 * coalesce(st.s, 0)) / 2) / 4"
+
+    def centres(i: int, u: str) -> str:
+        return f"""u{i} AS MATERIALIZED ({u}), w{i} AS (SELECT j, sum(u * u) AS w FROM u{i} GROUP BY j),
+sb{i} AS MATERIALIZED (SELECT j, b, sum(u * u) / any_value(w) AS s FROM u{i} JOIN p USING (k) JOIN w{i} USING (j) GROUP BY j, b), st{i} AS MATERIALIZED (SELECT j, t, sum(u * u) / any_value(w) AS s FROM u{i} JOIN p USING (k) JOIN w{i} USING (j) GROUP BY j, t),
+m{i} AS MATERIALIZED (SELECT j, sum(u * u * z1) / sum(u * u) AS z1, sum(u * u * z2) / sum(u * u) AS z2, (SELECT sum(s * s) FROM sb{i} s WHERE s.j = u{i}.j) AS qb, (SELECT sum(s * s) FROM st{i} s WHERE s.j = u{i}.j) AS qt FROM u{i} JOIN p USING (k) GROUP BY j),
+d{i} AS MATERIALIZED (SELECT p.k, m.j, {sq('m', 'm')} AS d FROM p CROSS JOIN m{i} m LEFT JOIN sb{i} sb ON sb.j = m.j AND sb.b = p.b LEFT JOIN st{i} st ON st.j = m.j AND st.t = p.t)"""
+
+    out = ["p AS MATERIALIZED (SELECT p_partkey AS k, p_size / CAST((SELECT max(p_size) - min(p_size) FROM part) AS DOUBLE) AS z1, p_retailprice / (SELECT max(p_retailprice) - min(p_retailprice) FROM part) AS z2, p_brand AS b, p_type AS t FROM part)"]
+    out.append(centres(0, "SELECT k, 0 AS j, 1.0 AS u FROM p"))
+    for i in range(1, k + 1):
+        out.append(f"r{i} AS MATERIALIZED (SELECT k FROM d{i - 1} GROUP BY k ORDER BY round(min(d), 9) DESC, k LIMIT 1)")
+        out.append(centres(i, " UNION ALL ".join(f"SELECT k, {j} AS j, 1.0 AS u FROM r{j + 1}" for j in range(i))))
+    for i in range(k + 1, k + steps + 1):
+        out.append(centres(i, f"SELECT k, j, (1 / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)) OVER (PARTITION BY k) AS u FROM d{i - 1}"))
+    last = f"(SELECT k, j, (1 / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)) OVER (PARTITION BY k) AS u FROM d{k + steps})"
+    return "WITH " + ",\n".join(out) + "\nSELECT k AS p_partkey, " + ", ".join(f"round(max(CASE WHEN j = {j} THEN u END), 5) AS u{j}" for j in range(k)) + f" FROM {last} GROUP BY k"
+
+
+@query(_groups_sql(3, 4))
+def part_groups(spark, sf_dir):
+    """Memberships of parts in three fuzzy groups by size, price, brand and type, after four steps."""
+    p = table(spark, sf_dir, "part")
+    g = clusters.fuzzy_groups(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], 3, "p_partkey", steps=4, tolerance=0.0)
+    return g.assigned(p).select("p_partkey", *(F.round(f"u{j}", 5).alias(f"u{j}") for j in range(3)))
+
+
 # ------------------------------------------------------------------ tiles
 
 
