@@ -22,6 +22,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
+#: Bytes after which a batch ends.
+BATCH_BYTES = 8 << 20
 #: Text bytes handled at once by the vectorised operators.
 CHUNK_BYTES = 900_000
 
@@ -81,13 +83,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """From now on texts of any length pass to Python in small pieces; a session that asks for less keeps its value."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors. Texts go smaller as ``zstd``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
     small_batches(spark)
@@ -95,7 +98,7 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")  # the table is whole once it is written: its shuffle files may go
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ until one misses; all bits of an entry lie in one 64-bit word, so a probe is one
 access. The filter is built in blocks, one for each range of n-gram hashes, from
 counts merged in that range, with ``BITS`` bits for each entry at any corpus
 size. Blocks of together at most ``MAX_FILTER_BYTES`` are broadcast; beyond that
-the n-grams of the texts travel to the blocks and their levels back.
+no block leaves the task that holds it: the n-grams of chunks of texts travel to
+the blocks, and one byte for each comes back to meet its chunk's texts.
 
 A word's probability interpolates c(prev, word)/c(prev) with
 (c(word)+1)/(N+V+1), all from probes; the weights depend on the level of
@@ -29,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed
+from ._common import _arrow_schema, doc_word_hashes, dropped, map_rows, mix, saved, signed
 
 _U = np.uint64
 END, START = _U(0x0E0D5E17A11CE5ED), _U(0x57A27000000000B5)
 BITS, PROBES = 11, 4
-MAX_FILTER_BYTES = 512 << 20
+MAX_FILTER_BYTES = 16 << 20
 MAX_COMMON = 500_000
 FLUSH = 1 << 19
+#: Text bytes of a chunk that asks the blocks together.
+ASK_TEXT = 3 << 20
 #: Ranges of n-gram hashes hold so much text each, more where they would be more than MANY_RANGES, but never over MOST_TEXT.
 RANGE_TEXT, MOST_TEXT, MANY_RANGES = 8 << 20, 32 << 20, 1 << 13
 GRID = np.array([0.001, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995])
@@ -324,64 +327,91 @@ def _runs(batches):
         yield rows
 
 
-def _probed(part: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
-    """``part`` (chunk, rid, seq) with levels in place of ``seq``, (rid, wl, pl), read where the blocks are.
+def _asked(texts: list[str | None], places: bool = True):
+    """(sorted distinct n-gram keys, places in them of the tokens' words, of their pairs, lengths of the texts with their ends) of a chunk; keys alone without ``places``."""
+    seqs, prevs, sizes = [], [], []
+    for _, _, seq, starts, prev in sequences(texts):
+        seqs.append(seq)
+        prevs.append(prev)
+        sizes.append(np.diff(np.append(starts, len(seq))))
+    seq = np.concatenate(seqs)
+    if not places:
+        return np.unique(np.concatenate([word_key(np.unique(seq)), pair_key(np.concatenate(prevs), seq)]))
+    words, back = np.unique(seq, return_inverse=True)
+    keys, place = np.unique(np.concatenate([word_key(words), pair_key(np.concatenate(prevs), seq)]), return_inverse=True)
+    return keys, place[: len(words)][back], place[len(words) :], np.concatenate(sizes)
 
-    Each chunk sends its n-grams, each once, to the ranges' blocks, and gets their levels back.
+
+_TOLD = "n_tokens long, known long, base double"
+
+
+def _probed(part: DataFrame, merged: DataFrame, ranges: int, kind: str) -> DataFrame:
+    """Rows of ``part`` (chunk, rid, doc_id, learns, n_tokens, known, base, text) with the levels (wl, pl) of their texts, read where the blocks are.
+
+    The rows of a chunk that stand together send their n-grams, each once and in
+    order, to the ranges' blocks; their levels come back in that order and meet
+    the texts, which work out the same order again. ``first`` names such a run.
     """
     shift = _U(64 - (ranges.bit_length() - 1))
 
-    def pairs(seq):
-        prev = np.empty_like(seq)
-        prev[1:], prev[0] = seq[:-1], START
-        return pair_key(prev, seq)
-
     def ask(batches):
         for rows in _runs(batches):
-            seqs = [np.frombuffer(r[1], np.uint64) for r in rows]
-            keys = np.unique(np.concatenate([word_key(np.unique(np.concatenate(seqs))), *map(pairs, seqs)]))
+            keys = _asked([r[2] for r in rows], False)
             cut = np.searchsorted((keys >> shift).astype(np.int64), np.arange(ranges + 1))
             some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[0][0]] * len(some), pa.int64()), pa.array([keys[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.nulls(len(some), pa.int64())], ["range", "chunk", "data", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([v] * len(some), pa.int64()) for v in rows[0][:2]), pa.array([keys[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.nulls(len(some), pa.int64())], ["range", "chunk", "first", "data", "bits"])
 
     def answer(batches):
         now, block = None, None
         for b in batches:
             out = []
-            for r, chunk, data, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r, chunk, first, data, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bits is not None:
                     now, block = r, Filter(data, np.array([bits])).open()
                     continue
                 keys = np.frombuffer(data, np.uint64)
                 q = block.read(keys) if r == now else np.zeros(len(keys), np.int64)
-                out.append((chunk, data, q.astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["chunk", "keys", "levels"])
+                out.append((chunk, first, r, q.astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["chunk", "first", "range", "levels"])
+
+    names = ["rid", "doc_id", "learns", "n_tokens", "known", "base"]
 
     def tell(batches):
-        now, held, keys, levels = None, [], None, None
-        for b in batches:
-            out = []
-            for chunk, rid, data, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if chunk != now:
-                    now, held, keys = chunk, [], None
-                if rid is None:
-                    held.append((data, got))
-                    continue
-                if keys is None:
-                    keys, first = np.unique(np.frombuffer(b"".join(k for k, _ in held), np.uint64), return_index=True)
-                    levels, held = np.frombuffer(b"".join(q for _, q in held), np.uint8)[first], []
-                seq = np.frombuffer(data, np.uint64)
-                out.append((rid, *(levels[np.searchsorted(keys, k)].tobytes() for k in (word_key(seq), pairs(seq)))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["rid", "wl", "pl"])
-
-    blocks = merged.filter("bits > 0").select("range", F.lit(None).cast("long").alias("chunk"), F.col("block").alias("data"), "bits")
-    asked = part.select("chunk", "seq").mapInArrow(ask, "range int, chunk long, data binary, bits long")
-    dealt = blocks.unionByName(asked).repartition(min(ranges, 20_000), "range").sortWithinPartitions("range", F.col("bits").isNull())
-    levels = saved(dealt.mapInArrow(answer, "chunk long, keys binary, levels binary"), "levels")
-    both = levels.select("chunk", F.lit(None).cast("long").alias("rid"), F.col("keys").alias("data"), "levels").unionByName(part.select("chunk", "rid", F.col("seq").alias("data"), F.lit(None).cast("binary").alias("levels")))
-    told = saved(both.repartition(min(ranges, 20_000), "chunk").sortWithinPartitions("chunk", "rid").mapInArrow(tell, "rid long, wl binary, pl binary"), "told")
+        for rows in _runs(batches):
+            levels: dict[int, list[bytes]] = {}
+            texts = []
+            for _, first, got, *row in rows:
+                if got is not None:
+                    levels.setdefault(first, []).append(got)
+                else:
+                    texts.append(row)
+            firsts, at = [*levels, None], 0
+            for first, after in zip(firsts, firsts[1:]):
+                run = texts[at : next((i for i in range(at, len(texts)) if texts[i][0] == after), len(texts))]
+                at += len(run)
+                _, words, pairs, sizes = _asked([r[-1] for r in run])
+                q = np.frombuffer(b"".join(levels[first]), np.uint8)
+                cut = np.cumsum([0, *sizes.tolist()])
+                w, p = q[words], q[pairs]
+                yield [*zip(*(r[:-1] for r in run)), [w[a:b].tobytes() for a, b in zip(cut, cut[1:])], [p[a:b].tobytes() for a, b in zip(cut, cut[1:])]]
+
+    schema = f"rid long, doc_id {kind}, learns boolean, {_TOLD}, wl binary, pl binary"
+    fields = _arrow_schema(schema)
+
+    def told(batches):
+        for cols in tell(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t.type) for v, t in zip(cols, fields, strict=True)], schema=fields)
+
+    n = min(ranges, 20_000)
+    blocks = merged.filter("bits > 0").select("range", *(F.lit(None).cast("long").alias(c) for c in ("chunk", "first")), F.col("block").alias("data"), "bits")
+    asked = part.select("chunk", "rid", "text").mapInArrow(ask, "range int, chunk long, first long, data binary, bits long")
+    dealt = blocks.unionByName(asked).repartition(n, "range").sortWithinPartitions("range", F.col("bits").isNull())
+    levels = saved(dealt.mapInArrow(answer, "chunk long, first long, range int, levels binary"), "levels")
+    both = levels.unionByName(part.select("chunk", F.col("rid").alias("first"), *names, "text"), allowMissingColumns=True)
+    both = both.repartition(n, "chunk").sortWithinPartitions("chunk", F.col("levels").isNull(), "first", "range")
+    out = saved(both.select("chunk", "first", "levels", *names, "text").mapInArrow(told, schema), "told")
     dropped(levels)
-    return told
+    return out
 
 
 def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,17 +440,22 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
             flt.open()
         log_c = np.log10(cs + 1.0)
         unit = float(np.log10(n + v + 1))
+        chunk, size = None, 0
 
         def f(cols):
+            nonlocal chunk, size
             out = [[] for _ in range(9)]
             for at, to, seq, starts, prev in sequences(cols[3]):
+                if chunk is None or size >= ASK_TEXT:
+                    chunk, size = cols[0][at], 0
+                size += sum(len(t or "") + 1 for t in cols[3][at:to])
                 words, back = np.unique(seq, return_inverse=True)
                 spot = np.minimum(np.searchsorted(hs, words), max(0, len(hs) - 1))
                 found = hs[spot] == words if len(hs) else np.zeros(len(words), bool)
                 gain = np.where(found, log_c[spot] if len(hs) else 0.0, 0.0)[back]
                 known = found[back]
                 sizes = np.diff(np.append(starts, len(seq)))
-                out[0] += [cols[0][at]] * (to - at)
+                out[0] += [chunk] * (to - at)
                 out[1] += sizes.tolist()
                 out[2] += np.add.reduceat(known.astype(np.int64), starts).tolist()
                 out[3] += (np.add.reduceat(gain, starts) - sizes * unit).tolist()
@@ -434,16 +469,15 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
                     out[5].append(c.tolist())
                     out[6].append(word[a : a + k].tobytes() if flt else None)
                     out[7].append(both[a : a + k].tobytes() if flt else None)
-                    out[8].append(None if flt else seq[a : a + k].tobytes())
+                out[8] += [None] * (to - at) if flt else cols[3][at:to]
             return [*cols[:3], *out]
 
         return f
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(in_training, F.lit(False)).alias("learns"), F.col(text))
-    part = saved(map_rows(rows, f"rid long, doc_id {kind}, learns boolean, chunk long, n_tokens long, known long, base double, h array<long>, k array<int>, wl binary, pl binary, seq binary", make), "scores")
-    levels = part.select("rid", "wl", "pl") if whole else _probed(part, merged, ranges)
-    of = part.filter("learns").select("rid", "wl", "pl") if whole else levels.join(part.filter("learns").select("rid"), "rid")
-    model = Model(n, v, _weights(of, n, v) if n else np.zeros(len(LEVELS) + 1))
+    part = saved(map_rows(rows, f"rid long, doc_id {kind}, learns boolean, chunk long, n_tokens long, known long, base double, h array<long>, k array<int>, wl binary, pl binary, text string", make), "scores", "zstd")
+    levels = part if whole else _probed(part, merged, ranges, kind)
+    model = Model(n, v, _weights(levels.filter("learns"), n, v) if n else np.zeros(len(LEVELS) + 1))
 
     def finish():
         def f(cols):
@@ -452,8 +486,7 @@ def score(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str =
 
         return f
 
-    head = part.select("rid", "doc_id", "n_tokens", "known", "base", *(("wl", "pl") if whole else ()))
-    scored = map_rows(head if whole else head.join(levels, "rid"), f"rid long, doc_id {kind}, n_tokens long, known long, base double, score double", finish)
+    scored = map_rows(levels.select("rid", "doc_id", "n_tokens", "known", "base", "wl", "pl"), f"rid long, doc_id {kind}, n_tokens long, known long, base double, score double", finish)
     rest = part.select("rid", F.inline(F.arrays_zip("h", "k"))).join(words, "h")
     more = rest.groupBy("rid").agg(F.sum("k").alias("k2"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("g"))
     out = scored.join(more, "rid", "left")
