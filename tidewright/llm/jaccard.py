@@ -17,7 +17,7 @@ joined. Equal sets are one node.
   smaller one, or by the excess of an unlinked one: a second, exact prefix join
   on differences. So no group's pairs are enumerated and no link is lost.
 * Candidate texts are brought to their hub (in shares, if it has many) and the
-  similarity is computed from the shingles.
+  similarity is computed from the shingles, in rounds of bounded size.
 
 Links are folded to components. Shingles whose counter is above ``COLD`` are
 grouped by a pre-aggregation and a join that Spark splits where it is skewed;
@@ -44,6 +44,8 @@ SLICES = 64
 GROUP = 32
 RANGES = 32
 SHARE = 400
+#: Pairs are verified in rounds that move half the nodes' texts each, or so many.
+ROUND = 20_000
 #: Shingles whose counter is above go by aggregation and join; the others' groups are windows, no larger than this.
 COLD = 5_000
 _U = np.uint64
@@ -190,6 +192,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     return placed.mapInArrow(run, "a long, b long, linked boolean, m int, m_b int, delta array<long>")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: int, n: int, num: int, den: int, linked: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """``_verify`` in rounds, and the saved tables: shuffled texts of one round are gone before the next, so disk does not follow the pairs a text has."""
+    pairs = saved(pairs, "pairs")
+    rounds = max(1, -(-2 * pairs.count() // max(nodes, ROUND)))
+    parts = []
+    for i in range(rounds):
+        got = _verify(pairs.filter(F.pmod(F.xxhash64("b"), F.lit(rounds)) == i), texts, n, num, den)
+        parts.append(saved(got.filter("linked").select("a", "b") if linked else got, "verified"))
+    dropped(pairs)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, parts
+
+
 def _delta_pairs(done: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members of one large group, not both linked to its hub, whose differences to the hub may overlap enough."""
     d = done.filter("delta is not null").withColumn("k", F.size("delta"))
@@ -257,11 +274,12 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     # texts of nodes that share a shingle with another; an id may stand for several texts, the key tells them apart
     want = light.select("key", F.col("doc_id").alias("_id"))
     fetched = d.join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
-    texts = saved(_own_text(fetched, n), "texts")
+    texts = saved(_own_text(fetched, n), "texts", "zstd")
     stars = groups.filter("key != hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.max(F.col("cnt") > GROUP).alias("big"), F.first("m").alias("m"), F.first("hub_m").alias("hub_m"))
     near = F.least("m", "hub_m") * den >= F.greatest("m", "hub_m") * num
     small = _suffix(stars.filter(~F.col("big") & near).select("a", "b", "big"), light, num, den)
-    done = saved(_verify(stars.filter("big").select("a", "b", "big").unionByName(small), texts, n, num, den), "stars")
+    size = light.count()
+    done, stars_saved = _verified(stars.filter("big").select("a", "b", "big").unionByName(small), texts, size, n, num, den)
     links = done.filter("linked").select("a", "b")
     comp = saved(components(links), "components")
     rest = _suffix(_small_pairs(groups, num, den).unionByName(_delta_pairs(done, num, den)).distinct(), light, num, den)
@@ -269,7 +287,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     rest = rest.join(roots.toDF("a", "_ra"), "a", "left").join(roots.toDF("b", "_rb"), "b", "left")
     rest = rest.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
     rest = rest.join(done.select(F.greatest("a", "b").alias("_x"), F.least("a", "b").alias("_y")).distinct(), (F.greatest("a", "b") == F.col("_x")) & (F.least("a", "b") == F.col("_y")), "left_anti")
-    more = saved(_verify(rest.select("a", "b", F.lit(False).alias("big")), texts, n, num, den).filter("linked").select("a", "b"), "links")
+    more, more_saved = _verified(rest.select("a", "b", F.lit(False).alias("big")), texts, size, n, num, den, linked=True)
     if not more.isEmpty():
         first = comp.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         comp, before = saved(components(first.unionByName(more)), "components"), comp
@@ -280,7 +298,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     least = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("g"))
     named = rooted.join(least, "root", "left").select("key", F.coalesce("g.low", "low").alias("name"), F.coalesce("g.key", "key").alias("lead"))
     named = saved(named, "named")
-    for t in (groups, light, texts, done, more, comp):
+    for t in (groups, light, texts, *stars_saved, *more_saved, comp):
         dropped(t)
     return rows, named
 
