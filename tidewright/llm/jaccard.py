@@ -8,15 +8,17 @@ joined. Equal sets are one node.
 
 * Members of a shingle's group are compared to its hub, the member with the
   most common shingles; groups of more than ``GROUP`` members go no further
-  than that, smaller ones also give their pairs, less those that length,
-  position or suffix filter (bounds on the symmetric difference from counts of
-  hashed ranges) rule out, and those already connected.
+  than that, smaller ones also give their pairs, less those that length or position
+  rule out, those already connected, and those whose sketches (counts of hashed
+  ranges, two to four shingles each, so they grow with the set) differ by more
+  than a linked pair can.
 * In a larger group a member's difference to the hub (its added, then its
   missing shingles) is a set itself. Two members that are not both linked to
   the hub can link only if their differences overlap by more than half the
   smaller one, or by the excess of an unlinked one: a second, exact prefix join
   on differences. So no group's pairs are enumerated and no link is lost.
-* Candidate texts are brought to their hub (in shares, if it has many) and the
+* Only the texts of the pairs that are left are read again, through a bitmap of
+  their ids. They are brought to their hub (in shares, if it has many) and the
   similarity is computed from the shingles, in rounds of bounded size.
 
 Links are folded to components. Shingles whose counter is above ``COLD`` are
@@ -33,18 +35,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed, small_batches
+from .decontaminate import _bitmap, _inside
 from .graph import components
 
 SKETCH_BITS = 19
 SLICES = 64
 GROUP = 32
-RANGES = 32
+#: A sketch has from 2^5 to 2^14 ranges.
+RANGE_BITS = (5, 14)
 SHARE = 400
-#: Pairs are verified in rounds that move half the nodes' texts each, or so many.
+#: Pairs are verified in rounds that move half the needed nodes' texts each, or so many; sketches in rounds of two pairs a document.
 ROUND = 20_000
 #: Shingles whose counter is above go by aggregation and join; the others' groups are windows, no larger than this.
 COLD = 5_000
@@ -112,8 +116,22 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """How many shingles of a set each hashed range holds (255: as many or more); ranges are the low bits, from a quarter to half as many as shingles."""
+    bits = min(max(len(u).bit_length() - 2, RANGE_BITS[0]), RANGE_BITS[1])
+    return np.minimum(np.bincount((u & _U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def gap(x: bytes, y: bytes) -> int:
+    """What the symmetric difference of two sets is at least, by their sketches; the finer one is folded."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    size = min(len(a), len(b))
+    a, b = (np.minimum(v.reshape(-1, size).sum(axis=0), 255) for v in (a, b))
+    return int(np.abs(a - b).sum())
+
+
 def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """doc_id, th (hash of the text), key (hash of the set), m (its size), score, sig (counts by hashed range), toks (the prefix), hot (how many at its end may be very frequent)."""
+    """doc_id, th (hash of the text), key (hash of the set), m (its size), score, sig (its sketch), toks (the prefix), hot (how many at its end may be very frequent)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def make():
@@ -133,24 +151,27 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, k
                 first = np.lexsort((u, c))[:k]
                 out[0].append(int(signed(mix(np.array([mix(u).sum() + _U(m)])))[0]))
                 out[2].append(float(np.log2(c + 1.0).mean()))
-                out[3].append(np.minimum(np.bincount((u & _U(RANGES - 1)).astype(np.int64), minlength=RANGES), 32767).tolist())
+                out[3].append(sketch(u))
                 out[4].append(signed(u[first]).tolist())
                 out[5].append(int((c[first] > COLD).sum()))
             return [*cols[:2], *out]
 
         return f
 
-    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), f"doc_id {kind}, th long, key long, m int, score float, sig array<short>, toks array<long>, hot int", make)
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), f"doc_id {kind}, th long, key long, m int, score float, sig binary, toks array<long>, hot int", make)
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
     """t, key, pos, m, cnt (members of the shingle's group), hub, hub_m: of groups of two or more."""
-    post = nodes.select("key", "m", "score", "hot", F.size("toks").alias("k"), F.posexplode("toks").alias("pos", "t"))
+    first = F.size("toks") - F.col("hot")
     lead = F.max(F.struct("score", "key", "m"))
-    cold = post.filter("pos < k - hot").select("t", "key", "pos", "m", "score")
+    # equal sets are one node; of the few with frequent shingles in the prefix only those move a second time
+    cold = nodes.select("key", "m", "score", F.slice("toks", F.lit(1), first).alias("toks")).dropDuplicates(["key"])
+    cold = cold.select("key", "m", "score", F.posexplode("toks").alias("pos", "t"))
     w = Window.partitionBy("t")
     cold = cold.withColumn("cnt", F.count("*").over(w)).withColumn("lead", lead.over(w)).filter("cnt > 1")
-    warm = post.filter("pos >= k - hot").select("t", "key", "pos", "m", "score")
+    warm = nodes.filter("hot > 0").select("key", "m", "score", first.alias("at"), F.slice("toks", first + 1, F.col("hot")).alias("toks")).dropDuplicates(["key"])
+    warm = warm.select("key", "m", "score", "at", F.posexplode("toks").alias("p", "t")).select("t", "key", (F.col("at") + F.col("p")).alias("pos"), "m", "score")
     by = warm.groupBy("t").agg(F.count("*").alias("cnt"), lead.alias("lead")).filter("cnt > 1")
     both = cold.unionByName(warm.join(by, "t"))
     return both.select("t", "key", "pos", "m", "cnt", F.col("lead.key").alias("hub"), F.col("lead.m").alias("hub_m"))
@@ -238,12 +259,49 @@ def _small_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, "t").filter(ok).select("a", "b")
 
 
-def _suffix(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose counts by hashed range do not already differ too much."""
-    own = nodes.select("key", "m", "sig")
-    p = pairs.join(own.toDF("a", "_m1", "_s1"), "a").join(own.toDF("b", "_m2", "_s2"), "b")
-    gap = F.aggregate(F.zip_with("_s1", "_s2", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return p.filter(gap * (num + den) <= F.lit(den - num) * (F.col("_m1") + F.col("_m2"))).select(*pairs.columns)
+def _few(df: DataFrame, by: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``by`` is one of the 64-bit hashes ``keys`` (k), with a few others: a bitmap of 32 bits or more a key is asked; and the bitmap, saved."""
+    bits, power = _bitmap(keys, -(-keys.count() // 4))
+    return df.filter(_inside(bits, power)(by)), bits
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("k"))
+
+
+def _sieved(pairs: DataFrame, rows: DataFrame, docs: int, num: int, den: int) -> DataFrame:
+    """a, b: the pairs (a saved table) whose sketches do not already differ too much."""
+    got, bits = _few(rows, F.col("key"), _ends(pairs))
+    own = saved(got.select("key", "m", "sig").dropDuplicates(["key"]), "sketches")
+    rounds = max(1, -(-pairs.count() // (2 * max(docs, ROUND))))
+
+    def run(batches):
+        for batch in batches:
+            m1, m2, s1, s2 = (batch.column(c).to_pylist() for c in ("m1", "m2", "s1", "s2"))
+            keep = [gap(x, y) * (num + den) <= (den - num) * (m + o) for m, o, x, y in zip(m1, m2, s1, s2, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = None
+    for i in range(rounds):
+        p = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == i).select("a", "b")
+        p = p.join(own.toDF("a", "m1", "s1"), "a").join(own.toDF("b", "m2", "s2"), "b").select("a", "b", "m1", "m2", "s1", "s2")
+        part = saved(p.mapInArrow(run, "a long, b long"), "sieved")
+        out = part if out is None else out.unionByName(part)
+    for t in (bits, own):
+        dropped(t)
+    return out
+
+
+def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """key, text (saved) of the nodes of ``pairs``: any document of a node lends its text."""
+    got, bits = _few(rows, F.col("key"), _ends(pairs))
+    want = saved(got.select("key", F.col("doc_id").alias("_id")).dropDuplicates(["key"]), "wanted")
+    near, ids = _few(docs, F.xxhash64("doc_id"), want.select(F.xxhash64("_id").alias("k")))
+    # an id may stand for several texts, the key tells them apart
+    out = saved(_own_text(near.join(want, near["doc_id"].eqNullSafe(want["_id"])).select("key", "text"), n), "texts", "zstd")
+    for t in (bits, want, ids):
+        dropped(t)
+    return out
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,31 +321,31 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     counts = shingle_counts(d.select("text"), n)
     rows = saved(_prefixes(d, counts, n, num, den, kind), "prefixes")
-    # one node for each distinct set; any of its documents can lend the text
+    # one node for each distinct set
     nodes = rows.filter("key is not null")
-    one = nodes.groupBy("key").agg(F.min(F.struct("doc_id", F.xxhash64("doc_id").alias("x"))).alias("d"))
-    firsts = one.select("key", F.col("d.doc_id").alias("doc_id"))
-    reps = nodes.join(firsts, (nodes["key"] == firsts["key"]) & nodes["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").dropDuplicates(["key"])
-    groups = saved(_groups(reps.select("key", "m", "score", "hot", "toks")), "groups")
-    used = groups.select("key").distinct()
-    light = saved(reps.select("key", "m", "sig", "doc_id").join(used, "key", "left_semi"), "nodes")
-    # texts of nodes that share a shingle with another; an id may stand for several texts, the key tells them apart
-    want = light.select("key", F.col("doc_id").alias("_id"))
-    fetched = d.join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
-    texts = saved(_own_text(fetched, n), "texts", "zstd")
+    size = nodes.count()
+    groups = saved(_groups(nodes.select("key", "m", "score", "hot", "toks")), "groups")
     stars = groups.filter("key != hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.max(F.col("cnt") > GROUP).alias("big"), F.first("m").alias("m"), F.first("hub_m").alias("hub_m"))
     near = F.least("m", "hub_m") * den >= F.greatest("m", "hub_m") * num
-    small = _suffix(stars.filter(~F.col("big") & near).select("a", "b", "big"), light, num, den)
-    size = light.count()
-    done, stars_saved = _verified(stars.filter("big").select("a", "b", "big").unionByName(small), texts, size, n, num, den)
+    stars = saved(stars.filter(F.col("big") | near).select("a", "b", "big"), "stars")
+    small = _sieved(stars.filter(~F.col("big")), rows, size, num, den)
+    asked = saved(stars.filter("big").unionByName(small.withColumn("big", F.lit(False))), "asked")
+    texts = _texts(d, rows, asked, n)
+    done, stars_saved = _verified(asked, texts, texts.count(), n, num, den)
+    dropped(texts)
     links = done.filter("linked").select("a", "b")
     comp = saved(components(links), "components")
-    rest = _suffix(_small_pairs(groups, num, den).unionByName(_delta_pairs(done, num, den)).distinct(), light, num, den)
+    rest = _small_pairs(groups, num, den).unionByName(_delta_pairs(done, num, den)).distinct()
     roots = comp.select("node", "root")
     rest = rest.join(roots.toDF("a", "_ra"), "a", "left").join(roots.toDF("b", "_rb"), "b", "left")
     rest = rest.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
-    rest = rest.join(done.select(F.greatest("a", "b").alias("_x"), F.least("a", "b").alias("_y")).distinct(), (F.greatest("a", "b") == F.col("_x")) & (F.least("a", "b") == F.col("_y")), "left_anti")
-    more, more_saved = _verified(rest.select("a", "b", F.lit(False).alias("big")), texts, size, n, num, den, linked=True)
+    # a pair of a star is settled, whether its sketches or its texts were compared
+    rest = rest.join(stars.select(F.greatest("a", "b").alias("_x"), F.least("a", "b").alias("_y")).distinct(), (F.greatest("a", "b") == F.col("_x")) & (F.least("a", "b") == F.col("_y")), "left_anti")
+    rest = saved(rest, "rest")
+    left = saved(_sieved(rest, rows, size, num, den).withColumn("big", F.lit(False)), "asked")
+    texts = _texts(d, rows, left, n)
+    more, more_saved = _verified(left, texts, texts.count(), n, num, den, linked=True)
+    dropped(texts)
     if not more.isEmpty():
         first = comp.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         comp, before = saved(components(first.unionByName(more)), "components"), comp
@@ -298,7 +356,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     least = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("g"))
     named = rooted.join(least, "root", "left").select("key", F.coalesce("g.low", "low").alias("name"), F.coalesce("g.key", "key").alias("lead"))
     named = saved(named, "named")
-    for t in (groups, light, texts, *stars_saved, *more_saved, comp):
+    for t in (groups, stars, asked, rest, left, *stars_saved, *more_saved, comp):
         dropped(t)
     return rows, named
 
