@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering, every pair verified once.
 
 A document is the set of its distinct ``n``-word shingles. All shingles are
-counted into a fixed table of hashed counters; its counts, then the hashes,
-order every set from rare to frequent. Sets with similarity ``num/den`` share a
+counted into a table of hashed counters that grows with the corpus; its counts,
+then the hashes, order every set from rare to frequent. Sets with similarity ``num/den`` share a
 shingle among their first m - ceil(num*m/den) + 1, so only those prefixes are
 joined. Equal sets are one node.
 
@@ -16,7 +16,9 @@ joined. Equal sets are one node.
   missing shingles) is a set itself. Two members that are not both linked to
   the hub can link only if their differences overlap by more than half the
   smaller one, or by the excess of an unlinked one: a second, exact prefix join
-  on differences. So no group's pairs are enumerated and no link is lost.
+  on differences. So no group's pairs are enumerated and no link is lost. Only
+  the prefixes of differences are kept, and of these only what two members share
+  is joined.
 * Only the texts of the pairs that are left are read again, through a bitmap of
   their ids. They are brought to their hub (in shares, if it has many) and the
   similarity is computed from the shingles, in rounds of bounded size.
@@ -42,7 +44,9 @@ from ._common import doc_word_hashes, dropped, map_rows, mix, saved, signed, sma
 from .decontaminate import _bitmap, _inside
 from .graph import components
 
-SKETCH_BITS = 19
+#: There are from 2^19 to 2^23 counters, each for about so many shingles (words are taken to have six characters).
+SKETCH_BITS = (19, 23)
+SHINGLES = 256
 SLICES = 64
 GROUP = 32
 #: A sketch has from 2^5 to 2^14 ranges.
@@ -77,22 +81,34 @@ def shingle_sets(texts: list[str | None], n: int):
 
 
 def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How often the shingles of each hashed range occur in all documents: 2^SKETCH_BITS counters.
+    """How often the shingles of each hashed range occur in all documents: ``counter_bits`` says how many counters.
 
     Each task sums up its own; slices of them are added up as streams, in two
     rounds, so that no task reads more than some hundred of them.
     """
     small_batches(docs.sparkSession)
-    size = 1 << SKETCH_BITS
+    bits = counter_bits(docs.agg(F.sum(F.length(docs.columns[0]))).first()[0] or 0)
+    size = 1 << bits
     step = size // SLICES
+    most = 0xFFFFFFFF
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total, got, held = np.zeros(size, dtype=np.uint32), [], 0
+
+        def put():
+            np.add(total, np.bincount((np.concatenate(got) >> _U(64 - bits)).astype(np.int64), minlength=size), out=total, casting="unsafe")
+            got.clear()
+
         for b in batches:
-            texts = b.column(0).to_pylist()
-            got = [s for s in shingle_sets(texts, n) if len(s)]
-            if got:
-                total += np.bincount((np.concatenate(got) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            for u in shingle_sets(b.column(0).to_pylist(), n):
+                if len(u):
+                    got.append(u)
+                    held += len(u)
+                if held > size // 2:
+                    put()
+                    held = 0
+        if got:
+            put()
         if total.any():
             from pyspark import TaskContext
 
@@ -103,17 +119,22 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for *k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, v = (k[0], k[1] // 128), np.frombuffer(v, np.int64)
+                k, v = (k[0], k[1] // 128), np.frombuffer(v, np.uint32).astype(np.int64)
                 sums[k] = sums[k] + v if k in sums else v
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([np.minimum(v, most).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["slice", "part", "counts"])
 
     kind = "slice int, part int, counts binary"
     rows = docs.mapInArrow(count, kind).repartition("slice", "part").mapInArrow(add, kind).repartition(SLICES // 4, "slice").mapInArrow(add, kind).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
-        out[r.slice * step : (r.slice + 1) * step] += np.frombuffer(r.counts, np.int64)
-    return out
+        out[r.slice * step : (r.slice + 1) * step] += np.frombuffer(r.counts, np.uint32)
+    return np.minimum(out, most).astype(np.uint32)
+
+
+def counter_bits(chars: int) -> int:
+    """The power of the number of counters for texts of so many characters: with fixed ones, those of a large corpus would all be about as high, and common shingles pass as rare."""
+    return min(max(round(np.log2(max(1, chars / 6 / SHINGLES))), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
 def sketch(u: np.ndarray) -> bytes:
@@ -132,7 +153,8 @@ def gap(x: bytes, y: bytes) -> int:
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, kind: str) -> DataFrame:
     """doc_id, th (hash of the text), key (hash of the set), m (its size), score, sig (its sketch), toks (the prefix), hot (how many at its end may be very frequent)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    drop = _U(64 - (len(counts).bit_length() - 1))
 
     def make():
         table = shared.value
@@ -146,7 +168,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, k
                     for c in (0, 2, 3, 4, 5):
                         out[c].append(None)
                     continue
-                c = table[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                c = table[(u >> drop).astype(np.int64)]
                 k = m - -(-num * m // den) + 1
                 first = np.lexsort((u, c))[:k]
                 out[0].append(int(signed(mix(np.array([mix(u).sum() + _U(m)])))[0]))
@@ -178,7 +200,7 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b, linked, m (of a), m_b, delta (where asked for by ``big``): of distinct pairs (a, b, big)."""
+    """a, b, linked, m (of a), m_b, k (size of the difference), delta (where asked for by ``big``: the prefix of the difference that ``_delta_pairs`` joins): of distinct pairs (a, b, big)."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     p = pairs.join(sizes, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")))
     hubs = sizes.select(F.col("b").alias("key"), F.col("b").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(False).alias("big"), F.lit(0).alias("role"))
@@ -190,7 +212,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 home, share, role, key, big, text = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                out = [[] for _ in range(6)]
+                out = [[] for _ in range(7)]
                 for i, u in enumerate(shingle_sets(text, n)):
                     if role[i] == 0:
                         hub, where = u, (home[i], share[i])
@@ -201,16 +223,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
                     inside = hub[spot] == u
                     both = int(inside.sum())
                     union = len(u) + len(hub) - both
-                    delta = None
+                    near, k, delta = den * both >= num * union, union - both, None
                     if big[i]:
                         there = np.zeros(len(hub), dtype=bool)
                         there[spot[inside]] = True
-                        delta = signed(np.concatenate([u[~inside], hub[~there]])).tolist()
-                    for o, v in zip(out, (key[i], home[i], den * both >= num * union, len(u), len(hub), delta), strict=True):
+                        delta = signed(np.concatenate([u[~inside], hub[~there]])[: _cut(near, k, len(u) + len(hub), num, den)]).tolist()
+                    for o, v in zip(out, (key[i], home[i], near, len(u), len(hub), k, delta), strict=True):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["a", "b", "linked", "m", "m_b", "delta"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["a", "b", "linked", "m", "m_b", "k", "delta"])
+
+    return placed.mapInArrow(run, "a long, b long, linked boolean, m int, m_b int, k int, delta array<long>")
 
-    return placed.mapInArrow(run, "a long, b long, linked boolean, m int, m_b int, delta array<long>")
+
+def _cut(linked: bool, k: int, sizes: int, num: int, den: int) -> int:
+    """How many of a difference's ``k`` shingles its prefix has; ``sizes``: of the set and its hub together."""
+    s = num + den
+    least = -(-num * k // s) if linked else -(-(s * k - (den - num) * sizes) // (2 * den))
+    return max(0, k - max(1, least) + 1)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: int, n: int, num: int, den: int, linked: bool = False) -> tuple[DataFrame, list[DataFrame]]:
@@ -228,15 +257,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: int, n: int, num: int,
     return out, parts
 
 
-def _delta_pairs(done: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of one large group, not both linked to its hub, whose differences to the hub may overlap enough."""
-    d = done.filter("delta is not null").withColumn("k", F.size("delta"))
-    odd = d.filter(~F.col("linked")).select("b").distinct()
-    d = d.join(odd, "b", "left_semi")
+def _delta_pairs(done: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of members of one large group, not both linked to its hub, whose differences to the hub may overlap enough; and the saved tables."""
+    post = done.filter("size(delta) > 0").select("b", "a", "m", "k", "linked", F.posexplode("delta").alias("pos", "t"))
     s = num + den
-    least = F.when(F.col("linked"), F.ceil(F.lit(num) * F.col("k") / s)).otherwise(F.ceil((F.lit(s) * F.col("k") - F.lit(den - num) * (F.col("m") + F.col("m_b"))) / (2 * den)))
-    d = d.withColumn("cut", F.col("k") - F.greatest(F.lit(1), least) + 1).filter("cut > 0")
-    post = d.select("b", "a", "m", "k", "linked", F.posexplode(F.slice("delta", 1, F.col("cut").cast("int"))).alias("pos", "t"))
+    # what one member alone has, or only linked ones, goes no further than this count
+    spot = F.xxhash64("b", "t")
+    twice = post.groupBy(spot.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("near")).filter("n > 1 and not near")
+    twice = saved(twice.select("k"), "shared")
+    post, bits = _few(post, spot, twice)
     # of each pair one at least is not linked to the hub, so only those look for partners
     x = post.filter(~F.col("linked")).select("b", "t", *(F.col(c).alias(f"{c}1") for c in ("a", "m", "k", "linked", "pos")))
     y = post.select("b", "t", *(F.col(c).alias(f"{c}2") for c in ("a", "m", "k", "linked", "pos")))
@@ -244,7 +273,7 @@ def _delta_pairs(done: DataFrame, num: int, den: int) -> DataFrame:
     # holds for the first token that a linked pair shares: all others come after it in both
     able = F.least(F.col("k1") - F.col("pos1"), F.col("k2") - F.col("pos2"))
     both = x.join(y, ["b", "t"]).filter((F.col("a1") != F.col("a2")) & (F.col("linked2") | (F.col("a1") < F.col("a2"))) & (able >= need - 1e-6))
-    return both.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
+    return both.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")), [twice, bits]
 
 
 def _small_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -335,7 +364,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     dropped(texts)
     links = done.filter("linked").select("a", "b")
     comp = saved(components(links), "components")
-    rest = _small_pairs(groups, num, den).unionByName(_delta_pairs(done, num, den)).distinct()
+    far, far_saved = _delta_pairs(done, num, den)
+    rest = _small_pairs(groups, num, den).unionByName(far).distinct()
     roots = comp.select("node", "root")
     rest = rest.join(roots.toDF("a", "_ra"), "a", "left").join(roots.toDF("b", "_rb"), "b", "left")
     rest = rest.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
@@ -356,7 +386,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> t
     least = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("g"))
     named = rooted.join(least, "root", "left").select("key", F.coalesce("g.low", "low").alias("name"), F.coalesce("g.key", "key").alias("lead"))
     named = saved(named, "named")
-    for t in (groups, stars, asked, rest, left, *stars_saved, *more_saved, comp):
+    for t in (groups, stars, asked, rest, left, *stars_saved, *more_saved, *far_saved, comp):
         dropped(t)
     return rows, named
 
